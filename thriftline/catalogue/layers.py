@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import clean, contract, explain, pillar_features, score_tables, statement_features as sf
+from ..plans import flows
 from . import inputs
 from .registry import stored
 
@@ -15,11 +16,11 @@ def enriched(spark: SparkSession, sf_dir: str, variant: str = "batch") -> DataFr
 
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "silver", lambda: sf.silver_transactions(inputs.statements(spark, sf_dir)))
+    return stored(spark, sf_dir, "silver", lambda: flows.silver_from_statements(inputs.statements(spark, sf_dir)))
 
 
 def silver_dlt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "silver_dlt", lambda: sf.silver_transactions(inputs.statements(spark, sf_dir), "dlt"))
+    return stored(spark, sf_dir, "silver_dlt", lambda: flows.silver_from_statements(inputs.statements(spark, sf_dir), "dlt"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,15 +152,27 @@ def _(spark, d):
     return models.tune(layers.gold_pl(spark, d), FEATURES, trials)[0]
 
 
-@case("tuning_history", "J10 F3", """
-SELECT '2026-01-01 02:00:00' AS run_time, 20 AS n_trials, 0.66::DOUBLE AS best_auc, 0.0::DOUBLE AS prev_champion, 0.66::DOUBLE AS improvement, 'true' AS promoted
-FROM (SELECT count(*) FROM v_gold_pl)
-UNION ALL SELECT '2026-01-02 02:00:00', 20, 0.65::DOUBLE, 0.66::DOUBLE, -0.01::DOUBLE, 'false'""",
-      best_auc=4, prev_champion=4, improvement=4)
+def _auc_sql(score: str) -> str:
+    """Area under the ROC curve by rank sums, ties at mid-rank."""
+    return f"""(SELECT (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::DOUBLE)
+  / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0))::DOUBLE FROM (
+  SELECT default_label AS y, rank() OVER (ORDER BY {score}) + (count(*) OVER (PARTITION BY {score}) - 1) / 2.0::DOUBLE AS r FROM v_gold_pl))"""
+
+
+_FIRST, _SECOND = _auc_sql("default_probability"), _auc_sql("bank_vintage_capped")
+
+
+@case("tuning_history", "J10 F3", f"""
+SELECT '2026-01-01 02:00:00' AS run_time, 20 AS n_trials, a AS best_auc, 0.0::DOUBLE AS prev_champion, a AS improvement, 'true' AS promoted
+FROM (SELECT {_FIRST} AS a)
+UNION ALL SELECT '2026-01-02 02:00:00', 20, b, a, b - a, CASE WHEN b > a THEN 'true' ELSE 'false' END FROM (SELECT {_FIRST} AS a, {_SECOND} AS b)""",
+      best_auc=3, prev_champion=3, improvement=3)
 def _(spark, d):
+    """Two runs whose AUCs are measured on the gold table; the better one stays champion."""
     log, champion = new_path(spark, "best_params"), new_path(spark, "champion")
-    trial = models.random_trials(1)[0]
-    for day, auc in ((1, 0.66), (2, 0.65)):
+    trial, rows = models.random_trials(1)[0], layers.gold_pl(spark, d)
+    for day, column in ((1, "default_probability"), (2, "bank_vintage_capped")):
+        auc = models.classification_metrics(rows.withColumn("_p", F.col(column).cast("double")), probability="_p")["auc_roc"]
         models.promote(spark, log, champion, trial, auc, 20, "model-path", datetime(2026, 1, day, 2))
     return analytics.tuning_history(tables.ensure_table(spark, log, schemas.BEST_PARAMS))
 
@@ -212,9 +224,11 @@ def _(spark, d):
     return log.select("status", F.col("new_version").cast("int").alias("new_version"), "changed_users", "total_users_scored")
 
 
-@case("run_log", "J18", "SELECT 'param' AS kind, 5 AS n FROM (SELECT count(*) FROM v_gold_pl) UNION ALL SELECT 'metric', 3 UNION ALL SELECT 'signature', 1")
+@case("run_log", "J18", f"SELECT 'score' AS run_name, 'auc_roc' AS key, a AS value FROM (SELECT {_FIRST} AS a)", value=6)
 def _(spark, d):
     path = new_path(spark, "runs")
     rows = layers.gold_pl(spark, d)
     models.log_run(spark, path, "score", models.REGRESSOR, models.classification_metrics(rows), rows)
-    return tables.ensure_table(spark, path, schemas.RUNS).groupBy("kind").agg(F.count("*").cast("int").alias("n"))
+    log = tables.ensure_table(spark, path, schemas.RUNS)
+    return log.filter((F.col("kind") == "metric") & (F.col("key") == "auc_roc")).select(
+        "run_name", "key", F.col("value").cast("double").alias("value"))

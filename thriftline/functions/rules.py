@@ -18,8 +18,15 @@ def first_match(rules: Iterable[tuple[str, Column]], otherwise: str | None) -> C
 
 
 def keyword_pattern(keywords: Sequence[str]) -> str:
-    """One alternation per rule; rules are never merged, as that loses their order."""
-    return "|".join(keywords)
+    """One alternation per rule; rules are never merged, as that loses their order.
+
+    The look-ahead on the first letters only lets the matcher skip positions
+    where no keyword can start.
+    """
+    heads = "".join(sorted({word[0] for word in keywords}))
+    if not heads.isalnum():
+        raise ValueError("a keyword must start with a letter or digit")
+    return f"(?=[{heads}])(?:{'|'.join(keywords)})"
 
 
 def category_of(text: Column, rules=fv.CATEGORY_RULES, otherwise: str = fv.OTHER_CATEGORY) -> Column:

@@ -41,12 +41,11 @@ def _ranked(labels: dict[str, str], descending: bool) -> Column:
     return F.array_sort(F.array(*entries))
 
 
-def _factor_text(ranked: Column, positive: bool, k: int, nothing: str) -> Column:
-    top = F.slice(ranked, 1, k)
+def _factor_lines(top: Column, positive: bool) -> Column:
     kept = F.filter(top, lambda s: s["value"] > 0 if positive else s["value"] < 0)
     sign = "+" if positive else ""
-    lines = F.transform(kept, lambda s: F.format_string(f"%s ({sign}%.2f)", s["label"], s["value"]))
-    return F.when(F.size(lines) > 0, F.array_join(lines, " | ")).otherwise(F.lit(nothing))
+    return F.array_join(F.transform(
+        kept, lambda s: F.format_string(f"%s ({sign}%.2f)", s["label"], s["value"])), " | ")
 
 
 def contract_labels(variant: str = "full") -> dict[str, str]:
@@ -58,13 +57,19 @@ def contract_labels(variant: str = "full") -> dict[str, str]:
 def top_factors(contributions: DataFrame, k: int = TOP_FACTORS, variant: str = "full") -> DataFrame:
     """``top_positive_factors`` and ``top_negative_factors`` as ``label (+0.12) | ...`` text."""
     labels = contract_labels(variant)
-    best, worst = _ranked(labels, True), _ranked(labels, False)
-    return contributions.withColumns({
-        "top_positive_factors": _factor_text(best, True, k, fv.NO_POSITIVE),
-        "top_negative_factors": _factor_text(worst, False, k, fv.NO_NEGATIVE),
-        "_best_label": F.element_at(best, 1)["label"],
-        "_worst_label": F.element_at(worst, 1)["label"],
-    })
+    # one projection per step, so that a ranking is sorted and formatted once per row
+    ranked = contributions.withColumns({
+        "_best": F.slice(_ranked(labels, True), 1, k), "_worst": F.slice(_ranked(labels, False), 1, k)})
+    lines = ranked.withColumns({
+        "_gains": _factor_lines(F.col("_best"), True), "_losses": _factor_lines(F.col("_worst"), False),
+        "_best_label": F.col("_best")[0]["label"], "_worst_label": F.col("_worst")[0]["label"]})
+
+    def or_else(column: str, nothing: str) -> Column:
+        return F.when(F.col(column) == "", F.lit(nothing)).otherwise(F.col(column))
+
+    return lines.withColumns({
+        "top_positive_factors": or_else("_gains", fv.NO_POSITIVE),
+        "top_negative_factors": or_else("_losses", fv.NO_NEGATIVE)}).drop("_best", "_worst", "_gains", "_losses")
 
 
 def _headline(factors: Column) -> Column:

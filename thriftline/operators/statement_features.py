@@ -156,10 +156,19 @@ def _activity(categories: list[str]) -> list[Column]:
         F.sum(credit).alias("credits"), F.count(credit).alias("n_credits"),
         F.count_if(F.col("transaction_type") == "Credit").alias("credit_rows"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-        F.max("persona").alias("persona"),
     ]
 
 
+def _by_month(txns: DataFrame, *measures: Column) -> DataFrame:
+    """First step: one row per user and month.
+
+    The persona is the same on all rows of a user, so it rides along as a
+    grouping column: a string aggregate would rule out hash aggregation.
+    """
+    carried = ["persona"] if "persona" in txns.columns else []
+    return month_bucket(txns).groupBy("user_id", *carried, "month").agg(*measures)
+
+
 def _activity_totals() -> list[Column]:
     def ratio(total: str, count: str) -> Column:
         return F.sum(total) / F.nullif(F.sum(count), F.lit(0))
@@ -175,7 +184,6 @@ def _activity_totals() -> list[Column]:
         F.coalesce(F.sum("debits"), F.lit(0.0)).alias("total_debits"),
         F.min("first_date").alias("first_transaction_date"),
         F.max("last_date").alias("last_transaction_date"),
-        F.max("persona").alias("persona"),
     ]
 
 
@@ -287,8 +295,8 @@ def merchant_counts(txns: DataFrame) -> DataFrame:
 
 
 def _per_user_month(txns: DataFrame) -> DataFrame:
-    return month_bucket(txns).groupBy("user_id", "month").agg(
-        *_activity(rules.category_names()),
+    return _by_month(
+        txns, *_activity(rules.category_names()),
         *_by_category({**_PAYMENT, **_DIGITAL, **_INCOME}),
         F.count_if(F.col("clean_balance") < fv.LOW_BALANCE_LIMIT).alias("low_balance_days"),
     )
@@ -310,7 +318,7 @@ def statement_features(txns: DataFrame) -> DataFrame:
     credit_month = F.col("credit_rows") > 0
     income = F.when(credit_month, F.col("credits"))
     users = _per_user_month(txns).groupBy("user_id").agg(
-        *_activity_totals(),
+        *_activity_totals(), F.max("persona").alias("persona"),
         *_totals({**_PAYMENT, **_DIGITAL, **_INCOME}),
         *_income_moments(F.when(credit_month, F.col("month")), income),
         F.count_if(credit_month).alias("months_with_income"),
@@ -333,7 +341,7 @@ def statement_features(txns: DataFrame) -> DataFrame:
 
 def payment_features(txns: DataFrame) -> DataFrame:
     """The payment block alone (17 columns with the key)."""
-    monthly = month_bucket(txns).groupBy("user_id", "month").agg(*_by_category(_PAYMENT))
+    monthly = _by_month(txns.drop("persona"), *_by_category(_PAYMENT))
     users = monthly.groupBy("user_id").agg(*_totals(_PAYMENT))
     return users.withColumns({
         "emi_regularity_score": _share("emi_months_active", "emi_payment_count"),
@@ -343,9 +351,7 @@ def payment_features(txns: DataFrame) -> DataFrame:
 
 def digital_features(txns: DataFrame) -> DataFrame:
     """The digital-flow block alone (25 columns with the key)."""
-    with_persona = txns if "persona" in txns.columns else txns.withColumn("persona", F.lit(None).cast("string"))
-    monthly = month_bucket(with_persona).groupBy("user_id", "month").agg(
-        *_activity(rules.category_names()), *_by_category(_DIGITAL))
+    monthly = _by_month(txns.drop("persona"), *_activity(rules.category_names()), *_by_category(_DIGITAL))
     users = monthly.groupBy("user_id").agg(*_activity_totals(), *_totals(_DIGITAL))
     return _ratios(users.join(merchant_counts(txns), "user_id", "left")).select("user_id", *DIGITAL_COLUMNS)
 
@@ -360,8 +366,8 @@ def persona_risk_features(txns: DataFrame) -> DataFrame:
 
     ``low_balance_days`` counts rows, not days.
     """
-    users = txns.groupBy("user_id").agg(
-        F.max("persona").alias("persona"), *_by_category(_RISK),
+    users = txns.groupBy("user_id", "persona").agg(
+        *_by_category(_RISK),
         F.count_if(F.col("clean_balance") < fv.LOW_BALANCE_LIMIT).alias("low_balance_days"),
         F.min("date").alias("first_transaction_date"), F.max("date").alias("last_transaction_date"),
     )
@@ -385,8 +391,8 @@ def statement_features_dlt(txns: DataFrame) -> DataFrame:
     specs = {**_PAYMENT_DLT, **_DIGITAL_DLT, **_INCOME_DLT}
     words = {"atm_withdrawal_count": ("count", "atm"), "total_cash_withdrawn": ("withdrawal", "atm"),
              "business_credit_count": ("count", "business"), "total_business_income": ("deposit", "business")}
-    monthly = month_bucket(txns).groupBy("user_id", "month").agg(
-        *_activity(rules.category_names(fv.CATEGORY_RULES_DLT)),
+    monthly = _by_month(
+        txns, *_activity(rules.category_names(fv.CATEGORY_RULES_DLT)),
         F.bit_or(rules.membership_bit(F.col("merchant"), brands)).alias("_merchants"),
         *_by_category(specs),
         *[c for name, (measure, word) in words.items() for c in _monthly(name, measure, lower.contains(word))],
@@ -394,7 +400,7 @@ def statement_features_dlt(txns: DataFrame) -> DataFrame:
         F.max(salary).alias("_high"), F.min(salary).alias("_low"),
     )
     users = monthly.groupBy("user_id").agg(
-        *_activity_totals(), *_totals(specs),
+        *_activity_totals(), F.max("persona").alias("persona"), *_totals(specs),
         *[_total(name, measure) for name, (measure, _) in words.items()],
         F.bit_count(F.bit_or("_merchants")).cast("long").alias("unique_merchants"),
         F.sum("_k").alias("_k"),

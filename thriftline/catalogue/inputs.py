@@ -43,6 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that came in fewer files than there are cores, before costly row work.
+
+    A table of many files is already spread by its scan and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def _pick(values, index) -> F.Column:
     """values[index], zero-based, from a literal array."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -54,8 +63,8 @@ def _user(key: str):
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bank statement lines with text amounts, some without amount, some with a bad user."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+    lines = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"), "l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     rows = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -142,7 +151,7 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One contribution per contract feature and user, in steps of 0.01."""
     k = F.col("c_custkey")
     pairs = [F.lit(x) for pair in SEGMENT_OF.items() for x in pair]
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select(
         _user("c_custkey").alias("user_id"),
         F.element_at(F.create_map(*pairs), F.col("c_mktsegment")).alias("segment"),
         *[(((k * (7 + i)) % 401 - 200) / 100.0).alias(name) for i, name in enumerate(fv.CONTRACT_FEATURES)],

@@ -157,14 +157,14 @@ def _(spark, d):
 # --- embedding ---------------------------------------------------------------------------
 @case("embedded_documents", "K4", "SELECT doc_id, lang, 256 AS dims FROM documents")
 def _(spark, d):
-    texts = inputs.table(spark, d, "documents").select("doc_id", "lang", "text")
+    texts = inputs.spread(inputs.table(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id")
     return retrieval.embed(texts, text_col="text").select("doc_id", "lang", F.size("embedding").alias("dims"))
 
 
 @case("embedded_corpus_tfidf", "K4 (TF-IDF)", "SELECT doc_id, TRUE AS unit_length FROM documents")
 def _(spark, d):
     from ..functions.vectors import norm
-    texts = inputs.table(spark, d, "documents").select("doc_id", "text")
+    texts = inputs.spread(inputs.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     vectors = retrieval.embed_tfidf(texts, "text", 256)
     length = norm(F.col("embedding"))
     return vectors.select("doc_id", ((F.abs(length - 1.0) < 1e-9) | (length == 0)).alias("unit_length"))

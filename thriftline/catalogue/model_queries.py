@@ -182,8 +182,9 @@ def _(spark, d):
 def _(spark, d):
     old = inputs.scores(spark, d).withColumns({
         "score_timestamp": F.lit(NOW), "model_version": F.lit("old"), "model_run_id": F.lit("run-0")}).select(*schemas.CREDIT_SCORES.names)
-    fresh = models.score_all(_classifier(spark, d), layers.gold_pl(spark, d), "new", "run-1", NOW)
-    return models.upsert_scores(old, fresh).select("user_id", "segment", (F.col("model_version") == "new").alias("rescored"))
+    gold = layers.gold_pl(spark, d)
+    fresh = models.score_all(_classifier(spark, d), gold, "new", "run-1", NOW)
+    return models.upsert_scores(old, fresh, gold).select("user_id", "segment", (F.col("model_version") == "new").alias("rescored"))
 
 
 @case("contributions_additive", "J13", "SELECT count(*) AS users, TRUE AS additive FROM v_gold_pl")

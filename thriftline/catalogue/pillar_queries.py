@@ -180,16 +180,20 @@ def _(spark, d):
     return explain.mean_abs_contribution(inputs.contributions(spark, d))
 
 
+def _mean_sql(points: str) -> str:
+    return f"round(CAST(sum(CAST(round({points} * 10, 0) AS BIGINT)) AS DOUBLE) / 10.0::DOUBLE / count({points}), 1)"
+
+
 @case("segment_pillars", "D22 C4", "SELECT s.segment, count(*) AS users, round(avg(score), 0) AS avg_score, "
       "round(avg(default_probability) * 100, 2) AS default_pct, "
-      + ", ".join(f"avg({c}) AS p{i}" for i, c in enumerate(_PTS, 1))
-      + " FROM v_scores s JOIN v_explanations e USING (user_id) GROUP BY s.segment", **{f"p{i}": 0 for i in range(1, 7)})
+      + ", ".join(f"{_mean_sql(c)} AS p{i}" for i, c in enumerate(_PTS, 1))
+      + " FROM v_scores s JOIN v_explanations e USING (user_id) GROUP BY s.segment", **{f"p{i}": 1 for i in range(1, 7)})
 def _(spark, d):
     return analytics.segment_pillars(inputs.scores(spark, d), layers.explanations(spark, d))
 
 
 @case("pillar_importance", "D23", " UNION ALL ".join(
-    f"SELECT '{n}' AS pillar, round(avg(abs(shap_{p}_pts)), 1) AS avg_abs_points FROM v_explanations"
+    f"SELECT '{n}' AS pillar, {_mean_sql(f'abs(shap_{p}_pts)')} AS avg_abs_points FROM v_explanations"
     for p, n in analytics.PILLAR_NAMES.items()), avg_abs_points=1)
 def _(spark, d):
     return analytics.pillar_importance(layers.explanations(spark, d))

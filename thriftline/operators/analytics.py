@@ -18,6 +18,11 @@ def _mean(name: str, digits: int) -> Column:
     return F.round(F.avg(name), digits)
 
 
+def _mean_points(points: Column) -> Column:
+    """Mean of one-decimal points, rounded to one place; whole tenths add up exactly in any order."""
+    return F.round(F.sum(F.round(points * 10, 0).cast("long")) / 10.0 / F.count(points), 1)
+
+
 # --- group summaries -------------------------------------------------------------
 
 def segment_summary(features: DataFrame) -> DataFrame:
@@ -144,12 +149,12 @@ def segment_pillars(scores: DataFrame, explanations: DataFrame) -> DataFrame:
     return scores_with_explanations(scores, explanations).groupBy("segment").agg(
         F.count("*").alias("users"), _mean("score", 0).alias("avg_score"),
         F.round(F.avg("default_probability") * 100, 2).alias("default_pct"),
-        *[_mean(c, 1).alias(alias) for c, alias in points.items()]).orderBy(F.desc("avg_score"), "segment")
+        *[_mean_points(F.col(c)).alias(alias) for c, alias in points.items()]).orderBy(F.desc("avg_score"), "segment")
 
 
 def pillar_importance(explanations: DataFrame) -> DataFrame:
     means = explanations.agg(*[
-        F.round(F.avg(F.abs(f"shap_{p}_pts")), 1).alias(name) for p, name in PILLAR_NAMES.items()])
+        _mean_points(F.abs(f"shap_{p}_pts")).alias(name) for p, name in PILLAR_NAMES.items()])
     return means.unpivot([], list(PILLAR_NAMES.values()), "pillar", "avg_abs_points").orderBy(
         F.desc("avg_abs_points"), "pillar")
 

@@ -263,8 +263,9 @@ def score_all(model, features: DataFrame, version: str, run_id: str, scored_at)
         "model_run_id": F.lit(run_id)}).select(*schemas.CREDIT_SCORES.names)
 
 
-def upsert_scores(current: DataFrame, fresh: DataFrame) -> DataFrame:
-    return merge_upsert(current, fresh, "user_id")
+def upsert_scores(current: DataFrame, fresh: DataFrame, scored_users: DataFrame | None = None) -> DataFrame:
+    """Replace the scores of the users just scored.  ``scored_users`` (their keys) spares a second model run."""
+    return merge_upsert(current, fresh, "user_id", check=scored_users is None, source_keys=scored_users)
 
 
 def predict_scores(model, features: DataFrame) -> DataFrame:

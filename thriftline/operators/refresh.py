@@ -81,7 +81,7 @@ def refresh(spark: SparkSession, tables: RefreshTables, model, contract: Feature
     moved = contributions(model, features, contract.features)
     told = score_explanations(moved, fresh, "refresh").withColumn("computed_at", F.lit(now).cast("timestamp"))
     old = _current(spark, tables.explanations, schemas.EXPLANATIONS)
-    snapshot_write(conform_nullable(merge_upsert(old, told, "user_id", check=False), schemas.EXPLANATIONS),
+    snapshot_write(conform_nullable(merge_upsert(old, told, "user_id", False, fresh), schemas.EXPLANATIONS),
                    tables.explanations)
 
     total = snapshot_read(spark, tables.scores).count()

@@ -208,7 +208,7 @@ def sync_embeddings(old_chunks: DataFrame, new_chunks: DataFrame, old_vectors: D
     """
     from ..sources.tables import change_feed, changed_keys, merge_upsert
 
-    feed = change_feed(old_chunks, new_chunks, key)
-    fresh = embed(new_chunks.join(changed_keys(feed, key), key, "left_semi"), encoder)
+    changed = changed_keys(change_feed(old_chunks, new_chunks, key), key)
+    fresh = embed(new_chunks.join(changed, key, "left_semi"), encoder)
     kept = old_vectors.join(new_chunks.select(key), key, "left_semi")
-    return merge_upsert(kept, fresh.select(*old_vectors.columns), key, check=False)
+    return merge_upsert(kept, fresh.select(*old_vectors.columns), key, check=False, source_keys=changed)

@@ -56,15 +56,20 @@ def assert_single_source(source: DataFrame, key: str) -> None:
         raise ValueError(f"several source rows for one {key}")
 
 
-def merge_upsert(target: DataFrame, source: DataFrame, key: str, check: bool = True) -> DataFrame:
+def merge_upsert(target: DataFrame, source: DataFrame, key: str, check: bool = True,
+                 source_keys: DataFrame | None = None) -> DataFrame:
     """Matched rows take the source's values in every column, other source rows are added.
 
     The target is read once against the keys of the source (a small side is
-    broadcast by size) and is never joined with the source's wide rows.
+    broadcast by size) and is never joined with the source's wide rows.  The
+    source itself is evaluated for its keys and again for its rows: where that
+    is costly (a model, an encoder), pass the keys from elsewhere as
+    ``source_keys`` or write the source first.
     """
     if check:
         assert_single_source(source, key)
-    kept = target.join(source.select(key), key, "left_anti").select(*target.columns)
+    keys = (source if source_keys is None else source_keys).select(key)
+    kept = target.join(keys, key, "left_anti").select(*target.columns)
     return kept.unionByName(source.select(*target.columns))
 
 

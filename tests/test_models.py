@@ -122,10 +122,11 @@ def test_refresh_rewrites_changed_users_only(spark):
     changed = base.withColumn("income_log", F.when(F.col("user_id") < "u005", 99.0).otherwise(F.col("income_log")))
     tables.snapshot_write(changed.filter("user_id <> 'u199'").unionByName(base.limit(1).withColumn("user_id", F.lit("new"))), at.features)
     assert refresh.refresh(spark, at, model, FeatureContract(), now=runs[2]) == refresh.SUCCESS
-    scores = tables.snapshot_read(spark, at.scores)
+    scores = refresh.read_scores(spark, at)
+    assert [r["rows"] for r in tables.snapshot_history(spark, at.scores).orderBy("version").collect()] == [200, 6]
     touched = {r["user_id"] for r in scores.filter(F.col("score_timestamp") == F.lit(runs[2])).collect()}
     assert touched == {"u000", "u001", "u002", "u003", "u004", "new"} and scores.count() == 201
-    told = tables.snapshot_read(spark, at.explanations)
+    told = refresh.read_explanations(spark, at)
     assert told.count() == 201 and told.filter("explanation_text IS NULL").isEmpty()
     log = [(r["status"], r["last_processed_ver"], r["new_version"], r["changed_users"], r["total_users_scored"])
            for r in spark.read.schema(schemas.REFRESH_LOG).parquet(at.log).orderBy("run_timestamp").collect()]

@@ -48,6 +48,22 @@ def test_feed_sees_a_new_column(spark, pair):
     assert {r["k"] for r in feed.collect()} == {1}
 
 
+def test_changed_keys_from_digests_equal_those_of_the_feed(pair):
+    old, new = pair
+    want = tables.changed_keys(tables.change_feed(old, new, "k"), "k")
+    assert rows_of(tables.changed_between(old, new, "k")) == rows_of(want)
+    assert tables.changed_between(old, old, "k").isEmpty()
+
+
+def test_increments_give_the_newest_row_per_key(spark, pair):
+    path, schema = new_path(spark, "inc"), pair[0].schema
+    assert tables.increment_read(spark, path, "k", schema).isEmpty()
+    for rows in (pair[0], pair[1], frame(spark, [(5, "again", None), (9, "z", 0.0)])):
+        tables.snapshot_write(rows, path)
+    got = {r["k"]: (r["v"], r["n"]) for r in tables.increment_read(spark, path, "k", schema).collect()}
+    assert got == {1: ("a", 1.0), 2: (None, 2.5), 3: (None, None), 4: ("d", 4.0), 5: ("again", None), 9: ("z", 0.0)}
+
+
 def test_upsert_twice_is_upsert_once(pair):
     old, new = pair
     once = tables.merge_upsert(old, new, "k")

@@ -94,13 +94,14 @@ def equal_bins(scores: DataFrame, bins: int = 30, column: str = "score") -> Data
             .agg(F.count("*").alias("users")).orderBy("bin"))
 
 
-def score_distribution(df: DataFrame, column: str = "score", accuracy: int = 10_000) -> DataFrame:
-    """min, quartiles, mean, max.  Quartiles come from a bounded sketch (rank error 1/accuracy)."""
-    quartiles = F.percentile_approx(column, [0.25, 0.5, 0.75], accuracy)
-    stats = df.agg(F.min(column).alias("min_score"), quartiles.alias("_q"),
-                   F.avg(column).alias("avg_score"), F.max(column).alias("max_score"))
-    return stats.select("min_score", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("median"),
-                        "avg_score", F.col("_q")[2].alias("p75"), "max_score")
+def score_distribution(df: DataFrame, column: str = "score") -> DataFrame:
+    """min, quartiles, mean, max.  Exact: scores are a bounded set of integers, so the
+    quartiles' count table has at most as many entries as there are scores."""
+    def quartile(q: float) -> Column:
+        return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{column}`)").cast("int")
+
+    return df.agg(F.min(column).alias("min_score"), quartile(0.25).alias("p25"), quartile(0.5).alias("median"),
+                  F.avg(column).alias("avg_score"), quartile(0.75).alias("p75"), F.max(column).alias("max_score"))
 
 
 def feature_summary(df: DataFrame, columns: list[str], accuracy: int = 10_000) -> DataFrame:

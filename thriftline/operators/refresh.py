@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.workspace import write_through
 from ..sources import schemas
-from ..sources.tables import (append_log, change_feed, changed_keys, ensure_table, merge_upsert,
-                              snapshot_read, snapshot_versions, snapshot_write)
+from ..sources.tables import (append_log, changed_between, ensure_table, increment_read, snapshot_read,
+                              snapshot_versions, snapshot_write)
 from .analytics import latest_success
 from .contract import FeatureContract
 from .contributions import contributions
@@ -22,7 +22,7 @@ NO_CHANGES, SUCCESS = "NO_CHANGES", "SUCCESS"
 
 @dataclass(frozen=True)
 class RefreshTables:
-    """Locations: features, scores and explanations are snapshots, the log is append-only."""
+    """Locations: features are full snapshots, scores and explanations increments, the log is append-only."""
     features: str
     scores: str
     explanations: str
@@ -42,10 +42,12 @@ def _last_version(spark: SparkSession, tables: RefreshTables) -> int:
     return int(row["new_version"]) if row else 0
 
 
-def _current(spark: SparkSession, path: str, schema) -> DataFrame:
-    if snapshot_versions(spark, path):
-        return snapshot_read(spark, path)
-    return spark.createDataFrame([], schema)
+def read_scores(spark: SparkSession, tables: RefreshTables) -> DataFrame:
+    return increment_read(spark, tables.scores, "user_id", schemas.CREDIT_SCORES)
+
+
+def read_explanations(spark: SparkSession, tables: RefreshTables) -> DataFrame:
+    return increment_read(spark, tables.explanations, "user_id", schemas.EXPLANATIONS)
 
 
 def changed_users(spark: SparkSession, tables: RefreshTables, last: int, newest: int) -> DataFrame:
@@ -53,15 +55,17 @@ def changed_users(spark: SparkSession, tables: RefreshTables, last: int, newest:
     new = snapshot_read(spark, tables.features, newest)
     if last not in snapshot_versions(spark, tables.features):
         return new.select("user_id").distinct()
-    return changed_keys(change_feed(snapshot_read(spark, tables.features, last), new, "user_id"), "user_id")
+    return changed_between(snapshot_read(spark, tables.features, last), new, "user_id")
 
 
 def refresh(spark: SparkSession, tables: RefreshTables, model, contract: FeatureContract = FeatureContract(),
             now: datetime | None = None, version: str = "nightly_refresh", run_id: str = "nightly_job") -> str:
     """Change feed -> score changed users -> upsert scores and explanations -> log.
 
-    The last processed version is exclusive: it is not read again.  Without
-    changes the run is logged as NO_CHANGES and nothing is written.
+    Only the rows of changed users are scored, explained and written; readers
+    take the newest row per user.  The last processed version is exclusive: it
+    is not read again.  Without changes the run is logged as NO_CHANGES and
+    nothing else is written.
     """
     now, started = now or datetime.now(), time.monotonic()
     last = _last_version(spark, tables)
@@ -74,23 +78,21 @@ def refresh(spark: SparkSession, tables: RefreshTables, model, contract: Feature
 
     features = restrict_to_changed(snapshot_read(spark, tables.features, newest), keys)
     features = features.na.fill(0.0, subset=list(contract.features))
-    fresh = write_through(score_all(model, features, version, run_id, now), "fresh_scores")
-    scores = merge_upsert(_current(spark, tables.scores, schemas.CREDIT_SCORES), fresh, "user_id")
-    snapshot_write(conform_nullable(scores, schemas.CREDIT_SCORES), tables.scores)
+    fresh = shaped(score_all(model, features, version, run_id, now), schemas.CREDIT_SCORES)
+    written = snapshot_write(fresh, tables.scores)
 
+    scored = snapshot_read(spark, tables.scores, written)
     moved = contributions(model, features, contract.features)
-    told = score_explanations(moved, fresh, "refresh").withColumn("computed_at", F.lit(now).cast("timestamp"))
-    old = _current(spark, tables.explanations, schemas.EXPLANATIONS)
-    snapshot_write(conform_nullable(merge_upsert(old, told, "user_id", False, fresh), schemas.EXPLANATIONS),
-                   tables.explanations)
+    told = score_explanations(moved, scored, "refresh").withColumn("computed_at", F.lit(now).cast("timestamp"))
+    snapshot_write(shaped(told, schemas.EXPLANATIONS), tables.explanations)
 
-    total = snapshot_read(spark, tables.scores).count()
+    total = read_scores(spark, tables).count()
     _log(spark, tables, now, last, newest, n_changed, total, "Champion", time.monotonic() - started, SUCCESS)
     return SUCCESS
 
 
-def conform_nullable(df: DataFrame, schema) -> DataFrame:
-    """The table's columns and types; the key is checked on read of the contract, not by nullability."""
+def shaped(df: DataFrame, schema) -> DataFrame:
+    """The table's columns, types and order."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 

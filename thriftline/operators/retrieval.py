@@ -19,9 +19,10 @@ from ..functions import fixed_values as fv, vectors
 from ..plans.joins import fits
 from .analytics import rank_per_key
 
-# Cells of one block: queries x dimensions sent to tasks, and rows per grid block
+# Queries sent to tasks, rows per side of a grid block, similarities held at once (32 MB)
 MAX_SENT_QUERIES = 2_000
-GRID_ROWS = 50_000
+GRID_ROWS = 20_000
+MAX_CELLS = 4_000_000
 OVERFETCH = 3
 
 
@@ -82,26 +83,44 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in values])
 
 
-def _best(ids, states, chunk_matrix, query_ids, query_states, query_matrix, keep, state_filter) -> pd.DataFrame:
-    """The best ``keep`` chunks of this block for every query; ties go to the smaller id."""
-    similarity = query_matrix @ chunk_matrix.T
-    order_by_id = np.argsort(np.asarray(ids), kind="stable")
-    frames = []
-    for q in range(len(query_ids)):
-        row = similarity[q]
-        candidates = order_by_id
-        if state_filter and query_states[q] is not None:
-            admitted = np.array([s == fv.ALL_STATES or s == query_states[q] for s in states], dtype=bool)
-            candidates = candidates[admitted[candidates]]
-        if len(candidates) > keep:
-            floor = -np.partition(-row[candidates], keep - 1)[keep - 1]
-            candidates = candidates[row[candidates] >= floor]
-        ranked = candidates[np.argsort(-row[candidates], kind="stable")][:keep]
-        frames.append(pd.DataFrame({
-            "query_id": [query_ids[q]] * len(ranked), "query_state": [query_states[q]] * len(ranked),
-            "chunk_id": np.asarray(ids)[ranked], "state": np.asarray(states, dtype=object)[ranked],
-            "similarity": row[ranked]}))
-    return pd.concat(frames, ignore_index=True)
+def _admitted(query_states: list, states: list) -> np.ndarray:
+    """Which chunks (columns) a query (row) may see: its own state or all states; no state sees everything."""
+    own = np.asarray(states, dtype=object)
+    everywhere = own == fv.ALL_STATES
+    by_state = {s: everywhere | (own == s) if s is not None else np.ones(len(own), dtype=bool) for s in set(query_states)}
+    return np.stack([by_state[s] for s in query_states])
+
+
+def _keep_best(similarity: np.ndarray, keep: int) -> np.ndarray:
+    """Mask of the ``keep`` largest values per row; among equal values the leftmost stay."""
+    if similarity.shape[1] <= keep:
+        return similarity > -np.inf
+    cut = -np.partition(-similarity, keep - 1, axis=1)[:, keep - 1:keep]
+    mask = similarity >= cut
+    for row in np.flatnonzero(mask.sum(axis=1) > keep):
+        above = similarity[row] > cut[row]
+        ties = np.flatnonzero(similarity[row] == cut[row])[:keep - int(above.sum())]
+        mask[row] = above
+        mask[row, ties] = True
+    return mask & (similarity > -np.inf)
+
+
+def _best(chunk_rows: pd.DataFrame, query_ids, query_states, query_matrix, keep, state_filter) -> Iterator[pd.DataFrame]:
+    """The best ``keep`` chunks of this block for every query, a slice of queries at a time."""
+    chunk_rows = chunk_rows.sort_values("chunk_id", kind="stable")  # ties go to the smaller id
+    matrix = _matrix(chunk_rows["embedding"]).T
+    ids, states = chunk_rows["chunk_id"].to_numpy(), chunk_rows["state"].to_numpy(dtype=object)
+    step = max(1, MAX_CELLS // max(1, len(ids)))
+    for start in range(0, len(query_ids), step):
+        part = slice(start, start + step)
+        similarity = query_matrix[part] @ matrix
+        if state_filter:
+            similarity = np.where(_admitted(query_states[part], states), similarity, -np.inf)
+        rows, columns = np.nonzero(_keep_best(similarity, keep))
+        yield pd.DataFrame({
+            "query_id": np.asarray(query_ids[part])[rows],
+            "query_state": np.asarray(query_states[part], dtype=object)[rows],
+            "chunk_id": ids[columns], "state": states[columns], "similarity": similarity[rows, columns]})
 
 
 def _candidates(queries: DataFrame, chunks: DataFrame, keep: int, state_filter: bool,
@@ -124,8 +143,7 @@ def _candidates(queries: DataFrame, chunks: DataFrame, keep: int, state_filter:
             query_ids, query_states, query_matrix = shared.value
             for frame in frames:
                 if len(frame):
-                    yield _best(frame["chunk_id"].tolist(), frame["state"].tolist(), _matrix(frame["embedding"]),
-                                query_ids, query_states, query_matrix, keep, state_filter)
+                    yield from _best(frame, query_ids, query_states, query_matrix, keep, state_filter)
 
         return c.mapInPandas(scan, schema)
 
@@ -145,9 +163,9 @@ def _candidates(queries: DataFrame, chunks: DataFrame, keep: int, state_filter:
     def cell(query_rows: pd.DataFrame, chunk_rows: pd.DataFrame) -> pd.DataFrame:
         if query_rows.empty or chunk_rows.empty:
             return pd.DataFrame({f.name: [] for f in schema})
-        return _best(chunk_rows["chunk_id"].tolist(), chunk_rows["state"].tolist(), _matrix(chunk_rows["embedding"]),
-                     query_rows["query_id"].tolist(), query_rows["query_state"].tolist(),
-                     _matrix(query_rows["query_vector"]), keep, state_filter)
+        return pd.concat(_best(
+            chunk_rows, query_rows["query_id"].tolist(), query_rows["query_state"].tolist(),
+            _matrix(query_rows["query_vector"]), keep, state_filter), ignore_index=True)
 
     return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(cell, schema)
 
@@ -206,9 +224,9 @@ def sync_embeddings(old_chunks: DataFrame, new_chunks: DataFrame, old_vectors: D
 
     Unchanged vectors are taken over; vectors of deleted chunks are dropped.
     """
-    from ..sources.tables import change_feed, changed_keys, merge_upsert
+    from ..sources.tables import changed_between, merge_upsert
 
-    changed = changed_keys(change_feed(old_chunks, new_chunks, key), key)
+    changed = changed_between(old_chunks, new_chunks, key)
     fresh = embed(new_chunks.join(changed, key, "left_semi"), encoder)
     kept = old_vectors.join(new_chunks.select(key), key, "left_semi")
     return merge_upsert(kept, fresh.select(*old_vectors.columns), key, check=False, source_keys=changed)

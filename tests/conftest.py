@@ -13,7 +13,9 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "tests")
+    session = local_session(os.cpu_count() or 4, "tests")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
+    return session
 
 
 @pytest.fixture(scope="session")

@@ -104,7 +104,7 @@ def score_distribution(df: DataFrame, column: str = "score") -> DataFrame:
                   F.avg(column).alias("avg_score"), quartile(0.75).alias("p75"), F.max(column).alias("max_score"))
 
 
-def feature_summary(df: DataFrame, columns: list[str], accuracy: int = 10_000) -> DataFrame:
+def feature_summary(df: DataFrame, columns: list[str], accuracy: int = 100_000) -> DataFrame:
     """One row per feature: count, mean, stddev, min, quartiles, max; one pass over the table."""
     def stats(c: str) -> Column:
         value = F.col(c).cast("double")
@@ -165,7 +165,7 @@ def scheme_reach(eligibility: DataFrame) -> DataFrame:
         F.countDistinct("user_id").alias("eligible_users")).orderBy(F.desc("eligible_users"), "scheme_name")
 
 
-def income_score_frame(df: DataFrame, q: float = 0.95, accuracy: int = 10_000) -> DataFrame:
+def income_score_frame(df: DataFrame, q: float = 0.95, accuracy: int = 100_000) -> DataFrame:
     """Income against score with the q-quantile of income (nearest rank) as axis limit; all points are kept."""
     limit = df.agg(F.percentile_approx("avg_monthly_income", q, accuracy)).scalar()
     points = df.select("user_id", "persona", "avg_monthly_income", "predicted_score", "score_category")

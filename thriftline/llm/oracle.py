@@ -111,6 +111,16 @@ FROM documents d LEFT JOIN found f USING (doc_id)
 """
 
 
+#: op7: a join of the queries with all rows, whose components are floored one by one.
+OP7 = """
+WITH ints AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+              WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+           FROM ints q JOIN ints c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLE_SQL = {
-    "op2_link_trust": op2_sql(), "op3_license_dice": op3_sql(), "op6_rule_cascade": OP6, "op10_line_dedup": OP10,
+    "op7_histogram_topk": OP7, "op2_link_trust": op2_sql(), "op3_license_dice": op3_sql(), "op6_rule_cascade": OP6, "op10_line_dedup": OP10,
 }

@@ -1,12 +1,9 @@
 """The registered queries of this subpackage: thin, each over a whole table."""
 from __future__ import annotations
 
-import base64
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import license_dice, line_dedup, link_trust, rule_cascade
+from . import byte_bpe, histogram_topk, license_dice, line_dedup, link_trust, lp_packing, rule_cascade
 from .oracle import ORACLE_SQL
 
 
@@ -14,6 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file, which lies at the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = link_trust.link_trust(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -33,9 +37,28 @@ def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
 
+def op7_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return histogram_topk.histogram_topk(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op8_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lp_packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    shown = encoded.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), "ids", "offsets")
+    decoded = byte_bpe.decode(shown, path)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_link_trust, op3_license_dice, op6_rule_cascade, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op2_link_trust, op3_license_dice, op6_rule_cascade, op7_histogram_topk, op8_lp_packing, op9_byte_bpe, op10_line_dedup)}

@@ -5,6 +5,20 @@ from . import license_dice, link_trust
 
 SPACE = r"[\x20\x09-\x0D]"
 
+#: op1: SHA-1 as hexadecimal digits, these as bits, every five of them as a letter; the largest page of a payload is the response.
+OP1 = """
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || substr(hex, i, 1))::INT), 4, '0')), '') AS b
+         FROM hashed),
+spelled AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+              + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT
+              + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest FROM bits),
+first AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS response FROM spelled)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM first
+"""
+
 #: op10: keys by two regular expressions and a translation, first holders by a grouping, then the rest joined again.
 OP10 = rf"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -122,5 +136,6 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 ORACLE_SQL = {
+    "op1_warc_bundles": OP1,
     "op7_histogram_topk": OP7, "op2_link_trust": op2_sql(), "op3_license_dice": op3_sql(), "op6_rule_cascade": OP6, "op10_line_dedup": OP10,
 }

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, histogram_topk, license_dice, line_dedup, link_trust, lp_packing, rule_cascade
+from . import byte_bpe, histogram_topk, license_dice, line_dedup, link_trust, lp_packing, rule_cascade, text_density, warc_bundles
 from .oracle import ORACLE_SQL
 
 
@@ -18,6 +18,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_bundles.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = link_trust.link_trust(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -29,6 +34,10 @@ def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("licenses", " ").alias("licenses"))
 
 
+def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_density.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = rule_cascade.rule_cascade(docs, measures=rule_cascade.MEASURES)
@@ -61,4 +70,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_link_trust, op3_license_dice, op6_rule_cascade, op7_histogram_topk, op8_lp_packing, op9_byte_bpe, op10_line_dedup)}
+    op1_warc_bundles, op2_link_trust, op3_license_dice, op4_text_density, op6_rule_cascade, op7_histogram_topk, op8_lp_packing,
+    op9_byte_bpe, op10_line_dedup)}

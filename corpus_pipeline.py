@@ -1,3 +1,68 @@
-"""Placeholder of the corpus pipeline, filled below."""
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+"""From raw documents to packed training sequences: quality rules, shared lines, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the documents of the next stage.  All stages but
+the last return the columns of ``documents``.
+"""
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from thriftline.llm import jaccard_join, line_dedup, lp_packing, rule_cascade
+from thriftline.plans.workspace import write_through
+
+#: No SQL has the packing's vocabulary or its plan; the tests hold all stages against brute-force versions.
+ORACLE_SQL = None
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects.  A null text is too short, and goes."""
+    judged = rule_cascade.rule_cascade(docs)
+    return judged.filter("kept").select(*docs.columns)
+
+
+def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that a document of smaller id holds too; n_chars counts what is left.
+
+    A document that loses all its lines stays, with an empty text.
+    """
+    out = line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id.
+
+    Rows of equal id and text are one document.  Documents without an id belong
+    to no class, and stay.
+    """
+    classes = jaccard_join.jaccard_join(docs)
+    same = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(same.alias("first")).distinct()
+    rows = docs.withColumn("same", same)
+    kept = rows.join(first, rows["same"] == first["first"], "left_semi")
+    return kept.dropDuplicates(["same", "text"]).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequence and place in it."""
+    return lp_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("shared_lines", shared_lines),
+    ("near_duplicates", near_duplicates),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the rows of the last."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = write_through(stage(spark, docs, sf_dir), name)
+    return docs

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, histogram_topk, license_dice, line_dedup, link_trust, lp_packing, rule_cascade, text_density, warc_bundles
+from . import byte_bpe, histogram_topk, jaccard_join, license_dice, line_dedup, link_trust, lp_packing, rule_cascade, text_density, warc_bundles
 from .oracle import ORACLE_SQL
 
 
@@ -38,6 +38,10 @@ def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_density.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = rule_cascade.rule_cascade(docs, measures=rule_cascade.MEASURES)
@@ -70,5 +74,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc_bundles, op2_link_trust, op3_license_dice, op4_text_density, op6_rule_cascade, op7_histogram_topk, op8_lp_packing,
-    op9_byte_bpe, op10_line_dedup)}
+    op1_warc_bundles, op2_link_trust, op3_license_dice, op4_text_density, op5_jaccard_join, op6_rule_cascade,
+    op7_histogram_topk, op8_lp_packing, op9_byte_bpe, op10_line_dedup)}

@@ -36,13 +36,16 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id.
 
-    Rows of equal id and text are one document.  Documents without an id belong
-    to no class, and stay.
+    Rows of equal id and text are one document, and so are documents without any
+    word, which the stage before has emptied.  Documents without an id belong to
+    no class, and stay.
     """
     classes = jaccard_join.jaccard_join(docs)
     same = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(same.alias("first")).distinct()
-    rows = docs.withColumn("same", same)
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"\S")
+    first_blank = docs.filter(blank).agg(F.min("doc_id")).first()[0]
+    rows = docs.withColumn("same", same).filter(~blank | F.col("doc_id").isNull() | (F.col("doc_id") == F.lit(first_blank)))
     kept = rows.join(first, rows["same"] == first["first"], "left_semi")
     return kept.dropDuplicates(["same", "text"]).select(*docs.columns)
 

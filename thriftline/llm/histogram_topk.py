@@ -39,13 +39,13 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, scale: int, largest: int):
         self.ids, self.vectors, self.scale = ids, vectors, scale
-        bound = np.abs(vectors).sum(1) * largest + 1
-        if bound.max(initial=0) >= 1 << 61:
+        if np.abs(vectors.astype(np.float64)).sum(1).max(initial=0) * largest >= 2.0 ** 61:
             raise ValueError("scores don't fit in 64 bits")
+        bound = np.abs(vectors).sum(1) * largest + 1
         #: Sums below 2**53 are exact in doubles, for which products of matrices are fast.
         self.exact = bool(bound.max(initial=0) < 1 << 53)
         self.low = -bound
-        self.shift = np.array([max(0, int(2 * b).bit_length() - BINS.bit_length() + 1) for b in bound])
+        self.shift = np.array([max(0, (2 * int(b)).bit_length() - BINS.bit_length() + 1) for b in bound])
         self.need = np.full(len(ids), k)
 
     def scores(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:

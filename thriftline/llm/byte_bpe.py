@@ -28,7 +28,7 @@ UNICODE_16 = (
     (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FF),
 )
 #: Codepoints that are scanned at once, and entries that the cache of a task's process holds before it starts afresh.
-CHUNK, BLOCK, CACHE = 1 << 21, 128, 700_000
+CHUNK, BLOCK, CACHE = 1 << 19, 128, 400_000
 
 
 def _step(state: int, kind: int) -> int:
@@ -167,52 +167,33 @@ def slices(texts: list[str]) -> Iterator[list[bytes]]:
         at = end + 1
 
 
+NONE = np.iinfo(np.int32).max
+
+
 @lru_cache(maxsize=2)
 def pair_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every pair of tokens that together are a token: sorted keys, their ranks, and the ranks of single bytes."""
     ranks = vocabulary(path)
     pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t))
              if t[:i] in ranks and t[i:] in ranks]
-    keys, values = np.array(sorted(pairs), np.int64).T
-    size = 1 << 20
-    while True:  # a table without collisions in a bucket of four
-        bucket = _bucket(keys, size)
-        order = np.argsort(bucket, kind="stable")
-        place = np.arange(len(keys)) - np.searchsorted(bucket[order], bucket[order])
-        if place.max() < 4:
-            break
-        size *= 2
-    table = np.full((size, 4), -1, np.int64)
-    ranked = np.full((size, 4), NONE, np.int32)
-    table[bucket[order], place], ranked[bucket[order], place] = keys[order], values[order]
-    return table, ranked, np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-
-
-NONE = np.iinfo(np.int32).max
+    keys, values = np.array(sorted(pairs), np.int64).T.copy()
+    return keys, values.astype(np.int32), np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
 
-def _bucket(keys: np.ndarray, size: int) -> np.ndarray:
-    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
-
-
-def _ranks(left: np.ndarray, right: np.ndarray, table: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+def _ranks(left: np.ndarray, right: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The rank of each pair, NONE where the two don't make a token."""
-    keys = left.astype(np.int64) << 32 | right
-    bucket = _bucket(keys, len(table))
-    out = np.full(keys.shape, NONE, np.int32)
-    for k in range(4):
-        np.copyto(out, ranked[bucket, k], where=table[bucket, k] == keys)
-    return out
+    wanted = left.astype(np.int64) << 32 | right
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[place] == wanted, values[place], NONE)
 
 
 def merge_many(words: list[bytes], path: str) -> list[bytes]:
     """``merge`` for words of one length at once: each round merges one pair in every word that still has one."""
-    table, ranked, single = pair_table(path)
+    keys, values, single = pair_table(path)
     parts = single[np.frombuffer(b"".join(words), np.uint8)].reshape(len(words), -1)
     out: list[bytes] = [b""] * len(words)
     place = np.arange(len(words))
-    pairs = _ranks(parts[:, :-1], parts[:, 1:], table, ranked)
+    pairs = _ranks(parts[:, :-1], parts[:, 1:], keys, values)
     while True:
         if pairs.shape[1]:
             at = pairs.argmin(1)
@@ -233,10 +214,10 @@ def merge_many(words: list[bytes], path: str) -> list[bytes]:
         pairs = np.where(after[:, :-1] if n > 2 else after[:, :0], pairs[:, 1:], pairs[:, :-1])
         inner = at < n - 2
         r = row[inner]
-        pairs[r, at[inner]] = _ranks(parts[r, at[inner]], parts[r, at[inner] + 1], table, ranked)
+        pairs[r, at[inner]] = _ranks(parts[r, at[inner]], parts[r, at[inner] + 1], keys, values)
         r = row[at > 0]
         before = at[at > 0] - 1
-        pairs[r, before] = _ranks(parts[r, before], parts[r, before + 1], table, ranked)
+        pairs[r, before] = _ranks(parts[r, before], parts[r, before + 1], keys, values)
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -345,12 +326,25 @@ def _portions(texts: Iterable[str], limit: int = CHUNK) -> Iterator[list[str]]:
         yield portion
 
 
-def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, ids and offsets of the whole text.
+def decode_ids(ids: bytes, offsets: bytes | None, path: str) -> bytes:
+    """The bytes of the ids; the offsets at which their tokens end, if given, must agree with them."""
+    tokens, lengths = decoder(path)
+    numbers = np.frombuffer(ids, "<u4")
+    if offsets is not None and not np.array_equal(lengths[numbers].cumsum(), np.frombuffer(offsets, "<u4")):
+        raise ValueError("offsets don't belong to these ids")
+    return b"".join(map(tokens.__getitem__, numbers.tolist()))
+
+
+def encode(
+    docs: DataFrame, vocabulary_path: str, text_col: str = "text", outputs: tuple[str, ...] = ("ids", "offsets"),
+) -> DataFrame:
+    """``docs`` with n_tokens of the whole text, and the ``outputs`` asked for: ids, offsets, decoded.
 
     ``ids`` and ``offsets`` are binary: little-endian unsigned 32-bit integers.
-    offsets[i] is the byte of the text's UTF-8 at which token i ends.  The file
-    of ranks must exist at ``vocabulary_path`` on every executor.
+    offsets[i] is the byte of the text's UTF-8 at which token i ends.
+    ``decoded`` is what ``decode`` makes of the ids, in the same task, so that a
+    round trip moves no ids between processes.  The file of ranks must exist at
+    ``vocabulary_path`` on every executor.
 
     A null text is an empty one; an empty text has no tokens and empty binaries.
     Equal rows are encoded alike, in one pass without a shuffle.  Without rows
@@ -359,16 +353,20 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> Dat
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = [x for portion in _portions(texts) for x in encode_texts(portion, vocabulary_path)]
-            ids, offsets = zip(*found)
+            ids, offsets = zip(*[x for portion in _portions(texts) for x in encode_texts(portion, vocabulary_path)])
+            found = {"ids": ids, "offsets": offsets}
+            if "decoded" in outputs:
+                found["decoded"] = [decode_ids(*x, vocabulary_path) for x in zip(ids, offsets)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                 pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())], ["row", "n_tokens", "ids", "offsets"])
+                 *[pa.array(found[name], pa.binary()) for name in outputs]], ["row", "n_tokens", *outputs])
 
     rows = packed(docs, text=named(text_col))
-    schema = rows.select("row").schema.add("n_tokens", "long").add("ids", "binary").add("offsets", "binary")
+    schema = rows.select("row").schema.add("n_tokens", "long")
+    for name in outputs:
+        schema = schema.add(name, "binary")
     out = rows.mapInArrow(encoded, schema)
-    return unpacked(out, docs.columns, n_tokens=F.col("n_tokens"), ids=F.col("ids"), offsets=F.col("offsets"))
+    return unpacked(out, docs.columns, n_tokens=F.col("n_tokens"), **{name: F.col(name) for name in outputs})
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, ids_col: str = "ids", offsets_col: str = "offsets") -> DataFrame:
@@ -377,14 +375,9 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids_col: str = "ids", offse
     Null ids are none.  Null offsets aren't checked.
     """
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, lengths = decoder(vocabulary_path)
         for batch in pieces(batches, 512):
-            found = []
-            for ids, ends in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                numbers = np.frombuffer(ids or b"", "<u4")
-                if ends is not None and not np.array_equal(lengths[numbers].cumsum(), np.frombuffer(ends, "<u4")):
-                    raise ValueError("offsets don't belong to these ids")
-                found.append(b"".join(map(tokens.__getitem__, numbers.tolist())))
+            found = [decode_ids(ids or b"", ends, vocabulary_path)
+                     for ids, ends in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["row", "decoded"])
 
     kept = [c for c in encoded.columns if c not in (ids_col, offsets_col)]

@@ -61,11 +61,10 @@ def op8_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    shown = encoded.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), "ids", "offsets")
-    decoded = byte_bpe.decode(shown, path)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), outputs=("ids", "decoded"))
+    return encoded.select(
+        "doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 #: What separates words: everything but letters, digits and the point inside a version number.
-GAPS = r"[^\p{L}\p{N}.]+|\.(?!\p{N})|(?<!\p{N})\."
+GAPS = r"(?:[^\p{L}\p{N}.]|\.(?!\p{N})|(?<!\p{N})\.)+"
 GAPS_ASCII = r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9])\."
 THRESHOLD = 0.9
 

@@ -169,21 +169,29 @@ class Tree:
 
 
 def density(node: Node, body: Node) -> float:
-    """Composite text density: characters per tag, scaled down by how much of the node is links."""
+    """Composite text density: characters per tag, scaled down by how much of the node is links.
+
+    With C characters and T tags, LC and LT of them in links, the scale is
+    ln(C / LC * T / LT) / ln(C / (C - LC) * LC + LC' / C' * C + e), C' and LC'
+    being those of the body; at most 1, which is also that of a node without links.
+    """
     if not node.chars:
         return 0.0
-    plain = max(1, node.chars - node.link_chars)
-    base = math.log(node.chars / plain * node.link_chars + body.link_chars / max(1, body.chars) * node.chars + math.e)
     tags = max(1, node.tags)
-    ratio = node.chars / max(1, node.link_chars) * tags / max(1, node.link_tags)
-    return node.chars / tags * max(0.0, math.log(ratio) / max(base, 1.0))
+    scale = 1.0
+    if node.link_chars:
+        plain = max(1, node.chars - node.link_chars)
+        base = math.log(node.chars / plain * node.link_chars + body.link_chars / max(1, body.chars) * node.chars + math.e)
+        ratio = node.chars / node.link_chars * tags / max(1, node.link_tags)
+        scale = min(1.0, max(0.0, math.log(ratio)) / base)
+    return node.chars / tags * scale
 
 
 def main_text(page: str) -> str:
     """The text of the subtree with the largest sum of its children's densities.
 
-    The least density on the path from that node up to the body is the
-    threshold.  If the node stands in an article element, that element is the
+    The least density on the path from that node up to the body gives the
+    threshold, a half of it.  If the node stands in an article element, that element is the
     content.  Otherwise the path's other children belong to it too where they
     reach the threshold, and headings that directly precede such a child.
     """
@@ -205,7 +213,7 @@ def main_text(page: str) -> str:
     for i in path:
         if nodes[i].name == "article":
             return tree.text([(nodes[i].first, nodes[i].last)])
-    threshold = min(densities[i] for i in path)
+    threshold = min(densities[i] for i in path) / 2
     kept = [(nodes[best].first, nodes[best].last)]
     for below, above in zip(path, path[1:]):
         heading = None

@@ -87,19 +87,31 @@ def _(spark, d):
     return models.predict_scores(_regressor(spark, d), layers.gold(spark, d))
 
 
-@case("regression_metrics", "J5", """
-SELECT split, count(*) AS n, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae,
+_NOISY = """SELECT split, count(*) AS n, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae,
   1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2
 FROM (SELECT *, CAST(rule_score AS DOUBLE) AS y, CAST(noisy_score AS DOUBLE) AS p,
   CASE WHEN CAST(('0x' || substr(md5('42:' || user_id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.8 THEN 'train' ELSE 'test' END AS split
-  FROM v_scored) GROUP BY split""", rmse=6, mae=6, r2=6)
-def _(spark, d):
+  FROM v_scored) GROUP BY split"""
+
+
+def _noisy_metrics(spark, d):
     from ..functions import scoring
     key = F.regexp_replace(F.regexp_replace("user_id", "USR-", ""), "BAD", "0").cast("long")
     both = score_tables.with_rule_score(score_tables.with_rule_score(layers.gold(spark, d), column="target"), scoring.key_noise(key), "prediction")
     return models.regression_metrics(models.split(both, models.TRAIN_TEST), "target")
 
 
+@case("regression_metrics", "J5", _NOISY, rmse=6, mae=6, r2=6)
+def _(spark, d):
+    return _noisy_metrics(spark, d)
+
+
+@case("overfit_ratio", "J5", f"SELECT max(rmse) FILTER (WHERE split = 'test') / max(rmse) FILTER (WHERE split = 'train') AS overfit_ratio FROM ({_NOISY})",
+      overfit_ratio=6)
+def _(spark, d):
+    return models.overfit_ratio(_noisy_metrics(spark, d))
+
+
 _RANKED = "SELECT default_label AS y, default_probability AS p, rank() OVER (ORDER BY default_probability) + (count(*) OVER (PARTITION BY default_probability) - 1) / 2.0::DOUBLE AS r FROM v_gold_pl"
 
 

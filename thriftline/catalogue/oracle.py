@@ -437,7 +437,7 @@ SELECT user_id, round(avg(paid_on_time), 4) AS p1_bill_ontime_rate, round(avg(da
 FROM v_clean_bills GROUP BY user_id)""")
 view("v_p2", """
 SELECT *, round(p2_std_txn_amount / (p2_avg_txn_amount + 0.01::DOUBLE), 4) AS p2_txn_cv FROM (
-SELECT user_id, round(count(*) / 12.0::DOUBLE, 2) AS p2_upi_txn_per_month, round(CAST(sum(CAST(round(amount * 10000, 0) AS BIGINT)) AS DOUBLE) / 10000.0::DOUBLE / count(amount), 2) AS p2_avg_txn_amount,
+SELECT user_id, round(count(*) / 12.0::DOUBLE, 2) AS p2_upi_txn_per_month, round(CAST(sum(CAST(amount AS DECIMAL(28,12))) AS DOUBLE) / count(amount), 2) AS p2_avg_txn_amount,
   round(stddev_samp(amount), 2) AS p2_std_txn_amount,
   round(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END)::DOUBLE / count(*), 4) AS p2_failure_rate,
   CAST(count(DISTINCT category) AS DOUBLE) AS p2_merchant_diversity,

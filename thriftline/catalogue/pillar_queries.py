@@ -200,20 +200,54 @@ def _(spark, d):
 
 
 _CARD = f"""SELECT user_id, {{title}} AS segment, score, score_band, round(default_probability * 100, 2) AS default_pct,
-  explanation_text, top_positive_factors, top_negative_factors, {', '.join(f'round({c}, 1) AS p{i}' for i, c in enumerate(_PTS, 1))}
-FROM v_scores s LEFT JOIN (SELECT * EXCLUDE (segment) FROM v_explanations) e USING (user_id)"""
+  max_order AS score_timestamp, 'v' || length(score_band) AS model_version, explanation_text, top_positive_factors, top_negative_factors, {', '.join(f'round({c}, 1) AS p{i}' for i, c in enumerate(_PTS, 1))}
+FROM v_scores s LEFT JOIN (SELECT * EXCLUDE (segment) FROM v_explanations) e USING (user_id)
+LEFT JOIN (SELECT 'USR-' || o_custkey AS user_id, max(o_orderdate) AS max_order FROM orders GROUP BY 1) USING (user_id)"""
 _TITLE = "CASE s.segment " + " ".join(
     f"WHEN '{s}' THEN '{s.replace('_', ' ').title()}'" for s in fv.SEGMENTS) + " END"
 
 
+def _dated_scores(spark, d):
+    """Scores with provenance: the time of the user's last order, and a version."""
+    seen = inputs.table(spark, d, "orders").groupBy(F.concat(F.lit("USR-"), F.col("o_custkey").cast("string")).alias("user_id")).agg(
+        F.max("o_orderdate").alias("score_timestamp"))
+    version = F.concat(F.lit("v"), F.length("score_band").cast("string"))
+    return inputs.scores(spark, d).join(seen, "user_id", "left").withColumn("model_version", version)
+
+
+@case("profile_listing", "F5", """
+SELECT user_id, segment, state, bill_ontime_rate_24m, k % 25 AS bill_streak_months, (k % 20) / 100.0::DOUBLE AS nach_bounce_rate, income_monthly,
+  upi_txn_per_month, round(income_monthly / 50, 2) AS upi_avg_txn_amount, round(income_monthly / 50 * upi_txn_per_month, 2) AS upi_monthly_credit
+FROM (SELECT *, CAST(substr(user_id, 5) AS BIGINT) AS k FROM v_profiles)""",
+      bill_ontime_rate_24m=2, nach_bounce_rate=2, income_monthly=2, upi_avg_txn_amount=1, upi_monthly_credit=1)
+def _(spark, d):
+    k, income = F.substring("user_id", 5, 20).cast("long"), F.col("income_monthly")
+    return analytics.profile_listing(inputs.profiles(spark, d).withColumns({
+        "bill_streak_months": k % 25, "nach_bounce_rate": (k % 20) / 100.0, "upi_avg_txn_amount": F.round(income / 50, 2),
+        "upi_monthly_credit": F.round(income / 50 * F.col("upi_txn_per_month"), 2)}))
+
+
+@case("parsed_factors", "2.8 JSON", " UNION ALL ".join(
+    f"SELECT user_id, '{p}' AS feature, CASE WHEN shap_{p}_pts < 0 THEN 'down' ELSE 'up' END AS direction, shap_{p}_pts AS points FROM v_points"
+    for p in fv.PILLARS), points=1)
+def _(spark, d):
+    """Pillar points as JSON lists of factors, parsed again."""
+    points = explain.pillar_points(inputs.contributions(spark, d))
+    factors = F.array(*[F.struct(
+        F.lit(p).alias("feature"), F.when(F.col(f"shap_{p}_pts") < 0, "down").otherwise("up").alias("direction"),
+        F.col(f"shap_{p}_pts").alias("points")) for p in fv.PILLARS])
+    listed = points.select("user_id", F.to_json(factors).alias("shap_factors"))
+    return listed.select("user_id", F.inline(scoring.parse_factors(F.col("shap_factors"))))
+
+
 @case("user_cards", "C5", _CARD.format(title=_TITLE), default_pct=2, **{f"p{i}": 1 for i in range(1, 7)})
 def _(spark, d):
-    return analytics.user_cards(inputs.scores(spark, d), layers.explanations(spark, d))
+    return analytics.user_cards(_dated_scores(spark, d), layers.explanations(spark, d))
 
 
 @case("user_card", "B20", _CARD.format(title=_TITLE) + " WHERE user_id = 'USR-7'", default_pct=2, **{f"p{i}": 1 for i in range(1, 7)})
 def _(spark, d):
-    return analytics.user_card(inputs.scores(spark, d), layers.explanations(spark, d), "USR-7")
+    return analytics.user_card(_dated_scores(spark, d), layers.explanations(spark, d), "USR-7")
 
 
 # --- joins, eligibility, risk ------------------------------------------------------------------
@@ -255,13 +289,14 @@ def _(spark, d):
 
 _OFFER = " || ".join(
     f"CASE WHEN {f'credit_score >= {m}' if m is not None else 'regexp_matches(lower(occupation), ' + oracle.quote('|'.join(k)) + ')'} "
-    f"THEN {oracle.quote(n + '/' + i + ';')} ELSE '' END" for n, m, k, _a, i, _c in fv.APP_SCHEMES)
+    f"THEN {oracle.quote('/'.join((n, a, i, c)) + ';')} ELSE '' END" for n, m, k, a, i, c in fv.APP_SCHEMES)
 
 
 @case("eligible_schemes", "I14", f"SELECT user_id, credit_score, occupation, {_OFFER} AS offers FROM v_borrowers")
 def _(spark, d):
     offered = score_tables.eligible_schemes(inputs.borrowers(spark, d))
-    listed = F.transform("schemes", lambda s: F.concat(s["name"], F.lit("/"), s["interest"], F.lit(";")))
+    listed = F.transform("schemes", lambda s: F.concat(
+        F.concat_ws("/", s["name"], s["amount"], s["interest"], s["collateral"]), F.lit(";")))
     return offered.select("user_id", "credit_score", "occupation", F.array_join(listed, "").alias("offers"))
 
 

@@ -60,12 +60,14 @@ def _(spark, d):
     return quality.quality_report(layers.enriched(spark, d))
 
 
-@case("null_profile", "B16", "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM v_silver"
-    for c in ("user_id", "date", "chq_num", "withdrawal", "deposit", "clean_balance", "persona")) + ")")
+_SILVER_COLUMNS = ("user_id", "date", "particulars", "chq_num", "withdrawal", "deposit", "balance", "clean_withdrawal", "clean_deposit",
+                   "clean_balance", "particulars_lower", "category", "transaction_type", "merchant", "persona")
+
+
+@case("null_profile", "B16", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count FROM v_silver" for c in _SILVER_COLUMNS))
 def _(spark, d):
-    return quality.null_profile(layers.silver(spark, d).select(
-        "user_id", "date", "chq_num", "withdrawal", "deposit", "clean_balance", "persona"))
+    return quality.null_profile(layers.silver(spark, d))
 
 
 @case("cleaning_summary_statements", "B17", """
@@ -347,12 +349,21 @@ def _(spark, d):
     return analytics.user_table(layers.dashboard(spark, d))
 
 
-@case("improvement_tips", "I15", """
-SELECT user_id, CASE WHEN bills_on_time_pct < 0.9 THEN 1 ELSE 0 END + CASE WHEN upi_txn_count < 500 THEN 1 ELSE 0 END + 3 AS tips,
-  CASE WHEN bills_on_time_pct < 0.9 THEN 'Pay all bills' WHEN upi_txn_count < 500 THEN 'Use UPI for d' ELSE 'Start a small' END AS first_tip
-FROM (SELECT user_id, bill_ontime_rate_24m AS bills_on_time_pct, upi_txn_per_month * 2 AS upi_txn_count FROM v_profiles)""")
+_TIPS = " || ".join([
+    *[f"CASE WHEN coalesce({c}, 0) < {limit} THEN {oracle.quote(tip + ' | ')} ELSE '' END" for c, limit, tip in fv.IMPROVEMENT_TIPS],
+    *[oracle.quote(tip + " | ") for tip in fv.STANDING_TIPS]])
+
+
+@case("improvement_tips", "I15", f"""
+SELECT user_id, bills_on_time_pct, upi_txn_count, {_TIPS} AS tips
+FROM (SELECT user_id, CASE WHEN segment <> 'rural_farmer' THEN bill_ontime_rate_24m END AS bills_on_time_pct,
+             CASE WHEN segment <> 'kirana_owner' THEN upi_txn_per_month * 2 END AS upi_txn_count FROM v_profiles)""",
+      bills_on_time_pct=4)
 def _(spark, d):
+    """Farmers have no bills on record, shops no payments: both count as 0."""
+    segment = F.col("segment")
     people = inputs.profiles(spark, d).select(
-        "user_id", F.col("bill_ontime_rate_24m").alias("bills_on_time_pct"), (F.col("upi_txn_per_month") * 2).alias("upi_txn_count"))
-    tips = people.withColumn("all_tips", scoring.improvement_tips())
-    return tips.select("user_id", F.size("all_tips").alias("tips"), F.substring(F.element_at("all_tips", 1), 1, 13).alias("first_tip"))
+        "user_id", F.when(segment != "rural_farmer", F.col("bill_ontime_rate_24m")).alias("bills_on_time_pct"),
+        F.when(segment != "kirana_owner", F.col("upi_txn_per_month") * 2).alias("upi_txn_count"))
+    tips = F.transform(scoring.improvement_tips(), lambda tip: F.concat(tip, F.lit(" | ")))
+    return people.withColumn("tips", F.array_join(tips, ""))

@@ -3,36 +3,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import analytics, clean, quality, refresh
-from ..plans.workspace import new_path
+from ..functions import fixed_values as fv
+from ..operators import clean, quality, refresh
+from ..plans.workspace import new_path, write_through
 from ..sources import files, schemas, statements as st, tables
 from ..streaming import ingest
 from . import inputs, layers, oracle
 from .registry import case
 
-# Two snapshots of trailing activity, three months apart
-OLD_WINDOW = ("1998-01-01", "1998-07-01")
-NEW_WINDOW = ("1998-04-01", "1998-10-01")
+# Two snapshots of all orders per customer and priority: what was finished or pending, and what is open or pending
+OLD_BOOK, NEW_BOOK = ("F", "P"), ("O", "P")
 
 
-def activity(spark: SparkSession, d: str, window: tuple[str, str]) -> DataFrame:
-    """Per customer: orders, value and last order date in a window of time."""
-    start, end = window
-    placed = F.col("o_orderdate")
-    recent = inputs.table(spark, d, "orders").filter((placed >= F.lit(start).cast("timestamp")) & (placed < F.lit(end).cast("timestamp")))
-    return recent.groupBy(F.concat(F.lit("USR-"), F.col("o_custkey").cast("string")).alias("user_id")).agg(
+def activity(spark: SparkSession, d: str, statuses: tuple[str, str]) -> DataFrame:
+    """Per customer and priority: orders, value and last order date of the orders in one of the statuses."""
+    orders = inputs.table(spark, d, "orders")
+    key = F.concat(F.lit("USR-"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderpriority"))
+    counted = orders.filter(F.col("o_orderstatus").isin(*statuses))
+    return counted.groupBy(key.alias("user_id")).agg(
         F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"),
-        F.max(placed.cast("date")).alias("last_order"))
+        F.max(F.col("o_orderdate").cast("date")).alias("last_order"))
 
 
-def _activity_sql(window: tuple[str, str]) -> str:
-    return f"""SELECT 'USR-' || o_custkey AS user_id, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total,
-  max(CAST(o_orderdate AS DATE)) AS last_order FROM orders
-  WHERE o_orderdate >= TIMESTAMP '{window[0]}' AND o_orderdate < TIMESTAMP '{window[1]}' GROUP BY o_custkey"""
+def _activity_sql(statuses: tuple[str, str]) -> str:
+    return f"""SELECT 'USR-' || o_custkey || '/' || o_orderpriority AS user_id, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total,
+  max(CAST(o_orderdate AS DATE)) AS last_order FROM orders WHERE o_orderstatus IN {statuses} GROUP BY 1"""
 
 
-oracle.view("v_old", _activity_sql(OLD_WINDOW))
-oracle.view("v_new", _activity_sql(NEW_WINDOW))
+oracle.view("v_old", _activity_sql(OLD_BOOK))
+oracle.view("v_new", _activity_sql(NEW_BOOK))
 _SAME = "o.n_orders = n.n_orders AND o.total = n.total AND o.last_order = n.last_order"
 
 
@@ -42,41 +41,41 @@ UNION ALL SELECT 'delete', o.* FROM v_old o ANTI JOIN v_new n USING (user_id)
 UNION ALL SELECT 'update_preimage', o.* FROM v_old o JOIN v_new n USING (user_id) WHERE NOT ({_SAME})
 UNION ALL SELECT 'update_postimage', n.* FROM v_old o JOIN v_new n USING (user_id) WHERE NOT ({_SAME})""", total=2)
 def _(spark, d):
-    return tables.change_feed(activity(spark, d, OLD_WINDOW), activity(spark, d, NEW_WINDOW), "user_id")
+    return tables.change_feed(activity(spark, d, OLD_BOOK), activity(spark, d, NEW_BOOK), "user_id")
 
 
 @case("changed_users", "A14 C3", f"""
 SELECT n.* FROM v_new n LEFT JOIN v_old o USING (user_id) WHERE o.user_id IS NULL OR NOT ({_SAME})""", total=2)
 def _(spark, d):
-    old, new = activity(spark, d, OLD_WINDOW), activity(spark, d, NEW_WINDOW)
+    old, new = activity(spark, d, OLD_BOOK), activity(spark, d, NEW_BOOK)
     keys = tables.changed_keys(tables.change_feed(old, new, "user_id"), "user_id")
     return refresh.restrict_to_changed(new, keys)
 
 
 @case("applied_feed", "A14", "SELECT * FROM v_new", total=2)
 def _(spark, d):
-    old, new = activity(spark, d, OLD_WINDOW), activity(spark, d, NEW_WINDOW)
+    old, new = activity(spark, d, OLD_BOOK), activity(spark, d, NEW_BOOK)
     return tables.apply_feed(old, tables.change_feed(old, new, "user_id"), "user_id")
 
 
 @case("merge_upsert", "A13", "SELECT * FROM v_new UNION ALL SELECT o.* FROM v_old o ANTI JOIN v_new n USING (user_id)", total=2)
 def _(spark, d):
-    return tables.merge_upsert(activity(spark, d, OLD_WINDOW), activity(spark, d, NEW_WINDOW), "user_id")
+    return tables.merge_upsert(activity(spark, d, OLD_BOOK), activity(spark, d, NEW_BOOK), "user_id")
 
 
 @case("snapshot_history", "A15", "SELECT 1 AS version, count(*) AS rows FROM v_old UNION ALL SELECT 2, count(*) FROM v_new")
 def _(spark, d):
     path = new_path(spark, "activity")
-    tables.snapshot_write(activity(spark, d, OLD_WINDOW), path)
-    tables.snapshot_write(activity(spark, d, NEW_WINDOW), path)
+    tables.snapshot_write(activity(spark, d, OLD_BOOK), path)
+    tables.snapshot_write(activity(spark, d, NEW_BOOK), path)
     return tables.snapshot_history(spark, path)
 
 
 @case("snapshot_latest", "A15", "SELECT * FROM v_new", total=2)
 def _(spark, d):
     path = new_path(spark, "activity")
-    tables.snapshot_write(activity(spark, d, OLD_WINDOW), path)
-    tables.snapshot_write(activity(spark, d, NEW_WINDOW), path)
+    tables.snapshot_write(activity(spark, d, OLD_BOOK), path)
+    tables.snapshot_write(activity(spark, d, NEW_BOOK), path)
     return tables.snapshot_read(spark, path)
 
 
@@ -118,6 +117,47 @@ def _(spark, d):
     return spark.read.parquet(path).groupBy("bill_type").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"))
 
 
+@case("partitioned_profiles", "A12", "SELECT segment, count(*) AS n, max(income_monthly) AS highest FROM v_valid_profiles GROUP BY segment", highest=2)
+def _(spark, d):
+    path = new_path(spark, "profiles")
+    tables.write_table(clean.clean_profiles(inputs.profiles(spark, d)), path, partition_by=["segment"])
+    return spark.read.parquet(path).groupBy("segment").agg(F.count("*").alias("n"), F.max("income_monthly").alias("highest"))
+
+
+@case("partitioned_upi", "A12", "SELECT status, count(*) AS n, max(amount) AS highest FROM v_clean_upi GROUP BY status", highest=2)
+def _(spark, d):
+    path = new_path(spark, "upi")
+    rows = clean.clean_upi(inputs.upi(spark, d))
+    tables.write_table(rows.select("user_id"), path)
+    tables.write_table(rows, path, partition_by=["status"])  # replaces rows and schema
+    return spark.read.parquet(path).groupBy("status").agg(F.count("*").alias("n"), F.max("amount").alias("highest"))
+
+
+@case("read_json_array", "A10", "SELECT p_partkey, p_name, p_size FROM part")
+def _(spark, d):
+    """Parts as files that hold one JSON array each, of the parts of a key range."""
+    from pyspark.sql import types as T
+    path, parts = new_path(spark, "part_json"), inputs.table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    arrays = parts.groupBy(F.floor(F.col("p_partkey") / 500).alias("file")).agg(
+        F.to_json(F.collect_list(F.struct(*parts.columns))).alias("value"))
+    arrays.write.partitionBy("file").text(path)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in parts.schema])
+    return files.read_json_array(spark, path, schema).select(*parts.columns)
+
+
+@case("created_layers", "A20", "SELECT o_orderstatus, count(*) AS n, 3 AS layers FROM orders GROUP BY o_orderstatus")
+def _(spark, d):
+    """Orders pass from a table in bronze through one in silver to one in gold."""
+    orders = inputs.table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    made = files.create_layers(spark, new_path(spark, "layers"))
+    orders.write.mode("overwrite").saveAsTable("bronze.orders", path=new_path(spark, "bronze_orders"))
+    spark.table("bronze.orders").dropDuplicates(["o_orderkey"]).write.mode("overwrite").saveAsTable(
+        "silver.orders", path=new_path(spark, "silver_orders"))
+    spark.table("silver.orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")).write.mode("overwrite").saveAsTable(
+        "gold.orders", path=new_path(spark, "gold_orders"))
+    return spark.table("gold.orders").withColumn("layers", F.lit(len(made)))
+
+
 @case("clustered_silver", "A19", "SELECT user_id, date, particulars, clean_balance FROM v_silver", clean_balance=2)
 def _(spark, d):
     path = new_path(spark, "clustered")
@@ -214,6 +254,31 @@ def _(spark, d):
     return st.rescue_malformed(rows, {"balance": F.col("balance").try_cast("double")})
 
 
+_BROKEN_LINE = "particulars LIKE '%EMI%'"
+
+
+def _files_with_malformed_lines(spark, d) -> str:
+    """Statement lines as CSV; a payment of an instalment has one field too many."""
+    rows, path = inputs.statements(spark, d), new_path(spark, "malformed_csv")
+    quoted = [F.concat(F.lit('"'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in st.STATEMENTS.names]
+    line = F.concat(F.concat_ws(",", *quoted), F.when(F.expr(_BROKEN_LINE), ",extra").otherwise(""))
+    rows.select(line.alias("value")).write.text(path)
+    return path
+
+
+@case("malformed_records", "A4 B13", f"""
+SELECT count(*) FILTER (WHERE {_BROKEN_LINE}) AS rescued, count(*) AS lines,
+  count(*) FILTER (WHERE {_BROKEN_LINE}) AS failed_quality FROM v_statements""")
+def _(spark, d):
+    lines = st.read_statements(spark, _files_with_malformed_lines(spark, d), rescue=True, header=False)
+    rows = write_through(lines, "rescued")  # Spark doesn't count broken lines in the files themselves
+    whole = F.col("_rescued_data").endswith(",extra")
+    rule = [r for r in quality.statement_expectations(layers.AS_OF) if r.name == "high_quality_data"]
+    failed = quality.expectation_metrics(clean.parse_date(rows), rule).select(F.col("failed").alias("failed_quality"))
+    return rows.agg(F.count_if(whole).alias("rescued"), F.count("*").alias("lines")).withColumn(
+        "failed_quality", failed.scalar())
+
+
 @case("union_evolving", "A3", """
 SELECT has_category, has_bill_type, count(*) AS n FROM (
   SELECT category IS NOT NULL AS has_category, FALSE AS has_bill_type FROM v_upi
@@ -228,7 +293,8 @@ def _(spark, d):
 def _(spark, d):
     path = new_path(spark, "documents")
     tables.write_table(inputs.table(spark, d, "documents").withColumn("part", F.col("lang")).drop("lang"), path, partition_by=["part"])
-    by_language = {lang: f"{path}/part={lang}" for lang in ("en", "fr", "de", "es")}
+    tags = [r["part"] for r in spark.read.parquet(path).select("part").distinct().collect()]  # one per folder
+    by_language = {lang: f"{path}/part={lang}" for lang in tags}
     return files.read_tagged(spark, by_language).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -250,41 +316,55 @@ def _(spark, d):
 
 # --- streams ---------------------------------------------------------------------------------
 def _bronze(spark, d):
-    """Stream the statement files into a bronze table; returns its path and the finished query."""
-    sink = new_path(spark, "bronze")
-    # two files per micro-batch, so that several batches are really taken
-    query = ingest.run_available(
-        ingest.bronze_stream(spark, _statement_files(spark, d), max_files=2), sink, new_path(spark, "bronze_checkpoint"))
-    return sink, query
+    """Stream six statement files into a bronze table, two per micro-batch; returns the paths of table and progress log."""
+    source, sink, log = (new_path(spark, name) for name in ("statement_csv", "bronze", "bronze_progress"))
+    inputs.statements(spark, d).repartition(6, "user_id", "date").write.option("header", True).csv(source)
+    ingest.run_available(
+        ingest.bronze_stream(spark, source, max_files=2), sink, new_path(spark, "bronze_checkpoint"), progress=log)
+    return sink, log
 
 
 @case("stream_bronze", "A2 A4 A5 A6 S1", "SELECT * EXCLUDE (chq_num), TRUE AS has_source FROM v_statements")
 def _(spark, d):
-    sink, _query = _bronze(spark, d)
+    sink, _log = _bronze(spark, d)
     return spark.read.parquet(sink).select(
         "user_id", "date", "particulars", "withdrawal", "deposit", "balance", F.col("source_file").isNotNull().alias("has_source"))
 
 
-@case("stream_progress", "A7", "SELECT count(*) AS input_rows, TRUE AS several_batches FROM v_statements")
+@case("stream_progress", "A7", "SELECT count(*) AS input_rows, 3 AS batches, TRUE AS every_batch_once FROM v_statements")
 def _(spark, d):
-    _sink, query = _bronze(spark, d)
-    return ingest.stream_progress(query).agg(
-        F.sum("input_rows").alias("input_rows"), (F.count("*") >= 1).alias("several_batches"))
+    _sink, log = _bronze(spark, d)
+    return ingest.stream_progress(spark, log).agg(
+        F.sum("input_rows").alias("input_rows"), F.count("*").cast("int").alias("batches"),
+        (F.count_distinct("batch_id") == F.count("*")).alias("every_batch_once"))
 
 
 _RULES = "v_dlt_raw WHERE regexp_matches(user_id, '^USR-[0-9]+$') AND date IS NOT NULL AND (withdrawal IS NOT NULL OR deposit IS NOT NULL) " \
          "AND coalesce(TRY_CAST(regexp_replace(withdrawal, '[^0-9.]', '', 'g') AS DOUBLE) < 10000000, TRUE)"
 
 
-def _streamed_silver(spark, d) -> DataFrame:
+def _streamed_silver(spark, d, progress: str | None = None) -> DataFrame:
     source = new_path(spark, "unsigned_csv")
-    inputs.statements(spark, d).withColumn("balance", F.translate("balance", "-", "")).write.option("header", True).csv(source)
+    unsigned = inputs.statements(spark, d).withColumn("balance", F.translate("balance", "-", ""))
+    unsigned.repartition(6, "user_id", "date").write.option("header", True).csv(source)
     sink = new_path(spark, "silver")
-    rows = ingest.silver_stream(st.stream_statements(spark, source), quality.statement_expectations(layers.AS_OF))
-    ingest.run_available(rows, sink, new_path(spark, "silver_checkpoint"))
+    rows = ingest.silver_stream(st.stream_statements(spark, source, max_files=2), quality.statement_expectations(layers.AS_OF))
+    ingest.run_available(rows, sink, new_path(spark, "silver_checkpoint"), progress=progress)
     return spark.read.parquet(sink)
 
 
+@case("stream_expectations", "B13 S2", """
+SELECT 'recent_transactions' AS rule, count(*) FILTER (WHERE NOT coalesce(datediff('day', date, DATE '""" + str(layers.AS_OF) + """') < """
+      + str(fv.FRESH_DAYS) + """, TRUE)) AS failed FROM v_dlt_raw
+UNION ALL SELECT 'valid_user_id', count(*) FILTER (WHERE NOT coalesce(regexp_matches(user_id, '^USR-[0-9]+$'), TRUE)) FROM v_dlt_raw""")
+def _(spark, d):
+    """Broken rules of the stream, summed over its micro-batches from the progress log."""
+    log = new_path(spark, "silver_progress")
+    _streamed_silver(spark, d, log)
+    failed = ingest.observed_counts(spark, log).groupBy(F.col("name").alias("rule")).agg(F.sum("value").alias("failed"))
+    return failed.filter(F.col("rule").isin("recent_transactions", "valid_user_id"))
+
+
 @case("stream_silver", "S2", f"""
 SELECT user_id, date, particulars, clean_withdrawal, clean_deposit, category, transaction_type, merchant FROM {_RULES}""",
       clean_withdrawal=2, clean_deposit=2)

@@ -100,11 +100,19 @@ def yes_no(predicate: Column) -> Column:
 
 
 def improvement_tips() -> Column:
-    """Personal tips first, then the standing ones."""
-    personal = [F.when(F.col(name) < limit, F.lit(tip)) for name, limit, tip in fv.IMPROVEMENT_TIPS]
+    """Personal tips first, then the standing ones; a missing value counts as 0."""
+    personal = [F.when(_zero(name) < limit, F.lit(tip)) for name, limit, tip in fv.IMPROVEMENT_TIPS]
     return F.array_compact(F.array(*personal, *[F.lit(t) for t in fv.STANDING_TIPS]))
 
 
+FACTORS = "array<struct<feature string, direction string, points double>>"
+
+
+def parse_factors(listed: Column) -> Column:
+    """A JSON list of factors as an array of structs; what is no list, or null, is an empty one."""
+    return F.coalesce(F.from_json(listed, FACTORS), F.array().cast(FACTORS))
+
+
 def default_risk(base_rate: Column) -> Column:
     """Base rate times one factor per signal, clipped to 0.005..0.65.
 

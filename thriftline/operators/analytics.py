@@ -11,6 +11,10 @@ USER_TABLE_COLUMNS = [
     "income_stability_component", "avg_monthly_income", "emi_regularity_score", "digital_adoption_rate",
     "savings_ratio", "total_transactions", "active_months", "has_emi", "has_insurance", "bounce_count",
 ]
+PROFILE_COLUMNS = [
+    "user_id", "segment", "state", "bill_ontime_rate_24m", "bill_streak_months", "nach_bounce_rate", "income_monthly",
+    "upi_txn_per_month", "upi_avg_txn_amount", "upi_monthly_credit",
+]
 PILLAR_NAMES = dict(zip(fv.PILLARS, ("Bills", "UPI", "Assets", "Income", "Identity", "Stability")))
 
 
@@ -242,6 +246,11 @@ def user_table(dashboard: DataFrame) -> DataFrame:
     return dashboard.select(*USER_TABLE_COLUMNS)
 
 
+def profile_listing(profiles: DataFrame) -> DataFrame:
+    """The ten columns of the profile page."""
+    return profiles.select(*PROFILE_COLUMNS)
+
+
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "user_id") -> DataFrame:
     """n rows in a reproducible random order (hash of seed and key)."""
     return df.withColumn("_order", text.hash_fraction(F.col(key), seed)).orderBy("_order", key).limit(n).drop("_order")
@@ -254,12 +263,12 @@ def scores_with_explanations(scores: DataFrame, explanations: DataFrame, how: st
 
 
 def user_cards(scores: DataFrame, explanations: DataFrame) -> DataFrame:
-    """Score card of every user; users without an explanation are kept."""
+    """Score card of every user; users without an explanation are kept.  ``scores`` has its provenance columns."""
     points = {f"shap_{p}_pts": f"p{i}" for i, p in enumerate(fv.PILLARS, 1)}
     joined = scores_with_explanations(scores, explanations, "left")
     return joined.select(
         "user_id", text.title_case(F.col("segment")).alias("segment"), "score", "score_band",
-        F.round(F.col("default_probability") * 100, 2).alias("default_pct"),
+        F.round(F.col("default_probability") * 100, 2).alias("default_pct"), "score_timestamp", "model_version",
         "explanation_text", "top_positive_factors", "top_negative_factors",
         *[F.round(c, 1).alias(alias) for c, alias in points.items()])
 

@@ -9,16 +9,18 @@ CORRUPT = "_corrupt_record"
 RESCUED = "_rescued_data"
 
 
-def _reader(reader, schema: T.StructType, rescue: bool):
+def _reader(reader, schema: T.StructType, rescue: bool, header: bool = True):
     if rescue:
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.schema(schema).option("header", True)
+    return reader.schema(schema).option("header", header)
 
 
-def read_statements(spark: SparkSession, path: str, schema: T.StructType = STATEMENTS, rescue: bool = False) -> DataFrame:
-    """Header CSV with text amounts; the schema is given, so no inference pass over the files."""
-    df = _reader(spark.read, schema, rescue).csv(path)
+def read_statements(
+    spark: SparkSession, path: str, schema: T.StructType = STATEMENTS, rescue: bool = False, header: bool = True,
+) -> DataFrame:
+    """CSV with text amounts, by default with a header; the schema is given, so no inference pass over the files."""
+    df = _reader(spark.read, schema, rescue, header).csv(path)
     return rescue_malformed(df) if rescue else df
 
 

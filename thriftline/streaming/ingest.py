@@ -1,8 +1,11 @@
 """Streaming ingest: files -> bronze -> silver, then batch features on the sink."""
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.clean import enrich
 from ..operators.quality import Expectation, holds, keep_rows
@@ -10,7 +13,7 @@ from ..operators.statement_features import statement_features_dlt, user_personas
 from ..sources.statements import stream_statements, with_ingest_metadata
 
 
-def append_stream(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def append_stream(df: DataFrame, path: str, checkpoint: str, every: str | None = None, name: str | None = None) -> StreamingQuery:
     """Append to a Parquet sink, exactly once through checkpoint and file log.
 
     Without ``every`` the query takes what is there and stops; with a period
@@ -18,6 +21,8 @@ def append_stream(df: DataFrame, path: str, checkpoint: str, every: str | None =
     """
     writer = df.writeStream.format("parquet").outputMode("append").option("path", path)
     writer = writer.option("checkpointLocation", checkpoint)
+    if name:
+        writer = writer.queryName(name)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
@@ -43,18 +48,76 @@ def silver_stream(bronze: DataFrame, rules: list[Expectation], null_passes: bool
     return keep_rows(rows, rules, null_passes)
 
 
-def stream_progress(query: StreamingQuery) -> DataFrame:
-    """batch_id, input_rows, trigger_ms of the recent micro-batches."""
-    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
-    rows = [(int(p["batchId"]), int(p["numInputRows"]), int((p["durationMs"] or {}).get("triggerExecution", 0)))
-            for p in query.recentProgress]
-    return spark.createDataFrame(rows, "batch_id long, input_rows long, trigger_ms long")
+PROGRESS = "batch_id long, input_rows long, trigger_ms long, observed map<string, long>"
+
 
+class ProgressLog(StreamingQueryListener):
+    """Writes one row per micro-batch of one query, observed counts included.
+
+    Spark itself keeps only the newest records of a query.  Rows are written in
+    portions and at the query's end, so a run of any length is logged whole.
+    """
 
-def run_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Process everything that is there and wait for the end."""
-    query = append_stream(df, path, checkpoint)
-    query.awaitTermination()
+    def __init__(self, spark: SparkSession, name: str, path: str, portion: int = 50):
+        self.spark, self.name, self.path, self.portion = spark, name, path, portion
+        self.rows: list[tuple] = []
+        self.query_id = None
+        self.lock, self.ended = threading.Lock(), threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self.query_id = event.id
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if progress.name != self.name:
+            return
+        counts = {k: int(v) for row in progress.observedMetrics.values() for k, v in row.asDict().items()}
+        with self.lock:
+            self.rows.append((progress.batchId, progress.numInputRows, int(progress.durationMs.get("triggerExecution", 0)), counts))
+            full = len(self.rows) >= self.portion
+        if full:
+            self.flush()
+
+    def onQueryTerminated(self, event) -> None:
+        if event.id == self.query_id:
+            self.ended.set()
+
+    def flush(self) -> None:
+        with self.lock:
+            rows, self.rows = self.rows, []
+        if rows:
+            self.spark.createDataFrame(rows, PROGRESS).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def stream_progress(spark: SparkSession, log: str) -> DataFrame:
+    """batch_id, input_rows, trigger_ms and observed counts of every micro-batch that read rows."""
+    return spark.read.schema(PROGRESS).parquet(log).filter("input_rows > 0")
+
+
+def observed_counts(spark: SparkSession, log: str) -> DataFrame:
+    """batch_id, name, value: what a stream observed, such as the rows that break each expectation."""
+    return stream_progress(spark, log).select("batch_id", F.explode("observed").alias("name", "value"))
+
+
+def run_available(df: DataFrame, path: str, checkpoint: str, progress: str | None = None) -> StreamingQuery:
+    """Process everything that is there and wait for the end; ``progress`` names a table for the log of its batches."""
+    spark, log = df.sparkSession, None
+    if progress:
+        log = ProgressLog(spark, f"run-{uuid.uuid4().hex[:12]}", progress)
+        spark.streams.addListener(log)
+    try:
+        query = append_stream(df, path, checkpoint, name=log.name if log else None)
+        query.awaitTermination()
+        if log:
+            log.ended.wait(60)  # events come in order: nothing is missing once the end is told
+            log.flush()
+    finally:
+        if log:
+            spark.streams.removeListener(log)
     failure = query.exception()
     if failure is not None:
         raise failure

@@ -16,7 +16,7 @@ from ..plans.workspace import write_through
 from .frames import named, pieces
 
 #: Entries that the cache of a task's process holds before it starts afresh.
-CACHE = 600_000
+CACHE = 300_000
 #: Buckets over which the pieces of one length are ranked, at least; a bucket for every so many pieces.
 BUCKETS, BUCKET_ROWS = 256, 100_000
 #: How much more a token of a long item is worth: short items are kept for the gaps of later rounds.

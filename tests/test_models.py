@@ -79,7 +79,30 @@ def test_split_is_reproducible_and_stratified(rows):
     share = {(r["default_label"], r["split"]): r["count"] for r in parts.groupBy("default_label", "split").count().collect()}
     for label in (0, 1):
         total = sum(v for (l, _), v in share.items() if l == label)
-        assert abs(share[(label, "train")] / total - 0.70) < 0.08
+        assert share[(label, "train")] == round(0.70 * total + 1e-9)
+        assert share[(label, "train")] + share[(label, "val")] == round(0.85 * total + 1e-9)
+
+
+def test_deep_trees_stay_additive(spark, rows):
+    """Depth 9 on eight features: paths longer than any table over all patterns could hold cheaply."""
+    names = [f"x{i}" for i in range(8)]
+    wide = rows.withColumns({n: F.pmod(F.hash("user_id", F.lit(i)), F.lit(50)).cast("double") for i, n in enumerate(names)})
+    wide = wide.withColumn("target", sum((F.col(n) * F.col(names[(i + 1) % 8]) for i, n in enumerate(names)), F.lit(0.0)))
+    model = models.train_score_regressor(wide, names, "target", maxIter=3, maxDepth=9, minInstancesPerNode=1)
+    groups, base = contrib.leaf_groups(*contrib.model_nodes(spark, model))
+    assert max(g.features.shape[1] for g in groups) >= 7
+    joined = contrib.contributions(model, wide, names, good_sign=1.0).join(model.transform(wide).select("user_id", "prediction"), "user_id")
+    total = sum((F.col(n) for n in names), F.col("base_value"))
+    assert joined.select(F.max(F.abs(total - F.col("prediction")))).first()[0] < 1e-6
+
+
+def test_tuning_keeps_test_rows_apart(spark, rows):
+    parts = models.split(rows, models.TRAIN_VAL_TEST, strata="default_label")
+    table, best, test_auc = models.tune(parts, COLUMNS, models.random_trials(3, max_iter=5))
+    found = table.collect()
+    assert [r["auc"] for r in found] == sorted((r["auc"] for r in found), reverse=True) and len(found) == 3
+    assert found[0]["test_auc"] == test_auc > 0.9 and all(r["test_auc"] is None for r in found[1:])
+    assert found[0]["step_size"] == best.step_size
 
 
 def test_metrics_on_known_values(spark):

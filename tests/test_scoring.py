@@ -71,6 +71,18 @@ def test_tips_keep_their_order(spark):
     assert tips == [fv.IMPROVEMENT_TIPS[1][2], *fv.STANDING_TIPS]
 
 
+def test_missing_values_count_as_zero_for_tips(spark):
+    both = one(spark, k=1).select(F.lit(None).cast("double").alias("bills_on_time_pct"), F.lit(None).cast("int").alias("upi_txn_count"))
+    tips = both.select(scoring.improvement_tips().alias("t")).first()["t"]
+    assert tips == [t for _, _, t in fv.IMPROVEMENT_TIPS] + list(fv.STANDING_TIPS)
+
+
+def test_factor_lists(spark):
+    listed = [('[{"feature": "a", "direction": "up", "points": 1.5}]', 1), ("[]", 0), ("no list", 0), (None, 0)]
+    rows = spark.createDataFrame(listed, "j string, n int").select(scoring.parse_factors(F.col("j")).alias("f"), "n").collect()
+    assert all(len(r["f"]) == r["n"] for r in rows) and rows[0]["f"][0]["points"] == 1.5
+
+
 def test_composites_and_caps(spark):
     row = dict(income_monthly=2400.0, p1_total_bills_24m=240.0, p2_upi_txn_per_month=10.0, p2_merchant_diversity=3.0, p2_failure_rate=0.1,
                itr_filed=1, gst_registered=0, jan_dhan_active=1, shg_member=0, owns_land=1, owns_vehicle=0, has_fd_or_rd=1,

@@ -26,9 +26,10 @@ def rules():
 
 def test_stream_equals_batch(spark, source):
     sink = new_path(spark, "silver")
-    query = ingest.run_available(
-        ingest.silver_stream(st.stream_statements(spark, source, max_files=1), rules()), sink, new_path(spark, "cp"))
-    assert ingest.stream_progress(query).filter("input_rows > 0").count() == 4
+    log = new_path(spark, "log")
+    ingest.run_available(
+        ingest.silver_stream(st.stream_statements(spark, source, max_files=1), rules()), sink, new_path(spark, "cp"), progress=log)
+    assert ingest.stream_progress(spark, log).count() == 4
     batch = ingest.silver_stream(st.read_statements(spark, source, rescue=True), rules(), observe_as=None)
     streamed = spark.read.parquet(sink)
     assert rows_of(streamed.select(*batch.columns)) == rows_of(batch)
@@ -51,16 +52,25 @@ def test_restart_takes_only_new_files(spark, sf_dir, source):
 
 
 def test_warn_metrics_come_with_the_batch(spark, source):
-    query = ingest.run_available(
-        ingest.silver_stream(st.stream_statements(spark, source), rules()), new_path(spark, "silver"), new_path(spark, "cp"))
-    observed = [p["observedMetrics"]["expectations"] for p in query.recentProgress if p["numInputRows"]]
-    total = sum(o["input_rows"] for o in observed)
-    stale = sum(o["recent_transactions"] for o in observed)
+    log = new_path(spark, "log")
+    ingest.run_available(ingest.silver_stream(st.stream_statements(spark, source, max_files=1), rules()), new_path(spark, "silver"),
+                         new_path(spark, "cp"), progress=log)
+    observed = dict(ingest.observed_counts(spark, log).groupBy("name").agg(F.sum("value")).collect())
+    total, stale = observed["input_rows"], observed["recent_transactions"]
     batch = ingest.enrich(st.read_statements(spark, source, rescue=True), "dlt")
     want = {r["rule"]: r["failed"] for r in quality.expectation_metrics(batch, rules()).collect()}
     assert total == batch.count() and stale == want["recent_transactions"]
 
 
+def test_more_batches_than_spark_remembers(spark, tmp_path):
+    for i in range(130):
+        (tmp_path / f"{i}.csv").write_text(f"user_id,date,particulars,chq_num,withdrawal,deposit,balance\nUSR-{i},01-01-2024,A,,5,,10\n")
+    log, sink = new_path(spark, "log"), new_path(spark, "bronze")
+    ingest.run_available(ingest.bronze_stream(spark, str(tmp_path), max_files=1), sink, new_path(spark, "cp"), progress=log)
+    batches = ingest.stream_progress(spark, log)
+    assert batches.count() == 130 and batches.agg(F.sum("input_rows")).first()[0] == 130 == spark.read.parquet(sink).count()
+
+
 def test_negative_balance_fails_the_stream(spark, tmp_path):
     (tmp_path / "a.csv").write_text(
         "user_id,date,particulars,chq_num,withdrawal,deposit,balance\nUSR-1,01-01-2024,A,,5,,-10\n")

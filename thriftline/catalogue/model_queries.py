@@ -20,8 +20,6 @@ from .registry import case
 
 FEATURES = list(fv.CONTRACT_FEATURES)
 NOW = datetime(2026, 1, 1, 2, 0, 0)
-# Smaller than the published settings, so that a query finishes in seconds
-SMALL = {"maxIter": 10, "maxDepth": 4}
 _MODELS: dict = {}
 
 
@@ -39,7 +37,7 @@ def _regressor(spark, d):
     key = (spark.sparkContext.applicationId, d, "regressor")
     if key not in _MODELS:
         rows = models.split(_training(spark, d), models.TRAIN_TEST)
-        _MODELS[key] = models.train_score_regressor(rows.filter(F.col("split") == "train"), _numeric_features(), "target", **SMALL)
+        _MODELS[key] = models.train_score_regressor(rows.filter(F.col("split") == "train"), _numeric_features(), "target")
     return _MODELS[key]
 
 
@@ -48,7 +46,7 @@ def _classifier(spark, d):
     if key not in _MODELS:
         rows = models.split(layers.gold_pl(spark, d), models.TRAIN_VAL_TEST, strata=fv.CONTRACT_LABEL)
         rows = rows.filter(F.col("split") != "test").withColumn("is_validation", F.col("split") == "val")
-        _MODELS[key] = models.train_default_classifier(rows, FEATURES, **SMALL)
+        _MODELS[key] = models.train_default_classifier(rows, FEATURES)
     return _MODELS[key]
 
 
@@ -65,8 +63,9 @@ _HASH = "CAST(('0x' || substr(md5('42:' || default_label || ':' || user_id), 1,
 
 
 @case("stratified_split", "J2", f"""
-SELECT user_id, default_label, CASE WHEN h < 0.7 THEN 'train' WHEN h < 0.85 THEN 'val' ELSE 'test' END AS split
-FROM (SELECT user_id, default_label, {_HASH} AS h FROM v_gold_pl)""")
+SELECT user_id, default_label, CASE WHEN place <= round(0.7 * n) THEN 'train' WHEN place <= round(0.85 * n) THEN 'val' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY default_label ORDER BY h, user_id) AS place, count(*) OVER (PARTITION BY default_label) AS n
+      FROM (SELECT user_id, default_label, {_HASH} AS h FROM v_gold_pl))""")
 def _(spark, d):
     return models.split(layers.gold_pl(spark, d), models.TRAIN_VAL_TEST, strata=fv.CONTRACT_LABEL).select(
         "user_id", "default_label", "split")
@@ -82,6 +81,17 @@ def _(spark, d):
                          (F.avg(error * error) < spread).alias("better_than_mean"))
 
 
+@case("held_out_error", "J3 J5 J11", """
+SELECT split, count(*) AS n, TRUE AS better_than_mean FROM (
+  SELECT CASE WHEN CAST(('0x' || substr(md5('42:' || user_id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.8 THEN 'train' ELSE 'test' END AS split
+  FROM v_gold) GROUP BY split""")
+def _(spark, d):
+    """The regressor on rows that it has seen and on rows that it hasn't."""
+    scored = _regressor(spark, d).transform(models.split(_training(spark, d), models.TRAIN_TEST))
+    metrics = models.regression_metrics(scored, "target")
+    return metrics.select("split", "n", (F.col("r2") > 0).alias("better_than_mean"))
+
+
 @case("predicted_scores", "J11")
 def _(spark, d):
     return models.predict_scores(_regressor(spark, d), layers.gold(spark, d))
@@ -155,13 +165,13 @@ def _(spark, d):
 def _(spark, d):
     rows = models.split(layers.gold_pl(spark, d), models.TRAIN_VAL_TEST, strata=fv.CONTRACT_LABEL)
     sets = {"v1_baseline": fv.BASELINE_FEATURES, "v2_bills": fv.BASELINE_FEATURES + fv.BILL_FEATURES, "v3_full": FEATURES}
-    return models.progressive_lift(rows, sets, maxIter=4, maxDepth=4)
+    return models.progressive_lift(rows, sets)
 
 
 @case("tuning_trials", "J9")
 def _(spark, d):
-    trials = models.random_trials(4, max_iter=3)
-    return models.tune(layers.gold_pl(spark, d), FEATURES, trials)[0]
+    rows = models.split(layers.gold_pl(spark, d), models.TRAIN_VAL_TEST, strata=fv.CONTRACT_LABEL)
+    return models.tune(rows, FEATURES, models.random_trials())[0]
 
 
 def _auc_sql(score: str) -> str:

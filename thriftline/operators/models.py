@@ -5,19 +5,20 @@ import json
 import math
 import random
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import TrainValidationSplit
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed_values as fv, text
-from ..plans.workspace import shared_root
+from ..plans.workspace import shared_root, write_through
 from ..sources import schemas
 from ..sources.tables import append_log, ensure_table, merge_upsert
 from . import score_tables
@@ -26,7 +27,9 @@ from . import score_tables
 REGRESSOR = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 5}
 CLASSIFIER = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 20,
               "featureSubsetStrategy": "0.8"}
-SEED = 42
+#: Boosting goes on as long as the validation error doesn't grow (MLlib knows a tolerance but no patience).
+VALIDATION_TOL = 0.0
+SEED, TRIALS = 42, 20
 TRAIN_TEST = {"train": 0.80, "test": 0.20}
 TRAIN_VAL_TEST = {"train": 0.70, "val": 0.15, "test": 0.15}
 
@@ -51,19 +54,56 @@ def assemble_scale(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Pi
 
 def split(df: DataFrame, ratios: dict[str, float], key: str = "user_id", strata: str | None = None,
           seed: int = SEED) -> DataFrame:
-    """Add ``split`` from a hash of the key: reproducible, needs no shuffle and no count.
+    """Add ``split`` from a hash of the key: the same on every run and in any layout.
 
-    With ``strata`` each stratum is hashed on its own, so every part holds the
-    same share of each stratum up to sampling error.
+    Without ``strata`` shares hold up to sampling error, with neither shuffle nor
+    count.  With ``strata`` each part gets its exact share of every stratum.
     """
-    identity = F.concat_ws(":", F.col(strata).cast("string"), F.col(key).cast("string")) if strata else F.col(key)
-    fraction = text.hash_fraction(identity, seed)
-    names, bound = list(ratios), 0.0
-    chosen = None
+    names, bounds, bound = list(ratios), [], 0.0
     for name in names[:-1]:
         bound += ratios[name]
-        chosen = F.when(fraction < round(bound, 10), name) if chosen is None else chosen.when(fraction < round(bound, 10), name)
-    return df.withColumn("split", chosen.otherwise(names[-1]))
+        bounds.append(round(bound, 10))
+    if strata:
+        return _exact_split(df, names, bounds, key, strata, seed)
+    fraction = text.hash_fraction(F.col(key), seed)
+    return df.withColumn("split", _part(names, [fraction < b for b in bounds]))
+
+
+def _part(names: list[str], inside: list) -> Column:
+    """The first name whose condition holds, else the last."""
+    chosen = F.lit(names[-1])
+    for name, condition in reversed(list(zip(names, inside))):
+        chosen = F.when(condition, name).otherwise(chosen)
+    return chosen
+
+
+def _exact_split(df: DataFrame, names: list[str], bounds: list[float], key: str, strata: str, seed: int,
+                 buckets: int = 4096) -> DataFrame:
+    """Per stratum the rows in the order of their hashes, cut at exact positions.
+
+    A histogram of the hashes tells in which bucket each cut lies; only rows of
+    such buckets are ranked.  What the rows are compared to is one hash and key
+    per stratum and cut.
+    """
+    fraction = text.hash_fraction(F.concat_ws(":", F.col(strata).cast("string"), F.col(key).cast("string")), seed)
+    keys = df.select(F.col(strata).alias("_s"), F.col(key).alias("_k"), fraction.alias("_h"))
+    keys = keys.withColumn("_b", F.floor(F.col("_h") * buckets))
+    total, running = Window.partitionBy("_s"), Window.partitionBy("_s").orderBy("_b")
+    counts = keys.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumns({"_total": F.sum("_n").over(total), "_upto": F.sum("_n").over(running)})
+    cuts = F.array(*[F.struct(F.lit(i).alias("i"), F.round(b * F.col("_total")).cast("long").alias("position"))
+                     for i, b in enumerate(bounds)])
+    cuts = counts.select("_s", "_b", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", F.inline(cuts))
+    cuts = cuts.filter((F.col("position") > F.col("_before")) & (F.col("position") <= F.col("_upto")))
+    ranked = keys.join(cuts, [keys["_s"].eqNullSafe(cuts["_s"]), keys["_b"] == cuts["_b"]]).select(
+        keys["_s"], "i", F.struct("_h", "_k").alias("last"), (F.col("position") - F.col("_before")).alias("rank"),
+        F.row_number().over(Window.partitionBy(keys["_s"], "i").orderBy("_h", "_k")).alias("place"))
+    last = ranked.filter(F.col("rank") == F.col("place"))
+    limits = last.groupBy("_s").agg(*[F.max(F.when(F.col("i") == i, F.col("last"))).alias(f"_last{i}") for i in range(len(bounds))])
+    own = F.struct(fraction.alias("_h"), F.col(key).alias("_k"))
+    joined = df.join(limits, df[strata].eqNullSafe(limits["_s"]), "left")
+    inside = [F.coalesce(own <= F.col(f"_last{i}"), F.lit(False)) for i in range(len(bounds))]
+    return joined.select(*[df[c] for c in df.columns], _part(names, inside).alias("split"))
 
 
 # --- training ------------------------------------------------------------------------
@@ -96,7 +136,7 @@ def train_default_classifier(df: DataFrame, columns: Sequence[str], label: str =
     weighted = df.withColumn("weight", F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0)))
     gbt = GBTClassifier(labelCol=label, weightCol="weight", seed=SEED, **{**CLASSIFIER, **params})
     if validation:
-        gbt = gbt.setValidationIndicatorCol(validation)
+        gbt = gbt.setValidationIndicatorCol(validation).setParams(validationTol=VALIDATION_TOL)
     return Pipeline(stages=[assembler(columns), gbt]).fit(weighted)
 
 
@@ -195,7 +235,7 @@ class Trial:
     max_iter: int
 
 
-def random_trials(n: int, seed: int = SEED, max_iter: int = 100) -> list[Trial]:
+def random_trials(n: int = TRIALS, seed: int = SEED, max_iter: int = CLASSIFIER["maxIter"]) -> list[Trial]:
     """Seeded draws over eight parameters.
 
     Depth, leaf size, learning rate and both fractions keep their published
@@ -213,25 +253,37 @@ def random_trials(n: int, seed: int = SEED, max_iter: int = 100) -> list[Trial]:
 
 
 def tune(df: DataFrame, columns: Sequence[str], trials: list[Trial], label: str = fv.CONTRACT_LABEL,
-         train_ratio: float = 0.70 / 0.85, parallelism: int = 4) -> tuple[DataFrame, Trial, float]:
-    """Try every trial on one train/validation split; returns trials by AUC, the best and its AUC."""
-    use_checkpoints(df.sparkSession)
-    gbt = GBTClassifier(labelCol=label, weightCol="weight", seed=SEED)
-    grid = [{gbt.stepSize: t.step_size, gbt.maxBins: t.max_bins, gbt.maxDepth: t.max_depth,
-             gbt.minInstancesPerNode: t.min_instances, gbt.featureSubsetStrategy: f"{t.feature_fraction:.4f}",
-             gbt.subsamplingRate: t.subsampling_rate, gbt.minInfoGain: t.min_info_gain, gbt.maxIter: t.max_iter}
-            for t in trials]
-    judge = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    search = TrainValidationSplit(estimator=gbt, estimatorParamMaps=grid, evaluator=judge, trainRatio=train_ratio,
-                                  parallelism=parallelism, seed=SEED)
-    ready = assembler(columns).transform(class_weights(df, label)).select("features", label, "weight")
-    scores = search.fit(ready).validationMetrics
+         parallelism: int = 4) -> tuple[DataFrame, Trial, float]:
+    """Train every trial, judge it on validation rows, and the best one on rows that none has seen.
+
+    ``df`` carries ``split`` with train, val and test.  Positive weights come from
+    train rows, boosting stops by the validation rows.  Returns the trials by
+    validation AUC (with the test AUC of the best), the best and its test AUC.
+    """
+    training = write_through(df.filter(F.col("split") != "test").withColumn("is_validation", F.col("split") == "val"), "tuning")
+    validation = training.filter("is_validation")
+
+    def judged(trial: Trial):
+        model = train_default_classifier(training, columns, label, stepSize=trial.step_size, maxBins=trial.max_bins,
+                                         maxDepth=trial.max_depth, minInstancesPerNode=trial.min_instances,
+                                         featureSubsetStrategy=f"{trial.feature_fraction:.4f}",
+                                         subsamplingRate=trial.subsampling_rate, minInfoGain=trial.min_info_gain, maxIter=trial.max_iter)
+        return model, _auc(model, validation, label)
+
+    with ThreadPoolExecutor(parallelism) as pool:  # Spark runs the jobs of several trials side by side
+        found = list(pool.map(inheritable_thread_target(df.sparkSession)(judged), trials))
+    best = max(range(len(trials)), key=lambda i: found[i][1])
+    test_auc = _auc(found[best][0], df.filter(F.col("split") == "test"), label)
     table = df.sparkSession.createDataFrame(
-        [(i + 1, float(auc), *asdict(t).values()) for i, (t, auc) in enumerate(zip(trials, scores))],
-        "trial int, auc double, step_size double, max_bins int, max_depth int, min_instances int, "
+        [(i + 1, auc, test_auc if i == best else None, *asdict(t).values()) for i, (t, (_, auc)) in enumerate(zip(trials, found))],
+        "trial int, auc double, test_auc double, step_size double, max_bins int, max_depth int, min_instances int, "
         "feature_fraction double, subsampling_rate double, min_info_gain double, max_iter int")
-    best = max(range(len(trials)), key=lambda i: scores[i])
-    return table.orderBy(F.desc("auc"), "trial"), trials[best], float(scores[best])
+    return table.orderBy(F.desc("auc"), "trial"), trials[best], test_auc
+
+
+def _auc(model, rows: DataFrame, label: str) -> float:
+    judge = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
+    return float(judge.evaluate(model.transform(rows)))
 
 
 def promote(spark: SparkSession, log_path: str, champion_path: str, best: Trial, best_auc: float,

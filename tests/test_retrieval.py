@@ -40,7 +40,7 @@ def ranking(df):
 
 
 @pytest.mark.parametrize("state_filter", [False, True])
-@pytest.mark.parametrize("options", [{}, {"max_sent": 3, "grid_rows": 50}])
+@pytest.mark.parametrize("options", [{}, {"query_block": 3}])
 def test_top_k_is_exact_on_both_paths(world, state_filter, options):
     queries, chunks, q, c = world
     got = ranking(retrieval.top_k(queries, chunks, 4, state_filter=state_filter, **options))

@@ -62,6 +62,17 @@ def test_increments_give_the_newest_row_per_key(spark, pair):
         tables.snapshot_write(rows, path)
     got = {r["k"]: (r["v"], r["n"]) for r in tables.increment_read(spark, path, "k", schema).collect()}
     assert got == {1: ("a", 1.0), 2: (None, 2.5), 3: (None, None), 4: ("d", 4.0), 5: ("again", None), 9: ("z", 0.0)}
+    tables.compact(spark, path, "k", schema)
+    again = {r["k"]: (r["v"], r["n"]) for r in tables.increment_read(spark, path, "k", schema).collect()}
+    assert again == got and "Union" not in tables.increment_read(spark, path, "k", schema)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_writers_never_share_a_version(spark, pair):
+    from concurrent.futures import ThreadPoolExecutor
+    path = new_path(spark, "shared")
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda i: tables.snapshot_write(pair[i % 2], path), range(4)))
+    assert sorted(versions) == [1, 2, 3, 4] == tables.snapshot_versions(spark, path)
 
 
 def test_upsert_twice_is_upsert_once(pair):

@@ -44,12 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that came in fewer files than there are cores, before costly row work.
+    """Spread a table whose scan has fewer parts than there are cores, before costly row work.
 
-    A table of many files is already spread by its scan and is left alone.
+    Any larger table is already spread by its scan and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def _pick(values, index) -> F.Column:

@@ -120,8 +120,7 @@ def _(spark, d):
 
 @case("top_k_grid", "K6 (many queries)", _search_sql(5), score=3)
 def _(spark, d):
-    # the path for more queries than may be sent to tasks: blocks of queries meet blocks of chunks
-    return retrieval.top_k(_state_queries(spark, d), inputs.vectors(spark, d), 5, max_sent=4, grid_rows=200)
+    return retrieval.top_k(_state_queries(spark, d), inputs.vectors(spark, d), 5, query_block=4)  # several blocks
 
 
 @case("filtered_top_k", "K7", _search_sql(5, "v.state = 'All India' OR v.state = q.query_state OR q.query_state IS NULL"), score=3)

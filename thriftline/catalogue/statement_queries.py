@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv, scoring
 from ..operators import analytics, clean, quality, score_tables, statement_features as sf
+from ..plans.workspace import write_through
 from . import inputs, layers, oracle
 from .registry import case
 
@@ -139,7 +140,7 @@ def _(spark, d):
 @case("persona_distribution", "B1-B6 D1 I1 C1 D18 (flagship)",
       "SELECT persona, count(*) AS n FROM v_with_persona GROUP BY persona")
 def persona_distribution(spark, d):
-    rows = layers.enriched(spark, d)
+    rows = write_through(layers.enriched(spark, d), "enriched")  # read for the signals and for the rows
     return analytics.value_distribution(sf.attach_persona(rows, sf.user_personas(rows)), "persona")
 
 

@@ -1,11 +1,9 @@
 """Embedding, exact top-k search, evaluation and incremental re-embedding.
 
-Search is exact.  Scores are computed block by block with numpy inside tasks
-and every block keeps only the best candidates of each query, so no pair of
-query and chunk ever becomes a row.  Few queries (a checked number) travel to
-the chunks, which are then read in place without a shuffle.  More queries than
-that are cut into blocks that meet blocks of chunks in a grid of cogroups, each
-of bounded size.
+Search is exact.  Queries are taken in blocks of bounded size, which travel to
+the chunks; these are read in place, without a shuffle or a copy.  Scores are
+computed with numpy, and a task keeps only the best candidates of each query over
+all it reads, so no pair of query and chunk ever becomes a row.
 """
 from __future__ import annotations
 
@@ -16,12 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import fixed_values as fv, vectors
-from ..plans.joins import fits
+from ..plans.workspace import write_through
 from .analytics import rank_per_key
 
-# Queries sent to tasks, rows per side of a grid block, similarities held at once (32 MB)
-MAX_SENT_QUERIES = 2_000
-GRID_ROWS = 20_000
+# Queries of a block (about; they are dealt by hash), similarities held at once (32 MB)
+QUERY_BLOCK = 2_000
 MAX_CELLS = 4_000_000
 OVERFETCH = 3
 
@@ -34,10 +31,11 @@ def hashing_encoder(dims: int = 256) -> Callable[[list[str]], np.ndarray]:
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims))
-        for row, words in enumerate(texts):
-            for word in (words or "").lower().split():
-                h = zlib.crc32(word.encode("utf-8"))
-                out[row, h % dims] += 1.0 if (h >> 16) & 1 else -1.0
+        for row, text in enumerate(texts):
+            words = (text or "").lower().encode("utf-8").split() if (text or "").isascii() else [
+                w.encode("utf-8") for w in (text or "").lower().split()]
+            hashes = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+            out[row] = np.bincount(hashes % dims, np.where((hashes >> 16) & 1, 1.0, -1.0), dims)
         return out
 
     return encode
@@ -123,55 +121,45 @@ def _best(chunk_rows: pd.DataFrame, query_ids, query_states, query_matrix, keep,
             "chunk_id": ids[columns], "state": states[columns], "similarity": similarity[rows, columns]})
 
 
-def _candidates(queries: DataFrame, chunks: DataFrame, keep: int, state_filter: bool,
-                max_sent: int, grid_rows: int) -> DataFrame:
+def _search_block(sent: pd.DataFrame, chunks: DataFrame, keep: int, state_filter: bool, schema: T.StructType) -> DataFrame:
+    """For one block of queries the best ``keep`` chunks of every task."""
+    ids, states, matrix = sent["query_id"].tolist(), sent["query_state"].tolist(), _matrix(sent["query_vector"])
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, states, matrix))
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query_ids, query_states, query_matrix = shared.value
+        best = None
+        for frame in frames:
+            if len(frame):
+                found = _best(frame, query_ids, query_states, query_matrix, keep, state_filter)
+                best = pd.concat([*([] if best is None else [best]), *found], ignore_index=True)
+                best = best.sort_values(["similarity", "chunk_id"], ascending=[False, True], kind="stable").groupby(
+                    "query_id", sort=False).head(keep)
+        if best is not None and len(best):
+            yield best
+
+    return chunks.mapInPandas(scan, schema)
+
+
+def _candidates(queries: DataFrame, chunks: DataFrame, keep: int, state_filter: bool, query_block: int) -> DataFrame:
     """(query, chunk, similarity) rows: a superset of the best ``keep`` chunks per query."""
-    q = queries.select("query_id", "query_state", F.col("embedding").alias("query_vector"))
+    q = write_through(queries.select("query_id", "query_state", F.col("embedding").alias("query_vector")), "queries")
     c = chunks.select("chunk_id", "state", "embedding")
     schema = T.StructType([
         q.schema["query_id"], T.StructField("query_state", T.StringType()),
         c.schema["chunk_id"], T.StructField("state", T.StringType()),
         T.StructField("similarity", T.DoubleType())])
-    if fits(q, max_sent):
-        sent = q.toPandas()  # at most max_sent vectors, checked above
-        if sent.empty:
-            return q.sparkSession.createDataFrame([], schema)
-        ids, states, matrix = sent["query_id"].tolist(), sent["query_state"].tolist(), _matrix(sent["query_vector"])
-        shared = q.sparkSession.sparkContext.broadcast((ids, states, matrix))
-
-        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            query_ids, query_states, query_matrix = shared.value
-            for frame in frames:
-                if len(frame):
-                    yield from _best(frame, query_ids, query_states, query_matrix, keep, state_filter)
-
-        return c.mapInPandas(scan, schema)
-
-    # Grid: every block of queries meets every block of chunks exactly once.
-    query_blocks = max(1, -(-q.count() // grid_rows))
-    chunk_blocks = max(1, -(-c.count() // grid_rows))
-
-    def block(column: str, blocks: int):
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
-
-    def copies(blocks: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    left = q.withColumn("_qb", block("query_id", query_blocks)).withColumn("_cb", copies(chunk_blocks))
-    right = c.withColumn("_cb", block("chunk_id", chunk_blocks)).withColumn("_qb", copies(query_blocks))
-
-    def cell(query_rows: pd.DataFrame, chunk_rows: pd.DataFrame) -> pd.DataFrame:
-        if query_rows.empty or chunk_rows.empty:
-            return pd.DataFrame({f.name: [] for f in schema})
-        return pd.concat(_best(
-            chunk_rows, query_rows["query_id"].tolist(), query_rows["query_state"].tolist(),
-            _matrix(query_rows["query_vector"]), keep, state_filter), ignore_index=True)
-
-    return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(cell, schema)
+    blocks = -(-q.count() // query_block)
+    found = q.sparkSession.createDataFrame([], schema)
+    for number in range(blocks):
+        sent = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toPandas()  # one block
+        if len(sent):
+            found = found.unionByName(_search_block(sent, c, keep, state_filter, schema))
+    return found
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, state_filter: bool = False,
-          boost: float = fv.STATE_BOOST, max_sent: int = MAX_SENT_QUERIES, grid_rows: int = GRID_ROWS) -> DataFrame:
+          boost: float = fv.STATE_BOOST, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k best chunks per query (query_id, chunk_id, score, rank).
 
     queries: query_id, embedding and optionally query_state; chunks: chunk_id,
@@ -183,7 +171,7 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, state_filter: bool
     if "query_state" not in queries.columns:
         queries = queries.withColumn("query_state", F.lit(None).cast("string"))
     keep = k * OVERFETCH
-    found = _candidates(l2_normalise(queries), l2_normalise(chunks), keep, state_filter, max_sent, grid_rows)
+    found = _candidates(l2_normalise(queries), l2_normalise(chunks), keep, state_filter, query_block)
     first = rank_per_key(found, "query_id", [F.desc("similarity"), F.col("chunk_id")], keep).drop("rank")
     inside = F.lower("state").contains(F.lower("query_state"))
     score = F.round("similarity", 3) + F.when(inside, F.lit(boost)).otherwise(0.0)

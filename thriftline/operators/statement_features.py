@@ -288,10 +288,11 @@ def income_features(monthly: DataFrame) -> DataFrame:
     return _income_stability(stats, F.col("income_variance"), 0.0).select("user_id", *MONTHLY_INCOME_COLUMNS)
 
 
-def merchant_counts(txns: DataFrame) -> DataFrame:
-    """Distinct merchants per user; reads two columns only.  ``''`` is a merchant."""
-    pairs = txns.groupBy("user_id", "merchant").agg(F.lit(1).alias("_one"))
-    return pairs.groupBy("user_id").agg(F.count("merchant").alias("unique_merchants"))
+def merchant_counts(txns: DataFrame, *keys: str) -> DataFrame:
+    """Distinct merchants per user (or per ``keys``); reads their columns only.  ``''`` is a merchant."""
+    keys = keys or ("user_id",)
+    pairs = txns.groupBy(*keys, "merchant").agg(F.lit(1).alias("_one"))
+    return pairs.groupBy(*keys).agg(F.count("merchant").alias("unique_merchants"))
 
 
 def _per_user_month(txns: DataFrame) -> DataFrame:
@@ -317,15 +318,18 @@ def statement_features(txns: DataFrame) -> DataFrame:
     """The 73-column user table from silver rows (batch variant)."""
     credit_month = F.col("credit_rows") > 0
     income = F.when(credit_month, F.col("credits"))
-    users = _per_user_month(txns).groupBy("user_id").agg(
-        *_activity_totals(), F.max("persona").alias("persona"),
+    # The persona, the same on all rows of a user, is a key in both steps: a string aggregate would mean sorting.
+    users = _per_user_month(txns).groupBy("user_id", "persona").agg(
+        *_activity_totals(),
         *_totals({**_PAYMENT, **_DIGITAL, **_INCOME}),
         *_income_moments(F.when(credit_month, F.col("month")), income),
         F.count_if(credit_month).alias("months_with_income"),
         F.count(F.when(credit_month, F.col("month"))).alias("distinct_income_months"),
         F.sum("low_balance_days").alias("low_balance_days"),
     )
-    users = _ratios(users.join(merchant_counts(txns), "user_id", "left"))
+    merchants = merchant_counts(txns, "user_id", "persona").withColumnsRenamed({"user_id": "_user", "persona": "_persona"})
+    same = F.col("user_id").eqNullSafe(F.col("_user")) & F.col("persona").eqNullSafe(F.col("_persona"))
+    users = _ratios(users.join(merchants, same, "left").drop("_user", "_persona"))
     users = users.withColumns({
         "emi_regularity_score": _share("emi_months_active", "emi_payment_count"),
         "insurance_paid_flag": F.when(F.col("insurance_payment_count") > 0, 1).otherwise(0),
@@ -399,8 +403,8 @@ def statement_features_dlt(txns: DataFrame) -> DataFrame:
         F.count(salary).alias("_k"), F.avg(salary).alias("_mean"), F.var_pop(salary).alias("_var"),
         F.max(salary).alias("_high"), F.min(salary).alias("_low"),
     )
-    users = monthly.groupBy("user_id").agg(
-        *_activity_totals(), F.max("persona").alias("persona"), *_totals(specs),
+    users = monthly.groupBy("user_id", "persona").agg(
+        *_activity_totals(), *_totals(specs),
         *[_total(name, measure) for name, (measure, _) in words.items()],
         F.bit_count(F.bit_or("_merchants")).cast("long").alias("unique_merchants"),
         F.sum("_k").alias("_k"),

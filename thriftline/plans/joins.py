@@ -39,27 +39,24 @@ def join_dimension(
 
 def attach_by_key(
     rows: DataFrame, keyed: DataFrame, key: str, value: str, weight: str, hot_rows: int = HOT_ROWS,
+    most_hot: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Left join one value per key onto many rows, with hot keys kept out of the shuffle join.
 
     ``keyed`` holds one row per key with the number of rows of that key in
-    ``weight``.  There can be at most ``total rows / hot_rows`` hot keys, so
-    broadcasting them is bounded (half a million keys for 10^12 rows).  Rows of
-    hot keys get their value map-side and are then given a harmless salted key,
-    so the shuffle join that serves all other rows sees no hot partition.  Both
-    sides of the split read the same aggregation, whose shuffle Spark reuses.
+    ``weight``.  The ``most_hot`` heaviest keys of at least ``hot_rows`` rows, a
+    bounded number, are broadcast.  Rows of these keys, and rows without a key,
+    are then given a harmless salted key, so the shuffle join that serves all
+    other rows sees neither a hot nor a null partition.
     """
     keyed = keyed.select(key, value, weight)
-    hot = keyed.filter(F.col(weight) >= hot_rows)
+    hot = keyed.filter(F.col(weight) >= hot_rows).orderBy(F.desc(weight), key).limit(most_hot)
     hot = hot.select(F.col(key).alias("_key"), F.col(value).alias("_hot_value"), F.lit(True).alias("_hot"))
-    usual = keyed.filter(F.col(weight) < hot_rows).select(F.col(key).alias("_key"), value)
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left").drop("_key")
+    usual = keyed.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("_usual_key"), value)
+    marked = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     spread = F.concat(F.lit("\u0000"), row_salt(rows, 4096).cast("string"))
-    shuffle_key = F.when(F.col("_hot"), spread).otherwise(F.col(key).cast("string"))
-    joined = marked.withColumn("_shuffle_key", shuffle_key).join(
-        usual.withColumnRenamed("_key", "_usual_key").withColumn(
-            "_usual_key", F.col("_usual_key").cast("string")),
-        F.col("_shuffle_key") == F.col("_usual_key"), "left",
-    )
+    apart = F.col("_hot") | F.col(key).isNull()
+    joined = marked.withColumn("_shuffle_key", F.when(apart, spread).otherwise(F.col(key).cast("string"))).join(
+        usual, F.col("_shuffle_key") == F.col("_usual_key"), "left")
     chosen = F.when(F.col("_hot"), F.col("_hot_value")).otherwise(F.col(value))
     return joined.withColumn(value, chosen).select(*[c for c in rows.columns if c != value], value)

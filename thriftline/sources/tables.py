@@ -1,6 +1,7 @@
 """Table operations: write, upsert, change feed, snapshots, constraints, logs, layout."""
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -149,14 +150,64 @@ def snapshot_versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(found)
 
 
+def _create_once(fs, path) -> bool:
+    """Create an empty file that must not exist; whether this call made it.
+
+    Stores such as HDFS do this atomically.  The local file system's adapter
+    doesn't, so there the operating system is asked.
+    """
+    if fs.getUri().getScheme() != "file":
+        return fs.createNewFile(path)
+    name = path.toUri().getPath()
+    os.makedirs(os.path.dirname(name), exist_ok=True)
+    try:
+        os.close(os.open(name, os.O_CREAT | os.O_EXCL))
+    except FileExistsError:
+        return False
+    return True
+
+
+def _claim(spark: SparkSession, path: str) -> int:
+    """Take the next version for this writer alone."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    version = max(snapshot_versions(spark, path), default=0) + 1
+    while not _create_once(fs, jvm.org.apache.hadoop.fs.Path(root, f"_claims/{version}-of-writer")):
+        version += 1
+    return version
+
+
 def snapshot_write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
-    """Write the next version beside the earlier ones and return its number."""
-    version = max(snapshot_versions(df.sparkSession, path), default=0) + 1
-    writer = df.write.mode("overwrite")  # an uncommitted attempt of the same version is replaced
+    """Write the next version beside the earlier ones and return its number.
+
+    Two writers never share a version.  One that fails leaves its number unused.
+    """
+    version = _claim(df.sparkSession, path)
+    writer = df.write.mode("overwrite")  # what an earlier layout may have left there without success marker
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/version={version}")
     return version
 
 
+def compact(spark: SparkSession, path: str, key: str, schema: T.StructType) -> int:
+    """Write a table of increments as one new full version; later reads start there.  Returns the version."""
+    version = snapshot_write(increment_read(spark, path, key, schema), path)
+    jvm = spark._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}/_BASE")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(marker)
+    return version
+
+
+def _base_version(spark: SparkSession, path: str, versions: list[int]) -> int:
+    """The newest full version: the last compacted one, else the first."""
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for version in reversed(versions[1:]):
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}/_BASE")):
+            return version
+    return versions[0]
+
+
 def snapshot_read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """One version, by default the newest committed one."""
     versions = snapshot_versions(spark, path)
@@ -169,7 +220,7 @@ def snapshot_read(spark: SparkSession, path: str, version: int | None = None) ->
 
 
 def increment_read(spark: SparkSession, path: str, key: str, schema: T.StructType) -> DataFrame:
-    """A table kept as its first full version plus versions that hold only rewritten rows.
+    """A table kept as a full version (the first, or the last compacted) plus versions that hold only rewritten rows.
 
     The newest row of a key wins.  The base is read against the keys of the
     (small) increments, so neither an upsert nor a read shuffles the wide base.
@@ -182,10 +233,11 @@ def increment_read(spark: SparkSession, path: str, key: str, schema: T.StructTyp
     def one(version: int) -> DataFrame:
         return spark.read.schema(full).parquet(f"{path}/version={version}")
 
-    base = one(versions[0])
-    if len(versions) == 1:
+    first = _base_version(spark, path, versions)
+    base, versions = one(first), [v for v in versions if v > first]
+    if not versions:
         return base
-    later = reduce(lambda a, b: a.unionByName(b), [one(v).withColumn("_version", F.lit(v)) for v in versions[1:]])
+    later = reduce(lambda a, b: a.unionByName(b), [one(v).withColumn("_version", F.lit(v)) for v in versions])
     newest = later.groupBy(key).agg(F.max_by(F.struct(*schema.names), "_version").alias("_row")).select("_row.*")
     return base.join(newest.select(key), key, "left_anti").select(*schema.names).unionByName(newest)
 

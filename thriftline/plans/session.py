@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +22,15 @@ def local_session(cores: str | int | None = None, app: str = "thriftline") -> Sp
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a running session, whose Python tasks import it.
+
+    Not needed where the package is installed on every machine or was given to
+    ``spark-submit`` by ``--py-files``.
+    """
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="thriftline-"), "thriftline"), "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)

@@ -25,3 +25,14 @@ def test_statement_and_pillar_flows_end_in_their_tables(spark, sf_dir):
     scored = flows.scored_tables(model, gold, "v", "r", dt.datetime(2026, 1, 1))
     assert scored["credit_scores"].count() == gold.count() == scored["score_explanations"].count()
     assert scored["credit_scores"].filter(~F.col("score").between(0, 900)).isEmpty()
+
+
+def test_intermediates_are_dropped(spark):
+    import os
+    from thriftline.plans.workspace import intermediates, new_path, write_through
+    kept = write_through(spark.range(3), "kept")
+    with intermediates(spark):
+        path = new_path(spark, "inside")
+        spark.range(5).write.parquet(path)
+        assert write_through(spark.range(4), "inside").count() == 4 and os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://")) and kept.count() == 3

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +32,29 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root(context.applicationId)
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Owner of what is written to the shared folder inside the block: it is dropped when the block ends.
+
+    Results must have been written elsewhere, or collected, by then.
+    """
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        made, _MADE[before:] = _MADE[before:], []
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_through(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

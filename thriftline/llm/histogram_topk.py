@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
+from ..plans.workspace import new_path
 from .frames import named, pieces
 
 #: Queries that travel to the tasks at once, cells of a score block, bins of a histogram (a power of two).
@@ -138,7 +139,9 @@ def histogram_topk(
     For every block all scores are computed in each of a few rounds and counted
     in 64 bins per query, then in 64 bins of the bin that holds the k-th value,
     until a bin is one score wide.  A last round takes what lies above it and,
-    per task, as many of its ties as are still needed, smallest ids first.
+    per task, as many of its ties as are still needed, smallest ids first.  The
+    results of a block are written to the shared folder, so the plan doesn't grow
+    with the number of blocks.
 
     Rows with a null id, a null vector, or a null or non-finite component take
     no part; an empty vector scores 0.  Vectors of unequal length are compared
@@ -154,12 +157,13 @@ def histogram_topk(
                        F.max(F.size("vector")).alias("width")).first()
     width = largest["width"] or 0
     blocks = -(-asked.count() // query_block)
-    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    path, schema = new_path(spark, "topk"), "query_id long, rank int, vec_id long, score long"
+    spark.createDataFrame([], schema).write.parquet(path)
     for number in range(blocks):
         own = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).toArrow()
         if own.num_rows:
             ids = own.column("id").to_numpy()
             matrix = _matrix(own.column("vector").combine_chunks(), scale, width)
             block = Block(ids, matrix, k, scale, int(largest["m"] or 0))
-            found = found.unionByName(search_block(rows, block, k))
-    return found
+            search_block(rows, block, k).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)

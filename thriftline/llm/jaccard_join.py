@@ -21,7 +21,7 @@ BANDS, BAND_ROWS = 24, 4
 VALUES, STEP, TOLERANCE = 64, 16, 1e-6
 #: Members of a bucket, and their n-grams, that meet in one task; larger buckets are cut into cells of two blocks.
 BLOCK_ROWS, BLOCK_GRAMS = 2048, 4_000_000
-CACHE = 700_000
+CACHE = 300_000
 
 
 class WordHashes(dict):

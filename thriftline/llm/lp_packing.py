@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, functions as F, Window
 from ..plans.workspace import write_through
 from .frames import named, pieces
 
-#: Entries that the cache of a task's process holds before it starts afresh.
-CACHE = 300_000
+#: Entries of a generation of the cache of a task's process; there are two.
+CACHE = 200_000
 #: Buckets over which the pieces of one length are ranked, at least; a bucket for every so many pieces.
 BUCKETS, BUCKET_ROWS = 256, 100_000
 #: How much more a token of a long item is worth: short items are kept for the gaps of later rounds.
@@ -37,7 +37,11 @@ def byte_letters() -> dict[int, str]:
 
 
 class Chunks(dict):
-    """A stretch without white space to its ids, as little-endian unsigned 32-bit integers."""
+    """A stretch without white space to its ids, as little-endian unsigned 32-bit integers.
+
+    When it is full its entries become the old generation, from which those that
+    are met again come back; so frequent stretches stay known.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,23 +49,35 @@ class Chunks(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = byte_letters()
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        if PLAIN.fullmatch(chunk):
+        if (known := self.old.get(chunk)) is not None:
+            self[chunk] = known
+            return known
+        if chunk.isascii() and chunk.isalpha():  # most chunks that are new: a word
+            ids = self._ids(chunk)
+        elif PLAIN.fullmatch(chunk):
             words = WORDS.findall(chunk)
             ids = self._word(chunk) if words == [chunk] else b"".join([self[w] for w in words])
         else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = b"".join([self.packed[i] for i in self.tokenizer.encode(chunk, add_special_tokens=False).ids])
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
-        spelled = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        return self._ids(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+
+    def _ids(self, spelled: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[token.id] for token in self.tokenize(spelled)])
 
 
 @lru_cache(maxsize=2)

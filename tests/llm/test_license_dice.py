@@ -27,6 +27,7 @@ TEXTS = [
     None, "", "\n\n", "one", "Licensed under the Apache License, Version 2.0.", "LICENSED under  the mit licence", "no licence here at all",
     "Prose before.\n  Released under the MIT License!\nProse after.\nLicensed under CC BY-NC 4.0.",
     dict(ld.TEMPLATES)["ISC"].replace("SOFTWARE", "PROGRAM", 2), ld.TEMPLATES[3][1].replace(". ", ".\n"), "word " * 50_000,
+    "Released under" + " " * 200_000 + "the" + "! . " * 100_000 + "MIT License.", "..." * 100_000,
     ld.TEMPLATES[3][1] + " " + "and much more text follows here " * 30, ld.TEMPLATES[5][1].lower(),
 ]
 

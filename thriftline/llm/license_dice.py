@@ -55,7 +55,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 #: What separates words: everything but letters, digits and the point inside a version number.
-GAPS = r"(?:[^\p{L}\p{N}.]|\.(?!\p{N})|(?<!\p{N})\.)+"
+GAPS = r"[^\p{L}\p{N}.]+|\.(?!\p{N})|(?<!\p{N})\."
 GAPS_ASCII = r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9])\."
 THRESHOLD = 0.9
 
@@ -90,7 +90,7 @@ def matches(text: Column, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     least = min(lo for lo, _ in limits)
     words = F.transform(
         _candidates(text),
-        lambda u: F.split(F.trim(F.regexp_replace(F.lower(u), GAPS, " ")), " "))
+        lambda u: F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(u), GAPS, " "), " +", " ")), " "))
     # n words have at most n - 1 distinct bigrams.
     long_enough = F.filter(words, lambda w: F.size(w) > least)
     grams = F.transform(long_enough, lambda w: F.array_distinct(

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -79,7 +81,102 @@ def _candidates(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), F.split(text, "\n")))
 
 
-def matches(text: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _constant(values: list[str]) -> Column:
+    """An array that the optimizer makes once; a literal per value would make large plans."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def longest(text: str, threshold: float) -> int:
+    """How many bigrams, repeated ones included, a window that is compared to the template has at most."""
+    words = re.sub(GAPS_ASCII, " ", text.lower()).split()
+    own = bigrams(text)
+    return bounds(len(own), threshold)[1] + max(0, len(words) - 1 - len(own))
+
+
+def telling(templates, threshold: float) -> list[str]:
+    """Words of which a text holds at least one, as a part of its own, if any window of it reaches a template.
+
+    Without them fewer bigrams of each template are left than its smallest fitting set has.
+    """
+    open_sets = {i: (set(own), len(own) - max(1, bounds(len(own), threshold)[0]) + 1)
+                 for i, own in enumerate(bigrams(t) for _, t in templates) if own}
+    chosen: list[str] = []
+    while open_sets:
+        gain: dict[str, int] = {}
+        words = {w for own, _ in open_sets.values() for x in own for w in x.split()}
+        for word in {w for w in words if len(w) >= 6} or words:
+            gain[word] = sum(min(need, sum(word in x for x in own)) for own, need in open_sets.values())
+        chosen.append(min(gain, key=lambda w: (-gain[w], w)))
+        for i, (own, need) in list(open_sets.items()):
+            left = {x for x in own if chosen[-1] not in x}
+            need -= len(own) - len(left)
+            open_sets[i] = (left, need)
+            if need <= 0:
+                del open_sets[i]
+    return chosen
+
+
+def _windows(grams: Column, templates, threshold: float) -> Column:
+    """The (score, rank, license) of word windows of a text, given as its bigrams in order.
+
+    A bigram that isn't the template's lowers the score at a window's ends, so
+    the best windows begin and end with one of the template's.  Only a text that
+    holds as many of them as the smallest fitting set has windows at all.  Per
+    template and first bigram the best window counts, unless it overlaps a
+    better one.
+    """
+    sets = [(i, name, bigrams(t), longest(t, threshold)) for i, (name, t) in enumerate(templates)]
+    every = _constant(sorted({x for _, _, own, _ in sets for x in own}))
+    kind = "array<struct<score:double,rank:int,license:string,first:int,last:int>>"
+
+    def searched(i: int, name: str, own: list[str], most: int) -> Column:
+        least = max(1, bounds(len(own), threshold)[0])
+        lits = _constant(own)
+
+        def from_start(at: Column, a: Column) -> Column:
+            ends = F.sequence(a + (least - 1), F.least(F.size(at), a + (most - 1)))
+            first = F.element_at(at, a)
+            near = F.filter(F.transform(ends, lambda b: F.element_at(at, b)), lambda last: last - first < most)
+
+            def scored(last: Column) -> Column:
+                return _let(F.array_distinct(F.slice(grams, first, last - first + 1)), lambda d: F.struct(
+                    (2.0 * F.size(F.array_intersect(d, lits)) / (F.size(d) + len(own))).alias("score"), (-last).alias("nearest")))
+
+            return _let(F.array_max(F.transform(near, scored)), lambda m: F.struct(
+                m["score"].alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("license"),
+                first.alias("first"), (-m["nearest"]).alias("last")))
+
+        held = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda p: F.array_contains(lits, F.element_at(grams, p)))
+        return _let(held, lambda at: F.filter(
+            F.transform(F.sequence(F.lit(1), F.size(at) - (least - 1)), lambda a: from_start(at, a)),
+            lambda m: m["score"] >= threshold))
+
+    def found(hits: Column) -> Column:
+        parts = []
+        for i, name, own, most in sets:
+            enough = F.size(F.array_intersect(hits, _constant(own))) >= max(1, bounds(len(own), threshold)[0])
+            parts.append(F.when(enough, searched(i, name, own, most).cast(kind)).otherwise(F.array().cast(kind)))
+        return F.concat(*parts)
+
+    def unbeaten(all_found: Column) -> Column:
+        def beats(o: Column, m: Column) -> Column:
+            better = (o["score"] > m["score"]) | ((o["score"] == m["score"]) & (o["rank"] > m["rank"]))
+            return better & (o["first"] <= m["last"]) & (o["last"] >= m["first"])
+
+        return F.filter(all_found, lambda m: ~F.exists(all_found, lambda o: beats(o, m)))
+
+    least = min(max(1, bounds(len(own), threshold)[0]) for _, _, own, _ in sets)
+    kept = _let(F.array_intersect(grams, every), lambda hits: F.when(
+        F.size(hits) >= least, _let(found(hits), unbeaten)).otherwise(F.array().cast(kind)))
+    return F.transform(kept, lambda m: F.struct(m["score"].alias("score"), m["rank"].alias("rank"), m["license"].alias("license")))
+
+
+def matches(text: Column, templates=TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> Column:
     """All (score, name, template) of the text's candidates that reach ``threshold``.
 
     Every step takes the array that the step before has made, so nothing is
@@ -93,10 +190,9 @@ def matches(text: Column, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         lambda u: F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(u), GAPS, " "), " +", " ")), " "))
     # n words have at most n - 1 distinct bigrams.
     long_enough = F.filter(words, lambda w: F.size(w) > least)
-    grams = F.transform(long_enough, lambda w: F.array_distinct(
+    grams = F.transform(long_enough, lambda w: (
         F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))))
     most = max(hi for _, hi in limits)
-    sized = F.filter(grams, lambda g: F.size(g).between(least, most))
 
     def compared(g: Column) -> Column:
         found = []
@@ -107,11 +203,20 @@ def matches(text: Column, templates=TEMPLATES, threshold: float = THRESHOLD) ->
                 score.alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("license"))))
         return F.array_max(F.array(*found))
 
-    return F.filter(F.transform(sized, compared), lambda m: m["score"] >= threshold)
+    def units(all_grams: Column) -> Column:
+        sized = F.filter(F.transform(all_grams, F.array_distinct), lambda g: F.size(g).between(least, most))
+        return F.filter(F.transform(sized, compared), lambda m: m["score"] >= threshold)
+
+    if not windows:
+        return units(grams)
+    # The first candidate is the whole text; if that is too short, so are its lines.
+    likely = _let(F.lower(text), lambda t: reduce(or_, [F.contains(t, F.lit(w)) for w in telling(templates, threshold)]))
+    return _let(grams, lambda g: F.when(
+        likely & (F.size(g) > 0), F.concat(units(g), _windows(F.element_at(g, 1), templates, threshold))).otherwise(units(g)))
 
 
 def license_scan(
-    docs: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD,
+    docs: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, windows: bool = False,
 ) -> DataFrame:
     """``docs`` with license and license_score of the best notice, and licenses, all that were found.
 
@@ -121,12 +226,17 @@ def license_scan(
     compared to.  Per candidate the best template counts, ties going to the one
     that comes first; per document the best candidate.
 
+    With ``windows``, runs of words of the whole text are candidates too, wherever
+    they begin and end, so a notice is also found when it is wrapped or shares
+    its line with other words.  A window is at most as long as the template's
+    size bound and the template's own repeated bigrams allow.
+
     A null or empty text has no licence (nulls and an empty array).  A text of any
     length is scanned whole.  There is no shuffle, so neither repeated rows nor
     hot groups matter.  Input columns named like a result column are replaced.
     """
     text = F.coalesce(named(text_col), F.lit(""))
-    rows = packed(docs, found=matches(text, templates, threshold))
+    rows = packed(docs, found=matches(text, templates, threshold, windows))
     best = F.array_max("found")
     names = F.array_sort(F.array_distinct(F.transform("found", lambda m: m["license"])))
     return unpacked(rows, docs.columns, license=best["license"], license_score=best["score"], licenses=names)

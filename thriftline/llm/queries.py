@@ -29,7 +29,7 @@ def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_dice.license_scan(table(spark, sf_dir, "documents"))
+    found = license_dice.license_scan(table(spark, sf_dir, "documents"), windows=True)
     return found.select("doc_id", "license", F.round("license_score", 6).alias("license_score"),
                         F.array_join("licenses", " ").alias("licenses"))
 

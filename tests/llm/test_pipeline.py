@@ -1,9 +1,12 @@
+import zlib
+
 import corpus_pipeline as cp
 import __spark_entry__ as entry
 import duckdb
 import pytest
 
 from test_oracle import TABLES, content
+from thriftline.llm import lp_packing
 from thriftline.llm.oracle import ORACLE_SQL
 
 
@@ -54,3 +57,29 @@ def test_stages(spark):
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_sequences_can_be_rebuilt(spark, tmp_path):
+    """The last stage's rows alone give every sequence, and those give the cleaned texts' ids."""
+    docs = [(i, " ".join(f"Word{i}x{k} goes with number{k}" for k in range(60)), "en", "s", 0) for i in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = cp.run(spark, str(tmp_path)).collect()
+    path = cp.public_tokenizers.path("word_bpe_49k.json")
+    sequences = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert 4 * r["offset"] == len(sequences.get(r["sequence_id"], b"")) and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        sequences[r["sequence_id"]] = sequences.get(r["sequence_id"], b"") + r["ids"]
+    assert {r["doc_id"] for r in rows} == {d[0] for d in docs}
+    for doc_id, text, *_ in docs:
+        own = [r for r in rows if r["doc_id"] == doc_id]
+        cut = [sequences[r["sequence_id"]][4 * r["offset"]:][:4 * r["length"]] for r in sorted(own, key=lambda r: r["start"])]
+        assert b"".join(cut) == cp.lp_packing.encode(text, path)
+
+
+def test_packing_query_runs_with_ids(spark, sf_dir, monkeypatch):
+    made, pack = [], lp_packing.pack_documents
+    monkeypatch.setattr(lp_packing, "pack_documents", lambda *a, **k: made.append(pack(*a, **k)) or made[-1])
+    out = entry.queries()["op8_lp_packing"](spark, sf_dir)
+    assert "ids" in made[0].columns and out.columns == [c for c in made[0].columns if c != "ids"]
+    key = ["doc_id", "piece", "ids_crc32"]
+    assert sorted(map(tuple, out.select(*key).collect())) == sorted(map(tuple, made[0].select(*key).collect()))

@@ -57,7 +57,8 @@ def op7_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lp_packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False)
+    out = lp_packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 
-from thriftline.llm.link_trust import RULES, Rule, host_edges, link_trust
+from thriftline.llm.link_trust import RULES, Rule, host_edges, link_trust, propagate, reversed_edges
 
 SCHEMA = "page_id long, url string, html string, host string, trust string"
 
@@ -90,3 +90,39 @@ def test_longest_rule_wins(spark):
     pages = spark.createDataFrame([page(1, "http://a.b.net/x"), page(2, "http://c.net/"), page(3, "http://b.net/private/z")], SCHEMA)
     rows = {r["page_id"]: (r["rule"], r["verdict"]) for r in link_trust(pages, rules).collect()}
     assert rows == {1: ("b.net/", "allow"), 2: ("net/", "block"), 3: ("net/private/", "block")}
+
+
+def solved(pages, damping=0.85):
+    """Distrust of all hosts by a direct solution of the linear system; bad.com/de/ is the only seed."""
+    links = {(host_of(u), host_of(x)) for _, u, h, *_ in pages for x in re.findall(r'href="([^"]*)"', h)}
+    links = sorted((a, b) for a, b in links if a != b)
+    names = sorted({h for pair in links for h in pair})
+    back = np.zeros((len(names), len(names)))
+    for a, b in links:
+        back[names.index(a), names.index(b)] = 1 / sum(y == b for _, y in links)
+    seed = np.array([float(h == "bad.com") for h in names])
+    return dict(zip(names, np.linalg.solve(np.eye(len(names)) - damping * back, (1 - damping) * seed)))
+
+
+def host_of(url):
+    return url.split("/")[2]
+
+
+def test_chain_and_ring_equal_a_direct_solution(spark):
+    chain = [page(i, f"http://h{i}.net/", f"http://h{i + 1}.net/") for i in range(28)]
+    chain += [page(28, "http://h28.net/", "http://bad.com/de/1"), page(29, "http://bad.com/de/1", "http://h25.net/")]
+    found = link_trust(spark.createDataFrame(chain, SCHEMA)).collect()
+    want = solved(chain)
+    assert np.allclose([r["distrust"] for r in found], [want[r["host"]] for r in found], rtol=1e-9, atol=0)
+    assert all(r["verdict"] == "block" for r in found)  # h0 is 29 links away
+
+
+def test_hub_reaches_the_second_hop(spark):
+    """Scores however small: 2,000 hosts link to the blocked one, and one of them is linked to; the seed is scaled down."""
+    edges = [(f"h{i}.net", "bad.com") for i in range(2000)] + [("far.net", "h7.net")]
+    edges = reversed_edges(spark.createDataFrame(edges, "src string, dst string"))
+    seeds = spark.createDataFrame([("bad.com", 1e-3)], "host string, seed double")
+    scores = {r["host"]: r["score"] for r in propagate(seeds, edges).collect()}
+    assert len(scores) == 2002
+    assert np.isclose(scores["h7.net"], 0.15 * 1e-3 * 0.85 / 2000, rtol=1e-9)
+    assert np.isclose(scores["far.net"], 0.15 * 1e-3 * 0.85 ** 2 / 2000, rtol=1e-9)

@@ -71,36 +71,39 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return back.join(total, "src").select("src", "dst", (F.lit(1.0) / F.col("total")).alias("share"))
 
 
-def propagate(
-    seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6,
-) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-12) -> DataFrame:
     """Personalised PageRank of ``seeds`` (host, seed) over ``edges``: host, score.
 
     Power iteration of score = (1 - damping) * seed + damping * inflow.  Every
     round is one join on the source and one sum by target, both of which Spark
     combines or splits where a host has very many links.  The scores of a round
-    are written to the shared folder, so lineage stays short.  It ends after
-    ``rounds``, or as soon as no score moves by ``tolerance``.
+    are written to the shared folder, so lineage stays short.
+
+    It ends when no host's score has grown by more than ``tolerance`` times
+    itself, however small it is.  Scores only grow, a host that is reached for
+    the first time grows by all it has, and no later round can grow a score by
+    a larger part than the round before grew any, so distance from the seeds and
+    the number of links don't decide.  There is no limit of rounds: what moves
+    shrinks by ``damping`` in each.
     """
     base = seeds.select("host", ((1 - damping) * F.col("seed")).alias("base")).filter("base > 0")
     score = base.select("host", F.col("base").alias("score"))
-    for _ in range(rounds):
+    while True:
         inflow = edges.join(score, edges["src"] == score["host"]).groupBy("dst").agg(
             (damping * F.sum(F.col("share") * F.col("score"))).alias("inflow"))
         after = base.join(inflow, base["host"] == inflow["dst"], "full").select(
             F.coalesce("host", "dst").alias("host"),
-            (F.coalesce("base", F.lit(0.0)) + F.coalesce("inflow", F.lit(0.0))).alias("score"))
+            (F.coalesce("base", F.lit(0.0)) + F.coalesce("inflow", F.lit(0.0))).alias("score")).filter("score > 0")
         after = write_through(after, "host_scores")
-        moved = after.alias("a").join(score.alias("b"), "host", "full").agg(
-            F.max(F.abs(F.coalesce("a.score", F.lit(0.0)) - F.coalesce("b.score", F.lit(0.0))))).first()[0]
+        grown = after.alias("a").join(score.alias("b"), "host", "left").agg(
+            F.max(F.abs(1 - F.coalesce("b.score", F.lit(0.0)) / F.col("a.score")))).first()[0]
         score = after
-        if moved is None or moved < tolerance:
-            break
-    return score
+        if grown is None or grown <= tolerance:
+            return score
 
 
 def host_scores(
-    ruled: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6,
+    ruled: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-12,
 ) -> DataFrame:
     """Trust and distrust per host from the pages (host, verdict) that a rule judged.
 
@@ -114,9 +117,9 @@ def host_scores(
         F.avg((F.col("verdict") == "allow").cast("double")).alias("trusted"),
         F.avg((F.col("verdict") == "block").cast("double")).alias("blocked"))
     seeds = write_through(seeds, "host_seeds")
-    trust = propagate(seeds.select("host", F.col("trusted").alias("seed")), edges, damping, rounds, tolerance)
+    trust = propagate(seeds.select("host", F.col("trusted").alias("seed")), edges, damping, tolerance)
     distrust = propagate(
-        seeds.select("host", F.col("blocked").alias("seed")), reversed_edges(edges), damping, rounds, tolerance)
+        seeds.select("host", F.col("blocked").alias("seed")), reversed_edges(edges), damping, tolerance)
     return trust.select("host", F.col("score").alias("trust")).join(
         distrust.select("host", F.col("score").alias("distrust")), "host", "full").select(
         "host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
@@ -124,7 +127,7 @@ def host_scores(
 
 def link_trust(
     pages: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str = "url", html_col: str = "html",
-    damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6, threshold: float = 0.0,
+    damping: float = 0.85, tolerance: float = 1e-12, threshold: float = 0.0,
 ) -> DataFrame:
     """``pages`` with host, path, rule, verdict, trust and distrust.
 
@@ -141,7 +144,7 @@ def link_trust(
     ruled = pages.select(url_host(url).alias("host"), url_path(url).alias("path"))
     ruled = ruled.select("host", best_rule(F.col("host"), F.col("path"), rules)["verdict"].alias("verdict"))
     edges = write_through(host_edges(pages, url_col, html_col), "host_edges")
-    scores = host_scores(ruled, edges, damping, rounds, tolerance)
+    scores = host_scores(ruled, edges, damping, tolerance)
     # Only hosts whose verdict differs from the default are joined to the pages.
     judged = write_through(scores.select(F.col("host").alias("s_host"), "trust", "distrust"), "host_trust")
     rows = packed(pages, host=url_host(url), path=url_path(url))

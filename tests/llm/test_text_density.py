@@ -51,3 +51,21 @@ def test_columns_and_nulls(spark):
     assert out.columns == ["page_id", "html", "row", "text", "n_chars"]
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in out.collect()) == [(1, "", 0), (2, "x", 1), (2, "x", 1)]
     assert td.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("wrapper", [
+    "class='layout has-sidebar'", "id='post-1' class='post comments-open'", "class='content-with-sidebar'", "class='page header-fixed'",
+    "class='sidebar'", "id=comments",
+])
+@pytest.mark.parametrize("inner", [
+    f"<article><h1>Title</h1><p>{LONG}</p></article>", f"<main><h1>Title</h1><p>{LONG}</p></main>", f"<h2>Title</h2><p>{LONG}</p><p>{LONG}</p>"])
+def test_wrappers_of_the_article_stay(wrapper, inner):
+    menu, advert = f"<div class='nav-menu'>{MENU}</div>", "<div class='ad-banner'>Buy this</div>"
+    text = re.sub(r"<[^>]*>", " ", inner)
+    assert td.main_text(f"<body>{menu}<div {wrapper}>{inner}{advert}</div><div class=footer>end</div>") == " ".join(text.split())
+
+
+def test_listed_containers_without_the_content_go():
+    page = f"<div class=post><p>{LONG}</p><p>{LONG}</p></div><div class='widget share'><p>{LONG}</p></div>"
+    assert td.main_text(page) == f"{LONG}{LONG}".strip()
+    assert td.main_text(f"<article>a<span class=ad>x</span>b<div class=ad>y</div>c<p>{LONG}</p></article>") == f"ab c {LONG}".strip()

@@ -39,6 +39,8 @@ DROPPED_WORDS = frozenset(
     "cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay "
     "pager pagination popup promo promos promotion related recommended replies respond search share sharing sidebar signup social "
     "sponsor sponsored subscribe subscription toolbar widget".split())
+#: What a container that is dropped for its class or id alone doesn't hold.
+CONTENT = frozenset(("article", "main", "h1"))
 #: Elements that are dropped for their class or id.
 CONTAINERS = frozenset("div section ul ol dl p span table figure details fieldset center li a".split())
 
@@ -49,6 +51,7 @@ class Node:
     parent: int
     first: int
     dropped: bool
+    doubtful: bool = False
     last: int = 0
     chars: int = 0
     tags: int = 0
@@ -68,8 +71,17 @@ def _unwanted(name: str, attributes: str) -> bool:
         return True
     if re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
-    words = re.split(r"[^a-z]+", (found.get("class", "") + " " + found.get("id", "")).lower())
-    return name in CONTAINERS and not DROPPED_WORDS.isdisjoint(words)
+    return False
+
+
+def _doubtful(name: str, attributes: str) -> bool:
+    """Whether a token of a container's class or id consists of listed words alone."""
+    if name not in CONTAINERS or not attributes or attributes.isspace():
+        return False
+    found = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)}
+    tokens = (found.get("class", "") + " " + found.get("id", "")).lower().split()
+    words = [[w for w in re.split(r"[^a-z]+", token) if w] for token in tokens]
+    return any(own and DROPPED_WORDS.issuperset(own) for own in words)
 
 
 class Tree:
@@ -103,6 +115,42 @@ class Tree:
                         raw = name
         while self.open:
             self._close(len(self.open) - 1)
+        self._settle()
+
+    def _settle(self) -> None:
+        """Drop the doubtful containers that don't hold the page's content, then count what is left.
+
+        One outside articles stays if it holds an article, main or h1, or, on a
+        page without articles, more than half of the characters; its density decides.
+        """
+        nodes = self.nodes
+        if any(node.doubtful for node in nodes):
+            chars = [0 if node.dropped else node.chars for node in nodes]
+            holds, inside = [False] * len(nodes), [False] * len(nodes)
+            for i in range(len(nodes) - 1, 0, -1):
+                if not nodes[i].dropped:
+                    chars[nodes[i].parent] += chars[i]
+                    holds[nodes[i].parent] |= holds[i] or nodes[i].name in CONTENT
+            articles = any(node.name == "article" and not node.dropped for node in nodes)
+            for i in range(1, len(nodes)):
+                node, up = nodes[i], nodes[nodes[i].parent]
+                inside[i] = inside[node.parent] or up.name == "article"
+                content = not inside[i] and (holds[i] or not articles and 2 * chars[i] > chars[0])
+                if up.dropped or node.dropped:
+                    node.dropped = True
+                elif node.doubtful and not content:
+                    node.dropped = True
+                    self.texts[node.first:node.last] = [""] * (node.last - node.first)
+            for node in nodes:
+                node.children = [c for c in node.children if not nodes[c].dropped]
+        for node in reversed(nodes):
+            if node.parent >= 0 and not node.dropped:
+                up = nodes[node.parent]
+                link = node.name == "a"
+                up.chars += node.chars
+                up.tags += node.tags + 1
+                up.link_chars += node.chars if link else node.link_chars
+                up.link_tags += node.link_tags + link
 
     def _text(self, text: str) -> None:
         node = self.nodes[self.open[-1]]
@@ -126,7 +174,7 @@ class Tree:
             self._end(kind, implied=True, scope=SCOPE - {"table"} if name in ("td", "th", "tr", "tbody") else SCOPE)
         parent = self.open[-1]
         dropped = self.nodes[parent].dropped or _unwanted(name, attributes)
-        node = Node(name, parent, len(self.texts), dropped)
+        node = Node(name, parent, len(self.texts), dropped, not dropped and _doubtful(name, attributes))
         self.nodes.append(node)
         self.open.append(len(self.nodes) - 1)
         if not dropped:
@@ -152,13 +200,6 @@ class Tree:
         if node.name in BLOCKS:
             self._break()
         node.last = len(self.texts)
-        if node.parent >= 0 and not node.dropped:
-            up = self.nodes[node.parent]
-            link = node.name == "a"
-            up.chars += node.chars
-            up.tags += node.tags + 1
-            up.link_chars += node.chars if link else node.link_chars
-            up.link_tags += node.link_tags + link
 
     def _break(self) -> None:
         if self.texts and self.texts[-1] != " " and not self.nodes[self.open[-1] if self.open else 0].dropped:
@@ -233,8 +274,10 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with ``text``, the page's main text, and ``n_chars``, its code points.
 
     Left out are menus, headers, footers, sidebars, notices, adverts, forms,
-    scripts, styles and reader comments, by element, role, class or id.  Of the
-    remaining tree the subtree with the largest sum of composite densities is
+    scripts, styles and reader comments, by element, role, class or id.  A class
+    or id counts only as a whole token of listed words, and not on a container
+    outside articles that holds an article, main or h1, or most characters of a
+    page without articles.  Of the remaining tree the subtree with the largest sum of composite densities is
     taken.  Character references are decoded; white space becomes one space.
 
     Null or empty html, and pages without text, give an empty text.  Pages that

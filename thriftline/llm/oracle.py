@@ -135,7 +135,76 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+
+def op11_sql(k: int = 40, rounds: int = 5, seed: int = 2, scale: int = 256, dims: int = 64) -> str:
+    """Vectors and centroids by component: one pair of steps per round; a centroid that no vector chose keeps its components."""
+    steps = [f"""
+kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+         WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+parts AS MATERIALIZED (SELECT vec_id, unnest(range({dims})) AS dim, unnest(v) AS x FROM kept),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR)) - 1 AS cluster FROM kept),
+c0 AS MATERIALIZED (SELECT cluster, dim, x FROM parts JOIN seeds USING (vec_id) WHERE cluster < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (SELECT vec_id, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance
+        FROM (SELECT vec_id, cluster, sum((p.x - c.x) * (p.x - c.x)) AS distance FROM parts p JOIN c{i} c USING (dim) GROUP BY ALL) GROUP BY vec_id)""")
+        if i < rounds:
+            steps.append(f"""
+c{i + 1} AS MATERIALIZED (SELECT cluster, dim, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+         SELECT cluster, dim, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x
+         FROM parts JOIN a{i} USING (vec_id) GROUP BY ALL) m USING (cluster, dim))""")
+    return f"""WITH {",".join(steps)},
+digests AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, cluster::INT AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN digests USING (cluster)
+"""
+
+
+#: op12: the CRC-32 of every distinct word byte by byte, gains per bucket by two countings, then one order of scores.
+OP12 = r"""
+WITH steps AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c // 2, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY b) AS crc
+               FROM range(256) t(b)),
+texts AS (SELECT doc_id, text, FALSE AS target FROM documents UNION ALL SELECT NULL, text, TRUE FROM benchmark),
+split AS (SELECT doc_id, target, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+own AS MATERIALIZED (SELECT doc_id, target, unnest(words) AS word FROM split),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * strlen(word), 2), lambda i: ('0x' || substr(hex(word), i, 2))::BIGINT)),
+                  lambda c, b: xor(crc[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT word FROM own), steps),
+placed AS MATERIALIZED (SELECT doc_id, target, bucket FROM own JOIN hashed USING (word)),
+counts AS (SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM placed GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+          FROM counts),
+weights AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM placed JOIN gains USING (bucket) WHERE NOT target GROUP BY doc_id),
+scored AS (SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+                  + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+           FROM split LEFT JOIN weights USING (doc_id) WHERE NOT target),
+placed_all AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+                      count(*) FILTER (n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed_all
+"""
+
+#: op13: texts of equal words once, common shingles by a join, then a walk along the links.
+OP13 = rf"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x20\x09-\x0D]+') AS words FROM documents),
+classes AS MATERIALIZED (SELECT words, min(doc_id) AS first FROM split GROUP BY words),
+grams AS MATERIALIZED (SELECT DISTINCT first, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+                     WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS gram FROM classes),
+sizes AS MATERIALIZED (SELECT first, count(*) AS n FROM grams GROUP BY first),
+common AS (SELECT x.first AS a, y.first AS b, count(*) AS n FROM grams x JOIN grams y USING (gram) WHERE x.first < y.first GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common c JOIN sizes s ON s.first = a JOIN sizes t ON t.first = b WHERE 100 * c.n >= 85 * (s.n + t.n - c.n)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reached r JOIN edges e ON e.a = r.b),
+component AS (SELECT a AS first, min(b) AS least FROM reached GROUP BY a)
+SELECT s.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n IS NULL THEN s.doc_id ELSE coalesce(least, c.first) END AS component_id,
+       s.doc_id = CASE WHEN n IS NULL THEN s.doc_id ELSE least(coalesce(least, c.first), c.first) END AS kept
+FROM split s JOIN classes c USING (words) LEFT JOIN sizes z ON z.first = c.first LEFT JOIN component p ON p.first = c.first
+"""
+
+
 ORACLE_SQL = {
     "op1_warc_bundles": OP1,
     "op7_histogram_topk": OP7, "op2_link_trust": op2_sql(), "op3_license_dice": op3_sql(), "op6_rule_cascade": OP6, "op10_line_dedup": OP10,
+    "op11_centroid_clustering": op11_sql(), "op12_importance_resampling": OP12, "op13_setsketch_dedup": OP13,
 }

@@ -3,7 +3,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, histogram_topk, jaccard_join, license_dice, line_dedup, link_trust, lp_packing, rule_cascade, text_density, warc_bundles
+from . import (
+    byte_bpe,
+    centroid_search,
+    histogram_topk,
+    importance_resampling,
+    jaccard_join,
+    license_dice,
+    line_dedup,
+    link_trust,
+    lp_packing,
+    rule_cascade,
+    setsketch_dedup,
+    text_density,
+    warc_bundles,
+)
 from .oracle import ORACLE_SQL
 
 
@@ -73,6 +87,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_search.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_bundles, op2_link_trust, op3_license_dice, op4_text_density, op5_jaccard_join, op6_rule_cascade,
-    op7_histogram_topk, op8_lp_packing, op9_byte_bpe, op10_line_dedup)}
+    op7_histogram_topk, op8_lp_packing, op9_byte_bpe, op10_line_dedup,
+    op11_centroid_clustering, op12_importance_resampling, op13_setsketch_dedup)}

@@ -2,12 +2,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.workspace import write_through
@@ -25,40 +26,96 @@ REGISTERS = BANDS * BAND_ROWS
 DEVIATIONS = 5.5
 #: Members of a bucket, and their shingles, that meet in one task; members that are compared with one hub in a task.
 BLOCK_ROWS, BLOCK_SHINGLES, HUB_ROWS = 2048, 4_000_000, 512
-CACHE = 300_000
+#: Pairs of a cell whose likelihoods are computed together.
+PAIRS = 65_536
+#: Bytes of text whose words are hashed at once.
+PART = 1 << 20
+SPACE = re.compile(rb"[ \t-\r]")
+IN_WORD = np.array([b != 0x20 and not 9 <= b <= 13 for b in range(256)])
 
 
 # --- sets and registers ---------------------------------------------------------------------------------------------
 
-class _WordHashes(dict):
-    """Word (bytes) to its 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_WORDS = _WordHashes()
-
-
-def words(text: str | None) -> list[bytes]:
-    """What stands between ASCII white space, A-Z lower-cased; both are what bytes do."""
-    return (text or "").encode().lower().split()
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the words in ``raw``, and their 64-bit hashes: sums of random numbers per byte times powers of a constant."""
+    values, powers = _numbers()
+    data = np.frombuffer(raw, np.uint8)
+    inside = IN_WORD[data]
+    before = np.concatenate([[False], inside[:-1]])
+    starts = np.flatnonzero(inside & ~before)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    data, inside = data[starts[0]:], inside[starts[0]:]
+    starts_here = starts - starts[0]
+    place = np.arange(len(data)) - np.repeat(starts_here, np.diff(np.append(starts_here, len(data))))
+    terms = values[data] * powers[place & (len(powers) - 1)]
+    far = place >= len(powers)  # the powers start anew, each time with other bits flipped
+    if far.any():
+        terms[far] ^= (place[far] // len(powers)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    terms[~inside] = 0
+    found = np.add.reduceat(terms, starts_here)
+    found ^= found >> np.uint64(32)
+    return starts, found * np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """Per text the hashes of its words: what stands between ASCII white space, A-Z lower-cased.
+
+    Bytes do both as the definition asks.  About PART bytes are hashed at a time;
+    a longer text is cut between words.
+    """
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+
+    def settle() -> None:
+        starts, found = _hashed(b"\n".join(held))
+        ends = np.cumsum([len(raw) + 1 for raw in held])
+        out.extend(np.split(found, np.searchsorted(starts, ends[:-1])))
+        held.clear()
+
+    size = 0
+    for text in texts:
+        raw = (text or "").encode().lower()
+        if held and size + len(raw) > PART:
+            settle()
+            size = 0
+        if len(raw) <= PART:
+            held.append(raw)
+            size += len(raw) + 1
+            continue
+        parts, at = [], 0
+        while at < len(raw):
+            gap = SPACE.search(raw, at + PART)
+            end = gap.start() if gap else len(raw)
+            parts.append(_hashed(raw[at:end])[1])
+            at = end
+        out.append(np.concatenate(parts))
+    if held:
+        settle()
+    return out
 
 
-def shingles(own: list[bytes], width: int = WIDTH) -> np.ndarray:
+def shingles(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """The set of a document as sorted 64-bit hashes of its distinct shingles; fewer words than ``width`` are one."""
-    if not own:
+    own = hashes
+    if not len(own):
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, own), np.uint64, len(own))
     n = max(1, len(own) - width + 1)
     found = np.full(n, min(width, len(own)), np.uint64)
     for k in range(min(width, len(own))):
         found = (found ^ hashes[k:k + n]) * np.uint64(0xC2B2AE3D27D4EB4F)
         found ^= found >> np.uint64(31)
-    return np.unique(found * np.uint64(0x9E3779B185EBCA87))
+    found = np.sort(found * np.uint64(0x9E3779B185EBCA87))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
+
+
+@lru_cache(maxsize=1)
+def _numbers() -> tuple[np.ndarray, np.ndarray]:
+    """A random odd number per byte, and 64 powers of a constant."""
+    values = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
+    powers = np.ones(64, np.uint64)
+    powers[1:] = np.uint64(0xD1342543DE82EF95)
+    return values, np.multiply.accumulate(powers)
 
 
 @lru_cache(maxsize=1)
@@ -72,8 +129,12 @@ def minima(found: np.ndarray) -> np.ndarray:
     factor, shift = _functions()
     high = (found >> np.uint64(32)).astype(np.uint32)
     least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(high), 1024):
-        np.minimum(least, (high[at:at + 1024] * factor + shift).min(1), out=least)
+    room = np.empty((REGISTERS, min(len(high), 512)), np.uint32)
+    for at in range(0, len(high), 512):
+        own = high[at:at + 512]
+        mixed = np.multiply(own, factor, out=room[:, :len(own)])
+        mixed += shift
+        np.minimum(least, mixed.min(1), out=least)
     return least
 
 
@@ -151,6 +212,19 @@ def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, th
     return out
 
 
+@lru_cache(maxsize=4)
+def least_equal(threshold: float) -> int:
+    """Equal registers that a pair at the threshold has, but for a probability that DEVIATIONS allow on one side.
+
+    A bound for the sake of speed: what it drops the likelihood would drop as well, or all but.
+    """
+    tolerance, total, m = math.erfc(DEVIATIONS / 2 ** 0.5) / 2, 0.0, -1
+    while total < tolerance:
+        m += 1
+        total += math.comb(REGISTERS, m) * threshold ** m * (1 - threshold) ** (REGISTERS - m)
+    return m
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, on two full sets."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -164,10 +238,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1024):
             keys, sizes, least = [], [], []
-            for text in batch.column(1).to_pylist():
-                own = words(text)
+            for own in word_hashes(batch.column(1).to_pylist()):
                 found = shingles(own, width)
-                keys.append(_key(own) if own else None)
+                keys.append(_key(own) if len(own) else None)
                 sizes.append(len(found))
                 least.append(minima(found))
             values = registers(np.array(least))
@@ -190,8 +263,9 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), REGISTERS)
 
 
-def _key(own: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(own), digest_size=16).digest()
+def _key(own: np.ndarray) -> bytes:
+    """The digest of a document's words in their order."""
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
 def _class_key(k1: str, k2: str) -> Column:
@@ -245,10 +319,10 @@ def confirmed_hubs(pairs: DataFrame, texts: DataFrame, percent: int, width: int)
         cell, own = None, []
         for batch in pieces(batches, 256):
             found = []
-            for hub, block, place, text in zip(*[c.to_pylist() for c in batch.columns]):
+            columns = [c.to_pylist() for c in batch.columns]
+            for hub, block, place, held in zip(*columns[:3], word_hashes(columns[3])):
                 if cell != (hub, block):
                     cell, own = (hub, block), []
-                held = words(text)
                 if not place:  # two texts whose keys agree in 64 of 128 bits are both hubs
                     if (key := _key(held)) not in dict(own):
                         own.append((key, shingles(held, width)))
@@ -289,18 +363,28 @@ def _open_pairs(rows: list, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     block, label = np.array([r[3] for r in rows]), np.array([r[5] for r in rows])
     n, values, bands = np.array([r[6] for r in rows]), np.array([r[7] for r in rows]), np.array([r[8] for r in rows])
     band = int((bands[0] == bucket).argmax())
-    first, second = [], []
+    needed = least_equal(threshold)
+    found, held = [], []
+
+    def settle() -> None:
+        i, j = (np.concatenate(x) for x in zip(*held))
+        kept = may_reach(values[i], values[j], n[i], n[j], threshold)
+        found.append((i[kept], j[kept]))
+        held.clear()
+
     for i in range(len(rows) - 1):
-        j = np.arange(i + 1, len(rows))
-        j = j[(label[j] != label[i]) & ((a == b) | (block[j] != block[i]))]
+        j = np.flatnonzero(label[i + 1:] != label[i]) + i + 1
+        if a != b:
+            j = j[block[j] != block[i]]
+        j = j[(values[j] == values[i]).sum(1) >= needed]
         j = j[~(bands[j, :band] == bands[i, :band]).any(1)]
         if len(j):
-            many = np.full(len(j), i)
-            j = j[may_reach(values[many], values[j], n[many], n[j], threshold)]
-            first.append(np.full(len(j), i))
-            second.append(j)
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return join(first), join(second)
+            held.append((np.full(len(j), i), j))
+        if sum(len(x[1]) for x in held[-64:]) > PAIRS or len(held) >= 4096:
+            settle()
+    if held:
+        settle()
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def mixed_cells(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -351,8 +435,7 @@ def confirmed_cells(cells: DataFrame, texts: DataFrame, threshold: float, percen
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _cells(read(batches), same=lambda r: (r[4], r[9])):
             i, j = _open_pairs(rows, threshold)
-            held = [words(r[9]) for r in rows]
-            keys, sets, root = [_key(w) for w in held], [shingles(w, width) for w in held], {}
+            sets, root = {}, {}
 
             def top(x):
                 while (up := root.get(x, x)) != x:
@@ -360,12 +443,18 @@ def confirmed_cells(cells: DataFrame, texts: DataFrame, threshold: float, percen
                     x = up
                 return x
 
+            def own(x):
+                if x not in sets:
+                    held = word_hashes([rows[x][9]])[0]
+                    sets[x] = _key(held), shingles(held, width)
+                return sets[x]
+
             found = []
             for x, y in zip(i.tolist(), j.tolist()):
                 p, q = top(rows[x][5]), top(rows[y][5])
-                if p != q and linked(sets[x], sets[y], percent):
+                if p != q and linked(own(x)[1], own(y)[1], percent):
                     root[p] = q
-                    found.append((keys[x], keys[y]))
+                    found.append((own(x)[0], own(y)[0]))
             if found:
                 yield _edges(found)
 

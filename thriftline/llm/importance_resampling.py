@@ -10,14 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..plans.workspace import write_through
+from .byte_words import LOWER, array_of
 from .frames import named
 
 #: Bytes of text whose features are found at once (a longer text is taken alone), and bytes of a matrix of features.
 TEXT_BYTES, MATRIX_BYTES = 4 << 20, 8 << 20
 #: Ranges of ids within which equal scores are ranked.
 RANGES = 64
-#: A-Z as a-z, and every byte that is in no word as a space.
-LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 IN_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 
 
@@ -70,12 +69,8 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     edges = offsets[:-1] - offsets[0]
     edges = edges[edges < len(data)]
     begins[edges] = inside[edges]  # a word ends where its text does
-    letters, starts = data[inside], np.flatnonzero(begins)
-    before = np.concatenate([[0], np.cumsum(inside)])  # word bytes before each byte
-    ends = np.concatenate([before[starts], [len(letters)]])
-    counts = np.diff(np.searchsorted(starts, offsets - offsets[0]))
-    array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(letters)])
-    return array, counts
+    starts = np.flatnonzero(begins)
+    return array_of(starts, inside, data), np.diff(np.searchsorted(starts, offsets - offsets[0]))
 
 
 def feature_buckets(texts: pa.Array, width: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:

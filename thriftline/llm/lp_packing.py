@@ -1,6 +1,7 @@
 """Best-fit packing by a configuration linear program over the histogram of lengths."""
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -13,16 +14,28 @@ import regex
 from pyspark.sql import DataFrame, functions as F, Window
 
 from ..plans.workspace import write_through
+from .byte_words import array_of
 from .frames import named, pieces
 
 #: Entries of a generation of the cache of a task's process; there are two.
-CACHE = 200_000
+CACHE = 400_000
 #: Buckets over which the pieces of one length are ranked, at least; a bucket for every so many pieces.
 BUCKETS, BUCKET_ROWS = 256, 100_000
 #: How much more a token of a long item is worth: short items are kept for the gaps of later rounds.
 CONVEX = 0.1
 #: Largest lengths for which one dynamic program prices a pattern.
 PATTERNS = 32
+#: Lengths in a program of the covering, lengths whose patterns it gives, and the power of the weights in its prices.
+ACTIVE, HEADS, MILD = 128, 16, 0.0025
+
+#: Bytes that are encoded at once.
+PART = 2 << 20
+GAP = re.compile(rb"[ \t-\r]")
+# Classes of bytes: white space, letters, digits, other characters that show, and all that keeps its chunk whole.
+LETTER, DIGIT, SHOWN, WHOLE = range(1, 5)
+KINDS = np.array([
+    0 if b == 0x20 or 9 <= b <= 13 else WHOLE if b < 0x20 or b >= 0x7F or b == 0x27 else LETTER if chr(b).isalpha()
+    else DIGIT if chr(b).isdigit() else SHOWN for b in range(256)], np.uint8)
 
 # The words of the vocabulary's own pre-tokenizer, and the chunks for which Python's tables surely agree with it.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -85,19 +98,92 @@ def chunks(path: str) -> Chunks:
     return Chunks(path)
 
 
-def encode(text: str, path: str, last: int = 0) -> bytes:
-    """Ids of the text by the word-level vocabulary, then ``last``.
+def normal(text: str) -> bytes:
+    """The text as the vocabulary normalises it, white space apart: NFC, lower-cased codepoint by codepoint."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).replace("\N{GREEK CAPITAL LETTER SIGMA}", "\N{GREEK SMALL LETTER SIGMA}")
+    return text.lower().encode()
+
 
-    The vocabulary normalises to NFC, lower-cases codepoint by codepoint and
-    drops white space, so stretches between white space can be encoded, and
-    remembered, on their own.  Four separators are white space to Python only.
+def units(raw: bytes) -> tuple[pa.Array, np.ndarray]:
+    """What can be encoded on its own, and where in ``raw`` it begins.
+
+    A chunk between ASCII white space is a unit if it holds an apostrophe, a
+    control character or anything but ASCII.  Any other chunk falls into runs of
+    letters, single digits and runs of other characters.
     """
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    known = chunks(path)
-    text = text.lower()
-    parts = regex.split(r"[ \t-\r]+", text) if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) else text.split()
-    return b"".join(map(known.__getitem__, parts)) + last.to_bytes(4, "little")
+    data = np.frombuffer(raw, np.uint8)
+    kind = KINDS[data]
+    inside = kind > 0
+    before = np.concatenate([[0], kind[:-1]]) if len(kind) else kind
+    chunks = np.flatnonzero(inside & (before == 0))
+    if not len(chunks):
+        return array_of(chunks, inside, data), chunks
+    whole = np.repeat(np.maximum.reduceat(kind, chunks) == WHOLE, np.diff(np.append(chunks, len(data))))
+    begins = (kind != before) | (kind == DIGIT)
+    begins[chunks[0]:] &= ~whole
+    begins &= inside
+    begins[chunks] = True
+    starts = np.flatnonzero(begins)
+    return array_of(starts, inside, data), starts
+
+
+def _ids_of(raw: bytes, known: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all units of ``raw``, the number of ids of each unit, and where the units begin."""
+    found, starts = units(raw)
+    distinct = found.dictionary_encode()
+    packed = list(map(known.__getitem__, distinct.dictionary.cast(pa.large_string()).to_pylist()))
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    flat = np.frombuffer(b"".join(packed), "<u4")
+    which = distinct.indices.to_numpy()
+    counts = sizes[which]
+    shift = (np.cumsum(sizes) - sizes)[which] - (np.cumsum(counts) - counts)
+    return flat[np.repeat(shift, counts) + np.arange(counts.sum())], counts, starts
+
+
+def encode_texts(texts: list[str | None], path: str, last: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts by the word-level vocabulary, each followed by ``last``, and how many each text has.
+
+    About PART bytes are encoded at a time; a longer text is cut at white space.
+    Only distinct units of these bytes are looked up.
+    """
+    known, out, sizes, held = chunks(path), [], [], []
+
+    def settle() -> None:
+        ids, counts, starts = _ids_of(b"\n".join(held), known)
+        ends = np.cumsum([len(raw) + 1 for raw in held])
+        total = np.concatenate([[0], np.cumsum(counts)])
+        at = total[np.searchsorted(starts, ends)]
+        out.append(np.insert(ids, at, last))
+        sizes.extend((np.diff(at, prepend=0) + 1).tolist())
+        held.clear()
+
+    size = 0
+    for text in texts:
+        raw = normal(text or "")
+        if held and size + len(raw) > PART:
+            settle()
+            size = 0
+        if len(raw) <= PART:
+            held.append(raw)
+            size += len(raw) + 1
+            continue
+        at, parts = 0, []
+        while at < len(raw):
+            gap = GAP.search(raw, at + PART)
+            end = gap.start() if gap else len(raw)
+            parts.append(_ids_of(raw[at:end], known)[0])
+            at = end
+        out += [*parts, np.array([last], "<u4")]
+        sizes.append(sum(map(len, parts)) + 1)
+    if held:
+        settle()
+    return np.concatenate(out) if out else np.zeros(0, "<u4"), np.array(sizes, np.int64)
+
+
+def encode(text: str, path: str, last: int = 0) -> bytes:
+    """Ids of one text, then ``last``."""
+    return encode_texts([text], path, last)[0].astype("<u4").tobytes()
 
 
 def token_pieces(
@@ -106,16 +192,20 @@ def token_pieces(
 ) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary)."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 512):
-            rows: list[list] = [[] for _ in range(6)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview(encode(text or "", vocabulary_path))
-                for number, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at:at + 4 * capacity]
-                    for column, value in zip(rows, (doc, number, at // 4, len(own) // 4, zlib.crc32(own), own)):
-                        column.append(value)
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            arrays = [pa.array(map(bytes, v) if k == pa.binary() else v, k) for v, k in zip(rows, kinds) if with_ids or k != pa.binary()]
+        for batch in pieces(batches, 1024):
+            ids, sizes = encode_texts(batch.column(1).to_pylist(), vocabulary_path)
+            count = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            length = np.minimum(capacity, sizes[row] - piece * capacity)
+            ends = 4 * np.concatenate([[0], np.cumsum(length)])
+            data = ids.astype("<u4").tobytes()
+            crc = [zlib.crc32(memoryview(data)[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            arrays = [batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity),
+                      pa.array(length), pa.array(crc, pa.int64())]
+            if with_ids:
+                own = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+                arrays.append(own.cast(pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, names[:len(arrays)])
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
@@ -132,6 +222,7 @@ class Plan:
     """Patterns in the order of their sequences: items per length, and how many sequences follow it."""
     capacity: int
     patterns: list[tuple[dict[int, int], int]] = field(default_factory=list)
+    bound: float = 0.0  # no plan has fewer sequences
 
     @property
     def n_sequences(self) -> int:
@@ -152,7 +243,7 @@ class Plan:
 
 
 def knapsack(lengths: list[int], prices: list[float], bounds: list[int], capacity: int):
-    """Dynamic program over bounded items: a function that gives the best pattern within any room."""
+    """Dynamic program over bounded items: a function that gives the best pattern within any room, and the best value."""
     best = np.zeros(capacity + 1)
     steps: list[tuple[int, int, np.ndarray]] = []
     for length, price, bound in zip(lengths, prices, bounds):
@@ -162,7 +253,7 @@ def knapsack(lengths: list[int], prices: list[float], bounds: list[int], capacit
             weight = items * length
             with_it = best[:capacity + 1 - weight] + items * price
             better = with_it > best[weight:] + 1e-9
-            best[weight:][better] = with_it[better]
+            np.copyto(best[weight:], with_it, where=better)
             steps.append((length, items, better))
             left, size = left - items, 2 * size
 
@@ -175,15 +266,67 @@ def knapsack(lengths: list[int], prices: list[float], bounds: list[int], capacit
                 room -= weight
         return found
 
-    return pattern
+    return pattern, float(best[capacity])
 
 
-def fractional(demand: dict[int, float], capacity: int, rate: float = 0.05) -> dict[tuple, float]:
-    """Cover ``demand`` with patterns: how many sequences (a fraction) follow each.
+@dataclass
+class Covering:
+    """A fractional solution of the program: sequences per pattern, their sum, and a lower bound on any solution's."""
+    used: dict[tuple, float]
+    value: float
+    bound: float
+
+
+def covering(demand: dict[int, int], capacity: int, passes: float = 3.0, rate: float = 8.0, seed: int = 0) -> Covering:
+    """Cover the fixed ``demand`` by fractions of patterns: multiplicative weights, averaged.
+
+    A length's weight is exp(-rate * c), c being the share of its demand that is
+    covered so far.  Each round draws ACTIVE lengths by weight, prices them and
+    solves one knapsack program; for each of the HEADS least covered lengths the
+    program's best pattern around it is added, by half of what its scarcest
+    length needs, so no length's weight drops by more than a bounded factor.
+    When the least covered length has its demand ``passes`` times, the sum of
+    all that was added is divided by that: a covering of the demand itself.
+
+    Prices are sizes times a much milder power of the weights, for the prices of
+    this program's solutions are close to sizes.  Those at the end, divided by the
+    best pattern's over all lengths, are a solution of the dual program; it or the
+    sum of sizes, whichever is more, bounds the number of sequences from below.
+    """
+    rng = np.random.default_rng(seed)
+    lengths = np.array(sorted(demand, reverse=True))
+    wanted = np.array([demand[n] for n in lengths.tolist()], np.float64)
+    bounds = np.ceil(wanted).astype(np.int64)
+    place = {n: i for i, n in enumerate(lengths.tolist())}
+    covered, used = np.zeros(len(lengths)), {}
+    while (share := covered / wanted).min() < passes - 1e-9:
+        weight = -rate * (share - share.min())  # logarithms
+        active = np.sort(np.argsort(-(weight + rng.gumbel(size=len(weight))), kind="stable")[:ACTIVE])
+        price = lengths[active] * np.exp(MILD * weight[active])
+        fill, _ = knapsack(lengths[active].tolist(), price.tolist(), bounds[active].tolist(), capacity)
+        behind = np.lexsort((-lengths, share))[:HEADS]
+        for i in behind[share[behind] <= share.min() + 0.25].tolist():
+            head = int(lengths[i])
+            pattern = fill(capacity - head)
+            pattern[head] = pattern.get(head, 0) + 1
+            own = [place[n] for n in pattern]
+            items = np.array(list(pattern.values()), np.float64)
+            amount = float((wanted[own] / items).min()) / 2
+            key = tuple(sorted(pattern.items()))
+            used[key] = used.get(key, 0.0) + amount
+            covered[own] += amount * items
+    used = {pattern: amount / share.min() for pattern, amount in used.items()}
+    price = lengths * np.exp(-MILD * rate * (share - share.min()))
+    _, best = knapsack(lengths.tolist(), price.tolist(), bounds.tolist(), capacity)
+    bound = max(float(lengths @ wanted) / capacity, float(price @ wanted) / best)
+    return Covering(used, sum(used.values()), bound)
+
 
-    Multiplicative weights: the price of a length is its size times a weight that
-    grows while more of the length is left than of the others, so the dynamic
-    program of the next round prefers it.  One program prices a pattern for each
+def leftover(demand: dict[int, int], capacity: int, rate: float = 0.05) -> dict[tuple, float]:
+    """Patterns for the few items per length that rounding leaves, and how many sequences (a fraction) follow each.
+
+    Demand shrinks as patterns take it: the price of a length is its size times a
+    weight that grows while more of the length is left than of the others.  One program prices a pattern for each
     of the largest lengths left; a pattern is used until its scarcest length is
     gone.  A length with less than one item left is done, so there are at most
     as many patterns as lengths.
@@ -195,7 +338,7 @@ def fractional(demand: dict[int, float], capacity: int, rate: float = 0.05) -> d
     while left:
         heads = sorted(left, reverse=True)[:PATTERNS]
         priced = [n for n in sorted(left, reverse=True) if n <= capacity - heads[-1]]
-        fill = knapsack(priced, [n * (1 + CONVEX * n / capacity) * weight[n] for n in priced], [int(left[n]) for n in priced], capacity - heads[-1])
+        fill, _ = knapsack(priced, [n * (1 + CONVEX * n / capacity) * weight[n] for n in priced], [int(left[n]) for n in priced], capacity - heads[-1])
         for head in heads:
             if left[head] < 1:
                 continue
@@ -240,17 +383,30 @@ def best_fit(items: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
 
 
 def solve(histogram: dict[int, int], capacity: int) -> Plan:
-    """Round the program's solution down, solve again for what is left, and best-fit the last few items.
+    """Round the program's solution: whole sequences of its patterns, then patterns for what is left, then best fit.
 
-    What rounding leaves is less than one sequence per pattern, whose number is
-    bounded by the number of lengths, not by that of items.
+    Of each full pattern the whole part is taken, the most used first, as long as
+    the items are there.  What then is left has patterns of its own, which are
+    rounded down in turn, until less than one sequence per pattern is left; the
+    number of patterns is bounded by that of lengths, not of items.
     """
     plan = Plan(capacity)
     left = {n: v for n, v in histogram.items() if v > 0}
     if full := left.pop(capacity, 0):
         plan.patterns.append(({capacity: 1}, full))
+    if left:
+        solution = covering(left, capacity)
+        plan.bound = full + solution.bound
+        for pattern, amount in sorted(solution.used.items(), key=lambda x: (-x[1], x[0])):
+            if sum(n * items for n, items in pattern) == capacity:
+                times = min([int(amount), *[left[n] // items for n, items in pattern]])
+                if times:
+                    plan.patterns.append((dict(pattern), times))
+                    for n, items in pattern:
+                        left[n] -= items * times
+        left = {n: v for n, v in left.items() if v > 0}
     while left:
-        whole = [(dict(p), int(times)) for p, times in fractional(left, capacity).items() if times >= 1]
+        whole = [(dict(p), int(times)) for p, times in leftover(left, capacity).items() if times >= 1]
         for pattern, times in whole:
             for n, items in pattern.items():
                 left[n] -= items * times

@@ -160,3 +160,69 @@ def test_probability_column(rows):
     model = models.train_default_classifier(rows, COLUMNS, validation=None, maxIter=2, maxDepth=2)
     out = models.default_probability(model.transform(rows))
     assert out.filter(F.col("default_probability") != vector_to_array("probability")[1]).isEmpty()
+
+
+def test_best_round_waits_for_patience():
+    assert models.best_round([5, 4, 3, 4, 4, 4, 1], patience=3) == 3  # what comes after the patience is never seen
+    assert models.best_round([5, 4, 3, 4, 4, 2.5, 4, 4, 4], patience=3) == 6
+    assert models.best_round([5, 4, 3], patience=3) == 3 and models.best_round([1, 2, 3, 4, 5], patience=3) == 1
+
+
+def test_boosting_is_cut_to_its_best_round(spark, rows):
+    noisy = rows.withColumn("default_label", F.when(F.abs(F.hash("user_id")) % 4 == 0, 1 - F.col("default_label")).otherwise(F.col("default_label")))
+    parts = noisy.withColumn("is_validation", F.abs(F.hash(F.col("user_id"), F.lit(1))) % 3 == 0).cache()
+    settings = {"maxDepth": 3, "stepSize": 0.2, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}  # nothing that depends on the order of rows
+    model = models.train_default_classifier(parts, COLUMNS, patience=5, maxIter=40, **settings)
+    n = models.tree_count(model)
+    train = parts.filter("NOT is_validation")
+    ratio = train.agg(F.count_if(F.col("default_label") == 0) / F.count_if(F.col("default_label") == 1)).first()[0]
+    weighted = parts.withColumn("weight", F.when(F.col("default_label") == 1, ratio).otherwise(1.0))
+    whole = models.train_default_classifier(weighted.filter("NOT is_validation"), COLUMNS, validation=None, maxIter=min(40, n + 5), **settings)
+    judged = weighted.filter("is_validation")
+    errors = models.staged_errors(whole, judged)
+    assert 1 < n == models.best_round(errors, 5)
+    # the errors once more, from the margins of the cut models
+    for k in {1, n}:
+        margin = vector_to_array("rawPrediction")[1]
+        cut = models.first_trees(whole, k).transform(judged)
+        sign = 2.0 * F.col("default_label") - 1
+        loss = cut.agg(F.sum(F.col("weight") * 2 * F.log1p(F.exp(-2 * sign * margin))) / F.sum("weight")).first()[0]
+        assert loss == pytest.approx(errors[k - 1], rel=1e-6)
+    assert models.first_trees(whole, n).stages[-1].featureImportances.toArray().sum() == pytest.approx(1.0)
+
+
+def test_proposals_approach_a_known_optimum():
+    """A smooth surface: after as many trials, proposals come nearer to its top than random draws do."""
+    top = models.Trial(0.05, 64, 6, 20, 0.8, 0.7, 1e-5, 10)
+
+    def surface(t):
+        return -sum((a - b) ** 2 for a, b in zip(models.to_unit(t), models.to_unit(top)))
+
+    gained = []
+    for seed in range(6):
+        known = [(t, surface(t)) for t in models.random_trials(10, seed, 10)]
+        ratios = []
+        for i in range(40):
+            trial, ratio = models.propose(known, seed * 100 + i, 10)
+            ratios.append(ratio)
+            known.append((trial, surface(trial)))
+        alone = max(surface(t) for t in models.random_trials(50, seed, 10))
+        gained.append(max(v for _, v in known) - alone)
+        assert all(math.isfinite(r) for r in ratios) and sum(ratios) > 0
+        assert all(0.01 <= t.step_size <= 0.15 and 20 <= t.max_bins <= 120 and 4 <= t.max_depth <= 9 for t, _ in known)
+    assert sum(g > 0 for g in gained) >= 5
+    assert models.propose(known, 3, 10) == models.propose(known, 3, 10)
+
+
+def test_parzen_density_integrates_to_one():
+    for points in ([], [0.5], [0.0, 1.0, 0.2, 0.21]):
+        own = models.Parzen(points)
+        assert sum(own.density((i + 0.5) / 4000) for i in range(4000)) / 4000 == pytest.approx(1.0, abs=1e-3)
+
+
+def test_tuning_proposes_after_the_first_trials(spark, rows):
+    parts = models.split(rows, models.TRAIN_VAL_TEST, strata="default_label")
+    found = models.tune(parts, COLUMNS, models.random_trials(2, max_iter=3), proposed=3, parallelism=2, patience=2)[0].collect()
+    assert sorted(r["trial"] for r in found) == [1, 2, 3, 4, 5]
+    assert [r["log_ratio"] is None for r in sorted(found, key=lambda r: r["trial"])] == [True, True, False, False, False]
+    assert all(1 <= r["trees"] <= 3 for r in found)

@@ -155,3 +155,14 @@ def test_large_dimensions_take_the_salted_join(spark):
     salted = join_dimension(facts, dim, ["k"], max_rows=1, salts=5)
     assert sorted(map(str, small.collect())) == sorted(map(str, salted.select(*small.columns).collect()))
     assert salted.count() == 300
+
+
+def test_rates_divide_by_all_rows(spark):
+    """Also by those whose delay or status is unknown."""
+    bills = spark.createDataFrame([("u", m, "power", 10.0, p, late) for m, p, late in ((20, 1, 0), (21, 0, 60), (22, 0, None), (23, None, None))],
+                                  "user_id string, month int, bill_type string, amount double, paid_on_time int, days_late int")
+    found = pillar_features.bill_features(bills).first()
+    assert found["p1_severe_late_rate"] == 0.25 and found["p1_avg_days_late"] == 30.0
+    upi = spark.createDataFrame([("u", "food", 10.0, s) for s in ("FAILED", "SUCCESS", None, None, None)],
+                                "user_id string, category string, amount double, status string")
+    assert pillar_features.upi_features(upi).first()["p2_failure_rate"] == 0.2

@@ -241,3 +241,23 @@ def test_point_in_time_lookup_against_brute_force(spark):
 
 def test_schemas_name_their_keys():
     assert not schemas.CREDIT_SCORES["user_id"].nullable and schemas.STATEMENTS.names[0] == "user_id"
+
+
+def test_a_null_key_matches_a_null_key(spark):
+    target = spark.createDataFrame([(1, "a"), (None, "old"), (3, "c")], "k int, v string")
+    source = spark.createDataFrame([(None, "new"), (3, "d"), (4, "e")], "k int, v string")
+    found = {(r["k"], r["v"]) for r in tables.merge_upsert(target, source, "k").collect()}
+    assert found == {(1, "a"), (None, "new"), (3, "d"), (4, "e")}
+    assert tables.merge_upsert(target, target, "k").count() == 3
+    assert {r["k"] for r in tables.changed_between(target, source, "k").collect()} == {None, 3, 4}
+    kinds = {(r["_change_type"], r["k"]) for r in tables.change_feed(target, source, "k").collect()}
+    assert ("update_postimage", None) in kinds and ("insert", None) not in kinds and ("delete", 1) in kinds
+
+
+def test_a_change_of_a_microsecond_is_found(spark):
+    old = spark.sql("SELECT 1 AS k, TIMESTAMP '2026-01-01 00:00:00.000001' AS t, TIMESTAMP_NTZ '2026-01-01 00:00:00.000001' AS n UNION ALL "
+                    "SELECT 2, TIMESTAMP '2026-01-01 00:00:00', TIMESTAMP_NTZ '2026-01-01 00:00:00.000001' UNION ALL SELECT 3, NULL, NULL")
+    for column in ("t", "n"):
+        new = old.withColumn(column, F.when(F.col("k") == 1, F.col(column) + F.expr("INTERVAL 0.000001 SECOND")).otherwise(F.col(column)))
+        assert [r["k"] for r in tables.changed_between(old, new, "k").collect()] == [1]
+        assert {r["k"] for r in tables.changed_keys(tables.change_feed(old, new, "k"), "k").collect()} == {1}

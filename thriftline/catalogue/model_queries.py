@@ -10,16 +10,19 @@ from datetime import datetime
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as fv
+from ..functions import fixed_values as fv, text
 from ..operators import analytics, contributions as contrib, models, refresh, score_tables
 from ..operators.contract import FeatureContract
-from ..plans.workspace import new_path
+from ..plans.workspace import new_path, write_through
 from ..sources import schemas, tables
 from . import inputs, layers
+from .pillar_queries import _RISK
 from .registry import case
 
 FEATURES = list(fv.CONTRACT_FEATURES)
 NOW = datetime(2026, 1, 1, 2, 0, 0)
+#: Rounds of a trial in the query; the operator allows 500.
+TUNING_ROUNDS = 40
 _MODELS: dict = {}
 
 
@@ -41,10 +44,25 @@ def _regressor(spark, d):
     return _MODELS[key]
 
 
+def _labelled(spark, d):
+    """The feature table with its split and a label that follows from the people: a default risk above the user's own draw.
+
+    The label of the given profiles depends on nothing, so a model of it has nothing to learn.
+    """
+    people = inputs.profiles(spark, d)
+    rates = people.select("segment").distinct().withColumn("base_default_rate", F.lit(0.3))
+    factor = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("income_monthly") / 40000.0))
+    risk = score_tables.with_default_risk(people.withColumn("income_factor", factor), rates).groupBy("user_id").agg(
+        F.max("default_risk").alias("default_risk"))
+    drawn = (F.col("default_risk") > 0.15 + 0.2 * text.hash_fraction(F.col("user_id"), "default")).cast("int")
+    rows = layers.gold_pl(spark, d).join(risk, "user_id").withColumn(fv.CONTRACT_LABEL, drawn).drop("default_risk")
+    return models.split(rows, models.TRAIN_VAL_TEST, strata=fv.CONTRACT_LABEL)
+
+
 def _classifier(spark, d):
     key = (spark.sparkContext.applicationId, d, "classifier")
     if key not in _MODELS:
-        rows = models.split(layers.gold_pl(spark, d), models.TRAIN_VAL_TEST, strata=fv.CONTRACT_LABEL)
+        rows = _labelled(spark, d)
         rows = rows.filter(F.col("split") != "test").withColumn("is_validation", F.col("split") == "val")
         _MODELS[key] = models.train_default_classifier(rows, FEATURES)
     return _MODELS[key]
@@ -150,6 +168,29 @@ def _(spark, d):
                       F.bool_and(F.col("score_band").isNotNull()).alias("banded"))
 
 
+_DRAWN = f"""(SELECT user_id, CAST(max(least(greatest({_RISK.replace("base_default_rate", "0.3::DOUBLE")}, 0.005::DOUBLE), 0.65::DOUBLE)) > 0.15::DOUBLE + 0.2::DOUBLE *
+    (CAST(('0x' || substr(md5('default:' || user_id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE) AS INT) AS y
+  FROM (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, income_monthly / 40000.0::DOUBLE)) AS income_factor FROM v_profiles)
+  JOIN v_gold_pl g USING (user_id) GROUP BY user_id)"""
+
+
+@case("early_stopped_classifier", "J4 J6", f"""
+SELECT split, count(*) AS users, CAST(sum(y) AS BIGINT) AS defaults, TRUE AS many_trees, TRUE AS informed FROM (
+  SELECT y, CASE WHEN place <= round(0.7 * n) THEN 'train' WHEN place <= round(0.85 * n) THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, user_id) AS place, count(*) OVER (PARTITION BY y) AS n
+        FROM (SELECT user_id, y, CAST(('0x' || substr(md5('42:' || y || ':' || user_id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS h FROM {_DRAWN})))
+GROUP BY split""")
+def _(spark, d):
+    """Rows and defaults of each part; whether the model has over five trees and ranks defaults above others (AUC over 0.6, in parts of 100 users or more)."""
+    model = _classifier(spark, d)
+    scored = models.default_probability(model.transform(_labelled(spark, d)), "p").select("user_id", "split", "p", F.col(fv.CONTRACT_LABEL).alias("y"))
+    scored = write_through(scored, "early_stopped")
+    auc = {part: models.classification_metrics(scored.filter(F.col("split") == part), "y", "p")["auc_roc"] for part in models.TRAIN_VAL_TEST}
+    informed = F.create_map(*[F.lit(x) for part, value in auc.items() for x in (part, value > 0.6)])
+    return scored.groupBy("split").agg(F.count("*").alias("users"), F.sum("y").alias("defaults")).select(
+        "*", F.lit(models.tree_count(model) > 5).alias("many_trees"), (informed[F.col("split")] | (F.col("users") < 100)).alias("informed"))
+
+
 @case("feature_importance", "J7 F4")
 def _(spark, d):
     return analytics.top_features(models.feature_importance(spark, _classifier(spark, d), FEATURES), 31)
@@ -163,15 +204,15 @@ def _(spark, d):
 
 @case("progressive_lift", "J8")
 def _(spark, d):
-    rows = models.split(layers.gold_pl(spark, d), models.TRAIN_VAL_TEST, strata=fv.CONTRACT_LABEL)
+    rows = _labelled(spark, d)
     sets = {"v1_baseline": fv.BASELINE_FEATURES, "v2_bills": fv.BASELINE_FEATURES + fv.BILL_FEATURES, "v3_full": FEATURES}
     return models.progressive_lift(rows, sets)
 
 
 @case("tuning_trials", "J9")
 def _(spark, d):
-    rows = models.split(layers.gold_pl(spark, d), models.TRAIN_VAL_TEST, strata=fv.CONTRACT_LABEL)
-    return models.tune(rows, FEATURES, models.random_trials())[0]
+    rows = _labelled(spark, d)
+    return models.tune(rows, FEATURES, models.random_trials(8, max_iter=TUNING_ROUNDS), proposed=12)[0]
 
 
 def _auc_sql(score: str) -> str:

@@ -27,8 +27,8 @@ from . import score_tables
 REGRESSOR = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 5}
 CLASSIFIER = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 20,
               "featureSubsetStrategy": "0.8"}
-#: Boosting goes on as long as the validation error doesn't grow (MLlib knows a tolerance but no patience).
-VALIDATION_TOL = 0.0
+#: Rounds without a smaller validation error after which boosting ends.
+PATIENCE = 30
 SEED, TRIALS = 42, 20
 TRAIN_TEST = {"train": 0.80, "test": 0.20}
 TRAIN_VAL_TEST = {"train": 0.70, "val": 0.15, "test": 0.15}
@@ -123,21 +123,71 @@ def class_weights(df: DataFrame, label: str = fv.CONTRACT_LABEL) -> DataFrame:
 
 
 def train_default_classifier(df: DataFrame, columns: Sequence[str], label: str = fv.CONTRACT_LABEL,
-                             validation: str | None = "is_validation", **params):
-    """Boosted trees for default with class weights; boosting stops once the validation error stalls.
+                             validation: str | None = "is_validation", patience: int = PATIENCE, **params):
+    """Boosted trees for default with class weights, cut to the round of the smallest validation error.
 
     The positive weight is taken from the training rows.  ``validation`` names a
-    boolean column; None trains on all rows without early stopping.
+    boolean column; None trains the given number of rounds on all rows.
+
+    A round is the best if ``patience`` more rounds bring no smaller error.  As
+    long as the end is nearer than that, training is done again with twice the
+    rounds; equal seeds give equal first trees, so all together costs less than
+    two trainings of the final length.  The errors of all rounds come from one
+    pass over the validation rows.
     """
     use_checkpoints(df.sparkSession)
     training = df.filter(~F.col(validation)) if validation else df
     positives = F.count_if(F.col(label) == 1)
     ratio = training.agg(F.coalesce(F.try_divide(F.count_if(F.col(label) == 0), positives), F.lit(1.0))).scalar()
     weighted = df.withColumn("weight", F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0)))
-    gbt = GBTClassifier(labelCol=label, weightCol="weight", seed=SEED, **{**CLASSIFIER, **params})
-    if validation:
-        gbt = gbt.setValidationIndicatorCol(validation).setParams(validationTol=VALIDATION_TOL)
-    return Pipeline(stages=[assembler(columns), gbt]).fit(weighted)
+    settings = {**CLASSIFIER, **params}
+    gbt = GBTClassifier(labelCol=label, weightCol="weight", seed=SEED, **settings)
+    if not validation:
+        return Pipeline(stages=[assembler(columns), gbt]).fit(weighted)
+    weighted = write_through(weighted.select(*columns, label, "weight", validation), "boosting")
+    kept, judged = weighted.filter(~F.col(validation)), weighted.filter(validation)
+    rounds = 0
+    while True:
+        rounds = min(settings["maxIter"], 2 * rounds or patience + 10)
+        model = Pipeline(stages=[assembler(columns), gbt.copy({gbt.maxIter: rounds})]).fit(kept)
+        best = best_round(staged_errors(model, judged), patience)
+        if best + patience <= rounds or rounds == settings["maxIter"]:
+            return first_trees(model, best)
+
+
+def staged_errors(model: PipelineModel, rows: DataFrame) -> list[float]:
+    """The weighted logistic loss on ``rows`` after each round of boosting."""
+    return model.stages[-1].evaluateEachIteration(model.stages[0].transform(rows))
+
+
+def best_round(errors: Sequence[float], patience: int = PATIENCE) -> int:
+    """The round (from 1) after which ``patience`` rounds brought no smaller error; the best of all if there is none such."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def first_trees(model: PipelineModel, n: int) -> PipelineModel:
+    """The model as it was after ``n`` rounds."""
+    whole = model.stages[-1]
+    java = whole._java_obj
+    gateway = SparkSession.active().sparkContext._gateway
+    made = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(java.trees(), whole.treeWeights)):
+        if i < n:
+            trees[i], weights[i] = tree, weight
+    cut = made(java.uid(), trees, weights, whole.numFeatures, whole.numClasses)
+    return PipelineModel([*model.stages[:-1], type(whole)._from_java(cut)])
+
+
+def tree_count(model: PipelineModel) -> int:
+    return model.stages[-1].getNumTrees
 
 
 def default_probability(predictions: DataFrame, column: str = "default_probability") -> DataFrame:
@@ -236,29 +286,95 @@ class Trial:
 
 
 def random_trials(n: int = TRIALS, seed: int = SEED, max_iter: int = CLASSIFIER["maxIter"]) -> list[Trial]:
-    """Seeded draws over eight parameters.
+    """Seeded draws over seven parameters.
 
     Depth, leaf size, learning rate and both fractions keep their published
     ranges.  MLlib trees have no leaf count and no L1/L2 penalty; bins and the
     least gain of a split take their place.
     """
     draw = random.Random(seed)
+    return [from_unit([draw.random() for _ in RANGES], max_iter) for _ in range(n)]
+
+
+# The searched range of every parameter, and whether it is searched by its logarithm
+RANGES = {"step_size": (0.01, 0.15, True), "max_bins": (20, 120, False), "max_depth": (4, 9, False), "min_instances": (10, 50, False),
+          "feature_fraction": (0.60, 0.95, False), "subsampling_rate": (0.60, 0.95, False), "min_info_gain": (1e-6, 1e-3, True)}
+WHOLE = ("max_bins", "max_depth", "min_instances")
+#: The share of finished trials that count as good, and the candidates among which the likeliest to be good is taken.
+GOOD, CANDIDATES = 0.25, 24
+
+
+def to_unit(trial: Trial) -> list[float]:
+    """The trial's place in its ranges, each from 0 to 1."""
+    place = lambda v, low, high: (v - low) / (high - low)
+    return [place(*map(math.log, (getattr(trial, k), low, high))) if by_log else place(getattr(trial, k), low, high)
+            for k, (low, high, by_log) in RANGES.items()]
+
+
+def from_unit(places: Sequence[float], max_iter: int) -> Trial:
+    values = {}
+    for at, (k, (low, high, by_log)) in zip(places, RANGES.items()):
+        value = math.exp(math.log(low) + at * (math.log(high) - math.log(low))) if by_log else low + at * (high - low)
+        values[k] = round(value) if k in WHOLE else value
+    return Trial(**values, max_iter=max_iter)
+
+
+class Parzen:
+    """A density over 0..1: a normal kernel at every point, as wide as the larger gap to its neighbours, and a uniform part."""
+
+    def __init__(self, points: Sequence[float]):
+        self.points = sorted(points)
+        edges = [0.0, *self.points, 1.0]
+        gaps = [max(b - a, c - b) for a, b, c in zip(edges, edges[1:], edges[2:])]
+        self.widths = [min(1.0, max(g, 1.0 / (2 + len(self.points)))) for g in gaps]
+
+    def density(self, x: float) -> float:
+        def kernel(m: float, w: float) -> float:
+            inside = 0.5 * (math.erf((1 - m) / (w * 2 ** 0.5)) - math.erf(-m / (w * 2 ** 0.5)))
+            return math.exp(-((x - m) / w) ** 2 / 2) / (w * (2 * math.pi) ** 0.5 * inside)
+
+        return (1.0 + sum(map(kernel, self.points, self.widths))) / (1 + len(self.points))
+
+    def draw(self, source: random.Random) -> float:
+        i = source.randrange(1 + len(self.points))
+        if i == len(self.points):
+            return source.random()
+        while not 0 <= (x := source.gauss(self.points[i], self.widths[i])) <= 1:
+            pass
+        return x
+
+
+def propose(finished: Sequence[tuple[Trial, float]], seed: int, max_iter: int = CLASSIFIER["maxIter"]) -> tuple[Trial, float]:
+    """The next trial by tree-structured Parzen estimators, and the logarithm of its ratio good : other.
+
+    The best share of finished trials and the rest each get a density per
+    parameter.  Candidates are drawn from the good ones' densities; the one whose
+    ratio of densities is the largest is proposed.
+    """
+    source = random.Random(seed)
+    ranked = [to_unit(t) for t, _ in sorted(finished, key=lambda x: -x[1])]
+    n_good = max(1, math.ceil(GOOD * len(ranked)))
+    good, other = ([Parzen(column) for column in zip(*part)] or [Parzen([]) for _ in RANGES] for part in (ranked[:n_good], ranked[n_good:]))
+    drawn = [[d.draw(source) for d in good] for _ in range(CANDIDATES)]
+    ratio = lambda u: sum(math.log(g.density(x) / o.density(x)) for g, o, x in zip(good, other, u))
+    best = max(drawn, key=ratio)
+    return from_unit(best, max_iter), ratio(best)
 
-    def log_uniform(low: float, high: float) -> float:
-        return math.exp(draw.uniform(math.log(low), math.log(high)))
 
-    return [Trial(log_uniform(0.01, 0.15), draw.randint(20, 120), draw.randint(4, 9), draw.randint(10, 50),
-                  draw.uniform(0.60, 0.95), draw.uniform(0.60, 0.95), log_uniform(1e-6, 1e-3), max_iter)
-            for _ in range(n)]
+TRIALS_SCHEMA = ("trial int, auc double, test_auc double, step_size double, max_bins int, max_depth int, min_instances int, "
+                 "feature_fraction double, subsampling_rate double, min_info_gain double, max_iter int, trees int, log_ratio double")
 
 
-def tune(df: DataFrame, columns: Sequence[str], trials: list[Trial], label: str = fv.CONTRACT_LABEL,
-         parallelism: int = 4) -> tuple[DataFrame, Trial, float]:
+def tune(df: DataFrame, columns: Sequence[str], trials: list[Trial], label: str = fv.CONTRACT_LABEL, proposed: int = 0,
+         parallelism: int = 4, seed: int = SEED, **params) -> tuple[DataFrame, Trial, float]:
     """Train every trial, judge it on validation rows, and the best one on rows that none has seen.
 
     ``df`` carries ``split`` with train, val and test.  Positive weights come from
-    train rows, boosting stops by the validation rows.  Returns the trials by
-    validation AUC (with the test AUC of the best), the best and its test AUC.
+    train rows, boosting is cut by the validation rows.  After the given trials,
+    ``proposed`` more follow, ``parallelism`` at a time, each chosen by what the
+    finished ones have shown.  Returns the trials by validation AUC (with the test
+    AUC of the best, the trees of each, and the log ratio of proposed ones), the
+    best and its test AUC.
     """
     training = write_through(df.filter(F.col("split") != "test").withColumn("is_validation", F.col("split") == "val"), "tuning")
     validation = training.filter("is_validation")
@@ -267,17 +383,26 @@ def tune(df: DataFrame, columns: Sequence[str], trials: list[Trial], label: str
         model = train_default_classifier(training, columns, label, stepSize=trial.step_size, maxBins=trial.max_bins,
                                          maxDepth=trial.max_depth, minInstancesPerNode=trial.min_instances,
                                          featureSubsetStrategy=f"{trial.feature_fraction:.4f}",
-                                         subsamplingRate=trial.subsampling_rate, minInfoGain=trial.min_info_gain, maxIter=trial.max_iter)
+                                         subsamplingRate=trial.subsampling_rate, minInfoGain=trial.min_info_gain,
+                                         maxIter=trial.max_iter, **params)
         return model, _auc(model, validation, label)
 
+    trials, ratios = list(trials), [None] * len(trials)
     with ThreadPoolExecutor(parallelism) as pool:  # Spark runs the jobs of several trials side by side
-        found = list(pool.map(inheritable_thread_target(df.sparkSession)(judged), trials))
+        run = lambda some: list(pool.map(inheritable_thread_target(df.sparkSession)(judged), some))
+        found = run(trials)
+        for start in range(0, proposed, parallelism):
+            known = [(t, auc) for t, (_, auc) in zip(trials, found)]
+            fresh = [propose(known, seed * 1000 + start + i, trials[0].max_iter if trials else CLASSIFIER["maxIter"])
+                     for i in range(min(parallelism, proposed - start))]
+            trials += [t for t, _ in fresh]
+            ratios += [r for _, r in fresh]
+            found += run([t for t, _ in fresh])
     best = max(range(len(trials)), key=lambda i: found[i][1])
     test_auc = _auc(found[best][0], df.filter(F.col("split") == "test"), label)
     table = df.sparkSession.createDataFrame(
-        [(i + 1, auc, test_auc if i == best else None, *asdict(t).values()) for i, (t, (_, auc)) in enumerate(zip(trials, found))],
-        "trial int, auc double, test_auc double, step_size double, max_bins int, max_depth int, min_instances int, "
-        "feature_fraction double, subsampling_rate double, min_info_gain double, max_iter int")
+        [(i + 1, auc, test_auc if i == best else None, *asdict(t).values(), tree_count(model), ratio)
+         for i, (t, (model, auc), ratio) in enumerate(zip(trials, found, ratios))], TRIALS_SCHEMA)
     return table.orderBy(F.desc("auc"), "trial"), trials[best], test_auc
 
 

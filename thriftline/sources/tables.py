@@ -61,6 +61,8 @@ def merge_upsert(target: DataFrame, source: DataFrame, key: str, check: bool = T
                  source_keys: DataFrame | None = None) -> DataFrame:
     """Matched rows take the source's values in every column, other source rows are added.
 
+    NULL is a key like any other: it matches NULL.
+
     The target is read once against the keys of the source (a small side is
     broadcast by size) and is never joined with the source's wide rows.  The
     source itself is evaluated for its keys and again for its rows: where that
@@ -69,8 +71,8 @@ def merge_upsert(target: DataFrame, source: DataFrame, key: str, check: bool = T
     """
     if check:
         assert_single_source(source, key)
-    keys = (source if source_keys is None else source_keys).select(key)
-    kept = target.join(keys, key, "left_anti").select(*target.columns)
+    keys = (source if source_keys is None else source_keys).select(F.col(key).alias("_source_key"))
+    kept = target.join(keys, F.col(key).eqNullSafe(F.col("_source_key")), "left_anti").select(*target.columns)
     return kept.unionByName(source.select(*target.columns))
 
 
@@ -90,7 +92,7 @@ def change_feed(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
         fields = [(F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in columns]
         return df.select(F.col(key).alias(f"{name}_key"), F.struct(*fields).alias(name))
 
-    pairs = image(old, "_old").join(image(new, "_new"), F.col("_old_key") == F.col("_new_key"), "full_outer")
+    pairs = image(old, "_old").join(image(new, "_new"), F.col("_old_key").eqNullSafe(F.col("_new_key")), "full_outer")
     inserted, deleted = F.col("_old").isNull(), F.col("_new").isNull()
 
     def entry(kind: str, side: str) -> Column:
@@ -110,6 +112,10 @@ def changed_keys(feed: DataFrame, key: str) -> DataFrame:
     return feed.filter(F.col(FEED_COLUMN).isin("insert", "update_postimage")).select(key).distinct()
 
 
+#: JSON cuts timestamps to milliseconds unless told otherwise.
+MICROSECONDS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def changed_between(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``changed_keys(change_feed(...))`` when only the keys are wanted.
 
@@ -119,10 +125,11 @@ def changed_between(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     columns = sorted({c for c in (*old.columns, *new.columns) if c != key})
 
     def digest(df: DataFrame, name: str) -> DataFrame:
-        known = F.to_json(F.struct(*[c for c in columns if c in df.columns]))
+        known = F.to_json(F.struct(*[c for c in columns if c in df.columns]), MICROSECONDS)
         return df.select(key, F.unhex(F.sha2(known, 256)).alias(name))
 
-    both = digest(new, "_new").join(digest(old, "_old"), key, "left")
+    before = digest(old, "_old").withColumnRenamed(key, "_old_key")
+    both = digest(new, "_new").join(before, F.col(key).eqNullSafe(F.col("_old_key")), "left")
     return both.filter(~F.col("_new").eqNullSafe(F.col("_old"))).select(key).distinct()
 
 

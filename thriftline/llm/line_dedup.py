@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.workspace import write_through
 from .frames import SPACES, ascii_lower, digest, named, packed, unpacked
+from .hot_keys import attach
 
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -22,14 +23,15 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 def shared_keys(keys: DataFrame, min_docs: int = 2) -> DataFrame:
-    """Keys that at least ``min_docs`` different documents hold, with the smallest id among these.
+    """Keys that at least ``min_docs`` different documents hold, with the smallest id among these and the number of lines.
 
     Copies within a document and then within a task are merged before the key is
     shuffled, so a line that a third of all documents hold arrives as a few rows.
     """
-    held = keys.select("h1", "h2", "id").distinct()
-    counted = held.groupBy("h1", "h2").agg(F.count("id").alias("n_docs"), F.min("id").alias("keeper"))
-    return counted.filter(F.col("n_docs") >= min_docs)
+    held = keys.groupBy("h1", "h2", "id").agg(F.count(F.lit(1)).alias("lines"))
+    counted = held.groupBy("h1", "h2").agg(
+        F.count("id").alias("n_docs"), F.min("id").alias("keeper"), F.sum("lines").alias("lines"))
+    return counted.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper", "lines")
 
 
 def line_dedup(
@@ -48,7 +50,8 @@ def line_dedup(
     empty one.  Input columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
     keys = write_through(line_keys(docs, id_col, text_col, min_chars), "line_keys")
-    dropped = keys.join(shared_keys(keys, min_docs), ["h1", "h2"]).filter("id <> keeper")
+    shared = write_through(shared_keys(keys, min_docs), "shared_keys")
+    dropped = attach(keys, shared, ["h1", "h2"], "lines", keys.count(), "inner").filter("id <> keeper")
     dropped = dropped.groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("dropped"))
 
     text = F.coalesce(named(text_col), F.lit(""))

@@ -18,10 +18,19 @@ from thriftline.plans.workspace import write_through
 ORACLE_SQL = None
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but doc_id and text renamed by position, and what gives them back in their order.
+
+    An operator's own columns then clash with none of the input's.
+    """
+    own = [c if c in ("doc_id", "text") else f"input_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*own), lambda out: out.select(*own).toDF(*docs.columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects.  A null text is too short, and goes."""
-    judged = rule_cascade.rule_cascade(docs)
-    return judged.filter("kept").select(*docs.columns)
+    rows, restored = apart(docs)
+    return restored(rule_cascade.rule_cascade(rows).filter("kept"))
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +38,9 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A document that loses all its lines stays, with an empty text.
     """
-    out = line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    rows, restored = apart(docs)
+    out = restored(line_dedup.line_dedup(rows))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +51,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     no class, and stay.
     """
     classes = jaccard_join.jaccard_join(docs)
-    same = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(same.alias("first")).distinct()
+    first = classes.filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("first")).distinct()
+    rows, restored = apart(docs)
     blank = ~F.coalesce("text", F.lit("")).rlike(r"\S")
     first_blank = docs.filter(blank).agg(F.min("doc_id")).first()[0]
-    rows = docs.withColumn("same", same).filter(~blank | F.col("doc_id").isNull() | (F.col("doc_id") == F.lit(first_blank)))
-    kept = rows.join(first, rows["same"] == first["first"], "left_semi")
-    return kept.dropDuplicates(["same", "text"]).select(*docs.columns)
+    usable = rows.filter("doc_id IS NOT NULL").filter(~blank | (F.col("doc_id") == F.lit(first_blank)))
+    kept = usable.join(first, F.col("doc_id") == F.col("first"), "left_semi").dropDuplicates(["doc_id", "text"])
+    nameless = rows.filter("doc_id IS NULL").dropDuplicates(["text"])
+    return restored(kept.unionByName(nameless))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,16 @@ def test_packing_query_runs_with_ids(spark, sf_dir, monkeypatch):
     assert "ids" in made[0].columns and out.columns == [c for c in made[0].columns if c != "ids"]
     key = ["doc_id", "piece", "ids_crc32"]
     assert sorted(map(tuple, out.select(*key).collect())) == sorted(map(tuple, made[0].select(*key).collect()))
+
+
+def test_columns_of_any_name_come_through(spark):
+    """Extra columns named like the operators' own keep their values."""
+    extra = ["kept", "rejected_by", "n_lines", "n_dropped", "same", "n_words", "input_2", "a.b"]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    docs = spark.createDataFrame([(d, t, 0, *[f"{c} of {d}" for c in extra]) for d, t in DOCS], schema)
+    rows = docs
+    for name, stage in cp.STAGES[:-1]:
+        rows = cp.write_through(stage(spark, rows, ""), name)
+        assert rows.columns == docs.columns
+    assert sorted((r["doc_id"] for r in rows.collect()), key=repr) == [1, 10, 3, 8, 9, None]
+    assert all(r[c] == f"{c} of {r['doc_id']}" for r in rows.collect() for c in extra)

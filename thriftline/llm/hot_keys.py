@@ -28,3 +28,19 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: in
     if how == "left":
         out = out.unionByName(rows.filter(~there), allowMissingColumns=True)
     return out
+
+
+def attach_listed(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int, how: str = "left") -> DataFrame:
+    """As ``attach``, with the hot keys as a list in the plan: fewer than SHARE values of the first key come to the driver.
+
+    Rows are told apart by a filter on it, so none passes a join only to be told
+    that it isn't hot.
+    """
+    first = named(keys[0])
+    hot = [r[0] for r in facts.filter(F.col(n) > max(1, total // SHARE)).select(first).distinct().collect()]
+    facts = facts.drop(n)
+    if not hot:
+        return rows.join(facts, keys, how)
+    out = rows.filter(first.isin(hot)).join(F.broadcast(facts.filter(first.isin(hot))), keys, how).unionByName(
+        rows.filter(~first.isin(hot)).join(facts.filter(~first.isin(hot)), keys, how))
+    return out.unionByName(rows.filter(first.isNull()), allowMissingColumns=True) if how == "left" else out

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.workspace import write_through
 from .frames import named, pieces
-from .hot_keys import attach
+from .hot_keys import attach_listed as attach
 from .jaccard_join import components
 
 WIDTH, THRESHOLD = 5, 0.85

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv, text
+from .quantiles import exact_quantiles
 
 # Column lists of the two user listings
 USER_TABLE_COLUMNS = [
@@ -108,15 +109,20 @@ def score_distribution(df: DataFrame, column: str = "score") -> DataFrame:
                   F.avg(column).alias("avg_score"), quartile(0.75).alias("p75"), F.max(column).alias("max_score"))
 
 
-def feature_summary(df: DataFrame, columns: list[str], accuracy: int = 100_000) -> DataFrame:
-    """One row per feature: count, mean, stddev, min, quartiles, max; one pass over the table."""
+def feature_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per feature: count, mean, stddev, min, exact quartiles (nearest rank), max.
+
+    The quartiles need two or three passes: write a costly ``df`` first.
+    """
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+
     def stats(c: str) -> Column:
         value = F.col(c).cast("double")
-        q = F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy)
+        p25, p50, p75 = (F.lit(q).cast("double") for q in quartiles[c])
         return F.struct(
             F.lit(c).alias("feature"), F.count(value).alias("n"), F.avg(value).alias("mean"),
             F.stddev_samp(value).alias("stddev"), F.min(value).alias("min"),
-            q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(value).alias("max")).alias(c)
+            p25.alias("p25"), p50.alias("p50"), p75.alias("p75"), F.max(value).alias("max")).alias(c)
 
     wide = df.agg(*[stats(c) for c in columns])
     return wide.select(F.inline(F.array(*[F.col(c) for c in columns])))
@@ -169,9 +175,9 @@ def scheme_reach(eligibility: DataFrame) -> DataFrame:
         F.countDistinct("user_id").alias("eligible_users")).orderBy(F.desc("eligible_users"), "scheme_name")
 
 
-def income_score_frame(df: DataFrame, q: float = 0.95, accuracy: int = 100_000) -> DataFrame:
-    """Income against score with the q-quantile of income (nearest rank) as axis limit; all points are kept."""
-    limit = df.agg(F.percentile_approx("avg_monthly_income", q, accuracy)).scalar()
+def income_score_frame(df: DataFrame, q: float = 0.95) -> DataFrame:
+    """Income against score with the exact q-quantile of income (nearest rank) as axis limit; all points are kept."""
+    limit = F.lit(exact_quantiles(df, ["avg_monthly_income"], [q])["avg_monthly_income"][0]).cast("double")
     points = df.select("user_id", "persona", "avg_monthly_income", "predicted_score", "score_category")
     return points.withColumn("income_limit", limit).withColumn(
         "in_view", F.col("avg_monthly_income") <= F.col("income_limit"))

@@ -239,6 +239,28 @@ def test_point_in_time_lookup_against_brute_force(spark):
     assert {r["id"]: r["f"] for r in got.collect()} == {i: expected(u, t) for i, u, t in labels}
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 7, 50])
+def test_point_in_time_lookup_over_the_ends_of_ranges(spark, ranges):
+    """One key with nearly all rows, moments and rows that repeat, NULL keys and times."""
+    day = dt.datetime(2024, 1, 1)
+    feats = [("hot", day + dt.timedelta(minutes=97 * i), i + 1) for i in range(90)] + [("b", day, 1000), (None, day, 2000), ("c", None, 3000)]
+    labels = [(i, "hot", day + dt.timedelta(minutes=13 * i - 50)) for i in range(700)]
+    labels += [(1000 + i, "hot", day + dt.timedelta(days=40)) for i in range(300)]  # many at one moment, long after
+    labels += [(2000, "b", day), (2000, "b", day), (2001, "c", day), (2002, None, day), (2003, "hot", None), (2004, "none", day)]
+    features = spark.createDataFrame(feats, "user string, fts timestamp, f int")
+    got = point_in_time_lookup(spark.createDataFrame(labels, "id int, user string, ts timestamp"), features, "user", "ts", "fts", ranges)
+
+    def expected(user, ts):
+        earlier = [(t, f) for u, t, f in feats if None not in (u, t, ts) and u == user and t <= ts]
+        return max(earlier)[1] if earlier else None
+
+    assert sorted((r["id"], r["f"] or -1) for r in got.collect()) == sorted((i, expected(u, t) or -1) for i, u, t in labels)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    none = point_in_time_lookup(got.select("id", "user", "ts").limit(0), features, "user", "ts", "fts")
+    assert none.isEmpty() and none.columns == ["id", "user", "ts", "fts", "f"]
+
+
 def test_schemas_name_their_keys():
     assert not schemas.CREDIT_SCORES["user_id"].nullable and schemas.STATEMENTS.names[0] == "user_id"
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import fixed_values as fv
 from ..operators import clean, quality, refresh
 from ..plans.workspace import new_path, write_through
-from ..sources import files, schemas, statements as st, tables, zorder
+from ..sources import buckets, files, schemas, statements as st, tables, zorder
 from ..streaming import evolving, ingest
 from . import inputs, layers, oracle
 from .registry import case
@@ -65,6 +65,16 @@ def _(spark, d):
     return tables.merge_upsert(activity(spark, d, OLD_BOOK), activity(spark, d, NEW_BOOK), "user_id")
 
 
+@case("bucketed_upsert", "A13", "SELECT *, 2 AS versions FROM v_new UNION ALL SELECT o.*, 2 FROM v_old o ANTI JOIN v_new n USING (user_id)", total=2)
+def _(spark, d):
+    """The old snapshot in hash buckets, then the new one upserted into them."""
+    path = new_path(spark, "buckets")
+    for name, statuses in (("old", OLD_BOOK), ("new", NEW_BOOK)):
+        rows = write_through(activity(spark, d, statuses), name)
+        version = buckets.bucketed_upsert(rows, path, "user_id", rows.schema, buckets=16)
+    return buckets.bucketed_read(spark, path, rows.schema).withColumn("versions", F.lit(version))
+
+
 @case("snapshot_history", "A15", "SELECT 1 AS version, count(*) AS rows FROM v_old UNION ALL SELECT 2, count(*) FROM v_new")
 def _(spark, d):
     path = new_path(spark, "activity")

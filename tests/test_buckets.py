@@ -35,6 +35,22 @@ def test_untouched_buckets_keep_their_files(spark):
         r["folder"] for r in buckets.bucket_manifest(spark, path).collect())) == 16 - len(touched)
 
 
+def test_feed_reads_written_buckets_only(spark):
+    path, day = new_path(spark, "b"), "TIMESTAMP '2024-01-01 00:00:00.000001'"
+    old = spark.range(500).select("id", F.expr(day).alias("at"))
+    buckets.bucketed_upsert(old, path, "id", old.schema, buckets=16)
+    new = spark.range(499, 501).select("id", F.expr(f"{day} + INTERVAL '0.000001' SECOND").alias("at"))
+    buckets.bucketed_upsert(new, path, "id", old.schema)
+    buckets.bucketed_upsert(old.filter("id = 3"), path, "id", old.schema)  # written, but nothing differs
+    feed = buckets.bucketed_feed(spark, path, "id", old.schema, 1)
+    full = tables.change_feed(old, tables.merge_upsert(old, new, "id"), "id")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(feed) == key(full) and feed.count() == 3  # one insert, two images of a change of a microsecond
+    assert len(feed.inputFiles()) <= 6
+    assert buckets.bucketed_feed(spark, path, "id", old.schema, 2, 3).isEmpty()
+    assert buckets.bucketed_feed(spark, path, "id", old.schema, 2, 2).isEmpty()
+
+
 def test_null_keys_repeated_keys_and_empty_sources(spark):
     path = new_path(spark, "b")
     first = table(spark, [(None, 1), ("a", 1)])

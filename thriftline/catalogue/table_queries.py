@@ -75,6 +75,19 @@ def _(spark, d):
     return buckets.bucketed_read(spark, path, rows.schema).withColumn("versions", F.lit(version))
 
 
+@case("bucketed_feed", "A14 A13", f"""
+SELECT 'insert' AS _change_type, n.* FROM v_new n ANTI JOIN v_old o USING (user_id)
+UNION ALL SELECT 'update_preimage', o.* FROM v_old o JOIN v_new n USING (user_id) WHERE NOT ({_SAME})
+UNION ALL SELECT 'update_postimage', n.* FROM v_old o JOIN v_new n USING (user_id) WHERE NOT ({_SAME})""", total=2)
+def _(spark, d):
+    """What an upsert of the new snapshot into the old one has changed, from the buckets that it wrote."""
+    path = new_path(spark, "buckets")
+    for name, statuses in (("old", OLD_BOOK), ("new", NEW_BOOK)):
+        rows = write_through(activity(spark, d, statuses), name)
+        buckets.bucketed_upsert(rows, path, "user_id", rows.schema, buckets=16)
+    return buckets.bucketed_feed(spark, path, "user_id", rows.schema, 1)
+
+
 @case("snapshot_history", "A15", "SELECT 1 AS version, count(*) AS rows FROM v_old UNION ALL SELECT 2, count(*) FROM v_new")
 def _(spark, d):
     path = new_path(spark, "activity")

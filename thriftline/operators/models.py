@@ -304,19 +304,27 @@ WHOLE = ("max_bins", "max_depth", "min_instances")
 GOOD, CANDIDATES = 0.25, 24
 
 
-def to_unit(trial: Trial) -> list[float]:
-    """The trial's place in its ranges, each from 0 to 1."""
+def to_places(settings, ranges: dict[str, tuple[float, float, bool]]) -> list[float]:
+    """Where a setting's values stand in their ranges, each from 0 to 1."""
     place = lambda v, low, high: (v - low) / (high - low)
-    return [place(*map(math.log, (getattr(trial, k), low, high))) if by_log else place(getattr(trial, k), low, high)
-            for k, (low, high, by_log) in RANGES.items()]
+    return [place(*map(math.log, (getattr(settings, k), low, high))) if by_log else place(getattr(settings, k), low, high)
+            for k, (low, high, by_log) in ranges.items()]
 
 
-def from_unit(places: Sequence[float], max_iter: int) -> Trial:
+def in_ranges(places: Sequence[float], ranges: dict[str, tuple[float, float, bool]], whole: Sequence[str]) -> dict[str, float]:
     values = {}
-    for at, (k, (low, high, by_log)) in zip(places, RANGES.items()):
+    for at, (k, (low, high, by_log)) in zip(places, ranges.items()):
         value = math.exp(math.log(low) + at * (math.log(high) - math.log(low))) if by_log else low + at * (high - low)
-        values[k] = round(value) if k in WHOLE else value
-    return Trial(**values, max_iter=max_iter)
+        values[k] = round(value) if k in whole else value
+    return values
+
+
+def to_unit(trial: Trial) -> list[float]:
+    return to_places(trial, RANGES)
+
+
+def from_unit(places: Sequence[float], max_iter: int) -> Trial:
+    return Trial(**in_ranges(places, RANGES, WHOLE), max_iter=max_iter)
 
 
 class Parzen:
@@ -351,14 +359,20 @@ def propose(finished: Sequence[tuple[Trial, float]], seed: int, max_iter: int =
     parameter.  Candidates are drawn from the good ones' densities; the one whose
     ratio of densities is the largest is proposed.
     """
-    source = random.Random(seed)
     ranked = [to_unit(t) for t, _ in sorted(finished, key=lambda x: -x[1])]
+    best, ratio = propose_places(ranked, len(RANGES), seed)
+    return from_unit(best, max_iter), ratio
+
+
+def propose_places(ranked: Sequence[Sequence[float]], size: int, seed: int) -> tuple[list[float], float]:
+    """A proposal from the places of finished trials, best first."""
+    source = random.Random(seed)
     n_good = max(1, math.ceil(GOOD * len(ranked)))
-    good, other = ([Parzen(column) for column in zip(*part)] or [Parzen([]) for _ in RANGES] for part in (ranked[:n_good], ranked[n_good:]))
+    good, other = ([Parzen(column) for column in zip(*part)] or [Parzen([]) for _ in range(size)] for part in (ranked[:n_good], ranked[n_good:]))
     drawn = [[d.draw(source) for d in good] for _ in range(CANDIDATES)]
-    ratio = lambda u: sum(math.log(g.density(x) / o.density(x)) for g, o, x in zip(good, other, u))
-    best = max(drawn, key=ratio)
-    return from_unit(best, max_iter), ratio(best)
+    likelihood = lambda u: sum(math.log(g.density(x) / o.density(x)) for g, o, x in zip(good, other, u))
+    best = max(drawn, key=likelihood)
+    return best, likelihood(best)
 
 
 TRIALS_SCHEMA = ("trial int, auc double, test_auc double, step_size double, max_bins int, max_depth int, min_instances int, "

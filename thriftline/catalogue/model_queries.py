@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv, text
-from ..operators import analytics, contributions as contrib, models, refresh, score_tables
+from ..operators import analytics, contributions as contrib, leafwise, models, refresh, score_tables
 from ..operators.contract import FeatureContract
 from ..plans.workspace import new_path, write_through
 from ..sources import schemas, tables
@@ -215,6 +215,38 @@ def _(spark, d):
     return models.tune(rows, FEATURES, models.random_trials(8, max_iter=TUNING_ROUNDS), proposed=12)[0]
 
 
+@case("leafwise_trials", "J9")
+def _(spark, d):
+    """Four random and four proposed settings of leaf-wise trees; four models share the passes over the rows."""
+    return leafwise.tune(_labelled(spark, d), FEATURES, leafwise.random_settings(4, rounds=8), proposed=4)[0]
+
+
+_UNIT = "1048576.0::DOUBLE"
+
+
+def _gain_sql(g: str, h: str) -> str:
+    """The score of a node with penalties 0.1 and 0.1."""
+    return f"(greatest(abs({g}) / {_UNIT} - 0.1::DOUBLE, 0.0::DOUBLE) * greatest(abs({g}) / {_UNIT} - 0.1::DOUBLE, 0.0::DOUBLE) / ({h} / {_UNIT} + 0.1::DOUBLE))"
+
+
+@case("leafwise_root_splits", "J9", f"""
+WITH weighted AS (SELECT user_id, round((0.5::DOUBLE - y) * w * {_UNIT}) AS g, round(0.25::DOUBLE * w * {_UNIT}) AS h FROM (
+    SELECT user_id, y, CASE WHEN y = 1 THEN (count(*) FILTER (WHERE y = 0) OVER ())::DOUBLE / count(*) FILTER (WHERE y = 1) OVER () ELSE 1.0::DOUBLE END AS w
+    FROM {_DRAWN})),
+long AS (UNPIVOT (SELECT user_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURES)} FROM v_gold_pl) ON {", ".join(FEATURES)} INTO NAME feature VALUE x),
+cuts AS (SELECT DISTINCT feature, unnest(quantile_disc(x, [i / 8.0::DOUBLE for i in range(1, 8)])) AS cut FROM long GROUP BY feature),
+sums AS (SELECT feature, cut, sum(g) FILTER (WHERE x <= cut) AS gl, sum(h) FILTER (WHERE x <= cut) AS hl, count(*) FILTER (WHERE x <= cut) AS nl,
+    sum(g) AS g, sum(h) AS h, count(*) AS n FROM long JOIN weighted USING (user_id) JOIN cuts USING (feature) GROUP BY feature, cut),
+gains AS (SELECT feature, cut, nl, CASE WHEN least(nl, n - nl) >= 15 AND least(hl, h - hl) >= 0.001::DOUBLE * {_UNIT}
+    THEN greatest({_gain_sql("gl", "hl")} + {_gain_sql("(g - gl)", "(h - hl)")} - {_gain_sql("g", "h")}, 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS gain FROM sums)
+SELECT feature, max(gain) AS gain, count(*) FILTER (WHERE gain > 0) > 0 AS splits FROM gains GROUP BY feature
+UNION ALL SELECT f, 0.0::DOUBLE, FALSE FROM (SELECT unnest({FEATURES!r}) AS f) WHERE f NOT IN (SELECT feature FROM gains)""", gain=5)
+def _(spark, d):
+    """The best first split of every feature over its seven octiles."""
+    found = leafwise.root_splits(_labelled(spark, d), FEATURES, max_bins=8)
+    return found.select("feature", "gain", (F.col("gain") > 0).alias("splits"))
+
+
 def _auc_sql(score: str) -> str:
     """Area under the ROC curve by rank sums, ties at mid-rank."""
     return f"""(SELECT (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::DOUBLE)

@@ -1,4 +1,6 @@
 import html
+import math
+import random
 import re
 
 import pytest
@@ -28,6 +30,91 @@ def test_pages(page, text):
     assert td.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<body><form action='/'><nav>{MENU}</nav><article><h1>Title</h1><p>{LONG}</p></article></form></body>", f"Title {LONG}".strip()),
+    (f"<body><form><h2>Title</h2><div><p>{LONG}</p><p>{LONG}</p></div></form></body>", f"Title {LONG}{LONG}".strip()),
+    (f"<body style='display:none'><article><p>{LONG}</p></article></body>", LONG.strip()),
+    (f"<body><nav>{MENU}<article><h1>Title</h1><p>{LONG}</p></article>", f"Title {LONG}".strip()),
+    (f"<main><article><p>{LONG}</p></article><article><p>{LONG}{LONG}</p></article></main>", (LONG * 3).strip()),
+    (f"<main><article><p>{LONG}{LONG}</p></article><article><h3><a href=/>Next</a></h3><a href=/><img></a><p><a href=/>More</a></p></article></main>",
+     f"{LONG}{LONG}".strip()),
+    (f"<article><p>{LONG}</p></article><div class=related><article><p>{LONG}{LONG}{LONG}</p></article></div>", LONG.strip()),
+    (f"<article><header><h1>Title</h1></header><p>{LONG}</p><header>Share this</header><form>{LONG}</form></article>", f"Title {LONG}".strip()),
+    (f"<header><h1>Site</h1></header><article><p>{LONG}</p></article>", LONG.strip()),
+    (f"<header><h1>Site</h1></header><form>{LONG}</form><div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}{LONG}".strip()),
+    (f"<article><p>{LONG}</p></article><aside><article>{LONG}{LONG}</article></aside><footer><article>{LONG}{LONG}</article></footer>", LONG.strip()),
+])
+def test_wrapped_and_neighbouring_articles(page, text):
+    assert td.main_text(page) == text
+
+
+def grown(source, depth=0):
+    """A random tree: (name, children), children being trees and texts."""
+    name = "body" if depth == 0 else source.choice(["div", "p", "section", "a", "b"] if depth < 4 else ["a", "b"])
+    if name in ("p", "a", "b"):
+        return name, ["".join(source.choice("abcdef") for _ in range(source.randint(1, 60)))]
+    children = [grown(source, depth + 1) for _ in range(source.randint(1, 4))]
+    return name, [*children, *["own" * source.randint(1, 3)] * source.randint(0, 1)]
+
+
+def counted(node):
+    """Characters, tags, characters in links and links below a node, gathered anew for every node."""
+    inside, todo = [], [(c, node[0] == "a") for c in node[1]]
+    while todo:
+        c, link = todo.pop()
+        inside.append((c, link))
+        if not isinstance(c, str):
+            todo += [(x, link or c[0] == "a") for x in c[1]]
+    texts = [(len(c), link) for c, link in inside if isinstance(c, str)]
+    return (sum(n for n, _ in texts), sum(not isinstance(c, str) for c, _ in inside), sum(n for n, link in texts if link),
+            sum(not isinstance(c, str) and c[0] == "a" for c, _ in inside))
+
+
+def written_density(node, body):
+    c, t, lc, lt = counted(node)
+    bc, _, blc, _ = counted(body)
+    if c == 0:
+        return 0.0
+    scale = 1.0
+    if lc:
+        scale = math.log(c / lc * max(t, 1) / max(lt, 1)) / math.log(c / max(c - lc, 1) * lc + blc / bc * c + math.e)
+    return c / max(t, 1) * min(1.0, max(0.0, scale))
+
+
+def test_densities_sums_and_threshold_against_a_slow_version():
+    """Every node's density, the largest sum, the path's threshold and what reaches it, from the tree that made the page."""
+    source = random.Random(5)
+    decided = 0
+    for _ in range(300):
+        body = grown(source)
+        html_of = lambda n: n if isinstance(n, str) else f"<{n[0]}>" + "".join(map(html_of, n[1])) + f"</{n[0]}>"
+        every, parent, todo = [], {}, [body]
+        while todo:  # page order
+            n = todo.pop()
+            every.append(n)
+            for c in reversed([c for c in n[1] if not isinstance(c, str)]):
+                parent[id(c)] = n
+                todo.append(c)
+        tags = lambda n: [c for c in n[1] if not isinstance(c, str)]
+        value = {id(n): sum(written_density(c, body) for c in tags(n)) + sum(len(c) for c in n[1] if isinstance(c, str)) for n in every}
+        best = max(every, key=lambda n: value[id(n)])
+        path = [best]
+        while id(path[-1]) in parent:
+            path.append(parent[id(path[-1])])
+        least = min(written_density(n, body) for n in path) / 2
+        kept = {id(best)} | {id(c) for below, above in zip(path, path[1:]) for c in tags(above) if c is not below and written_density(c, body) >= least}
+        decided += len(kept) > 1
+
+        def shown(n, whole):
+            if isinstance(n, str):
+                return n if whole else " "
+            own = "".join(shown(c, whole or id(n) in kept) for c in n[1])
+            return f" {own} " if n[0] not in ("a", "b") else own
+
+        assert td.main_text(html_of(body)) == " ".join(shown(body, False).split())
+    assert decided > 50
+
+
 def test_deep_and_long_pages():
     assert td.main_text("<div>" * 20_000 + "deep") == "deep"
     words = "word " * 400_000

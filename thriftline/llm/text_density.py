@@ -41,6 +41,8 @@ DROPPED_WORDS = frozenset(
     "sponsor sponsored subscribe subscription toolbar widget".split())
 #: What a container that is dropped for its class or id alone doesn't hold.
 CONTENT = frozenset(("article", "main", "h1"))
+#: Dropped elements that some pages put, or by a missing end tag leave, around their content.
+WRAPPERS = frozenset(("form", "header", "nav"))
 #: Elements that are dropped for their class or id.
 CONTAINERS = frozenset("div section ul ol dl p span table figure details fieldset center li a".split())
 
@@ -52,6 +54,7 @@ class Node:
     first: int
     dropped: bool
     doubtful: bool = False
+    wrapper: bool = False
     last: int = 0
     chars: int = 0
     tags: int = 0
@@ -61,10 +64,13 @@ class Node:
 
 
 def _unwanted(name: str, attributes: str) -> bool:
-    """Whether an element with its content is left out, by its name or by what its attributes say."""
+    """Whether an element with its content is left out, by its name or by what its attributes say.
+
+    A hidden body is one that a script shows.
+    """
     if name in DROPPED:
-        return True
-    if not attributes or attributes.isspace():
+        return name not in WRAPPERS
+    if name == "body" or not attributes or attributes.isspace():
         return False
     found = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
@@ -120,25 +126,43 @@ class Tree:
     def _settle(self) -> None:
         """Drop the doubtful containers that don't hold the page's content, then count what is left.
 
-        One outside articles stays if it holds an article, main or h1, or, on a
-        page without articles, more than half of the characters; its density decides.
+        A form, header or nav outside articles stays if it holds an article or main and no article
+        stands outside all doubtful containers; one named by class or id if it
+        holds an article, main or h1, or, on a page without articles, more than half of
+        the characters, and no article stands outside those named so.  Density
+        decides on what stays.  An article's own header stays if it holds an h1.
         """
         nodes = self.nodes
-        if any(node.doubtful for node in nodes):
+        if any(node.doubtful or node.wrapper for node in nodes):
             chars = [0 if node.dropped else node.chars for node in nodes]
-            holds, inside = [False] * len(nodes), [False] * len(nodes)
+            holds = [0] * len(nodes)  # 1: an h1, 2: an article or main
+            inside, doubted, wrapped = ([False] * len(nodes) for _ in range(3))
             for i in range(len(nodes) - 1, 0, -1):
                 if not nodes[i].dropped:
                     chars[nodes[i].parent] += chars[i]
-                    holds[nodes[i].parent] |= holds[i] or nodes[i].name in CONTENT
-            articles = any(node.name == "article" and not node.dropped for node in nodes)
+                    holds[nodes[i].parent] |= holds[i] | (0 if nodes[i].name not in CONTENT else 1 if nodes[i].name == "h1" else 2)
+            for i in range(1, len(nodes)):
+                up = nodes[i].parent
+                inside[i] = inside[up] or nodes[up].name == "article"
+                doubted[i] = doubted[up] or nodes[i].doubtful
+                wrapped[i] = wrapped[up] or nodes[i].wrapper
+            articles = [i for i, node in enumerate(nodes) if node.name == "article" and not node.dropped]
+            named_apart = any(not doubted[i] for i in articles)
+            apart = any(not doubted[i] and not wrapped[i] for i in articles)
             for i in range(1, len(nodes)):
                 node, up = nodes[i], nodes[nodes[i].parent]
-                inside[i] = inside[node.parent] or up.name == "article"
-                content = not inside[i] and (holds[i] or not articles and 2 * chars[i] > chars[0])
+                most = not articles and 2 * chars[i] > chars[0]
+                if node.wrapper and inside[i]:
+                    content = node.name == "header" and up.name == "article" and bool(holds[i] & 1)
+                elif node.wrapper:
+                    content = not apart and (bool(holds[i] & 2) or node.name == "form" and most)
+                else:
+                    content = True
+                if node.doubtful:
+                    content &= not inside[i] and not named_apart and (bool(holds[i]) or most)
                 if up.dropped or node.dropped:
                     node.dropped = True
-                elif node.doubtful and not content:
+                elif not content:
                     node.dropped = True
                     self.texts[node.first:node.last] = [""] * (node.last - node.first)
             for node in nodes:
@@ -174,7 +198,7 @@ class Tree:
             self._end(kind, implied=True, scope=SCOPE - {"table"} if name in ("td", "th", "tr", "tbody") else SCOPE)
         parent = self.open[-1]
         dropped = self.nodes[parent].dropped or _unwanted(name, attributes)
-        node = Node(name, parent, len(self.texts), dropped, not dropped and _doubtful(name, attributes))
+        node = Node(name, parent, len(self.texts), dropped, not dropped and _doubtful(name, attributes), not dropped and name in WRAPPERS)
         self.nodes.append(node)
         self.open.append(len(self.nodes) - 1)
         if not dropped:
@@ -206,7 +230,9 @@ class Tree:
             self.texts.append(" ")
 
     def text(self, ranges: list[tuple[int, int]]) -> str:
-        return " ".join(" ".join("".join(self.texts[a:b]) for a, b in ranges).split())
+        """The texts of ascending ranges; a space stands where one begins beyond the end of the one before."""
+        parts = [(" " if i and a > ranges[i - 1][1] else "") + "".join(self.texts[a:b]) for i, (a, b) in enumerate(ranges)]
+        return " ".join("".join(parts).split())
 
 
 def density(node: Node, body: Node) -> float:
@@ -233,8 +259,9 @@ def main_text(page: str) -> str:
 
     The least density on the path from that node up to the body gives the
     threshold, a half of it.  If the node stands in an article element, that element is the
-    content.  Otherwise the path's other children belong to it too where they
-    reach the threshold, and headings that directly precede such a child.
+    content, with the articles beside it that reach the threshold.  Otherwise the path's other children belong to it too where they
+    reach the threshold, and headings that directly precede such a child; articles directly in
+    the node that don't reach it are left out if one beside them does.
     """
     tree = Tree(page)
     nodes = tree.nodes
@@ -251,10 +278,16 @@ def main_text(page: str) -> str:
     path = [best]
     while path[-1] != root and nodes[path[-1]].parent >= 0:
         path.append(nodes[path[-1]].parent)
+    threshold = min(densities[i] for i in path) / 2
     for i in path:
         if nodes[i].name == "article":
-            return tree.text([(nodes[i].first, nodes[i].last)])
-    threshold = min(densities[i] for i in path) / 2
+            beside = [] if i == root else [c for c in nodes[nodes[i].parent].children if nodes[c].name == "article"]
+            return tree.text([(nodes[c].first, nodes[c].last) for c in beside or [i] if c == i or densities[c] >= threshold])
+    articles = [c for c in nodes[best].children if nodes[c].name == "article"]
+    if any(densities[c] >= threshold for c in articles):
+        for c in articles:
+            if densities[c] < threshold:
+                tree.texts[nodes[c].first:nodes[c].last] = [""] * (nodes[c].last - nodes[c].first)
     kept = [(nodes[best].first, nodes[best].last)]
     for below, above in zip(path, path[1:]):
         heading = None
@@ -277,7 +310,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     scripts, styles and reader comments, by element, role, class or id.  A class
     or id counts only as a whole token of listed words, and not on a container
     outside articles that holds an article, main or h1, or most characters of a
-    page without articles.  Of the remaining tree the subtree with the largest sum of composite densities is
+    page without articles, unless an article stands elsewhere; a form, header or
+    nav around the only articles stays as well.  Of the remaining tree the subtree with the largest sum of composite densities is
     taken.  Character references are decoded; white space becomes one space.
 
     Null or empty html, and pages without text, give an empty text.  Pages that

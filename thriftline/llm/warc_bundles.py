@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.workspace import new_path, write_through
 from .frames import named, pieces
+from .hot_keys import attach
 
 # Fixed values of the seekable format and of the WARC standard.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -24,6 +25,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 #: Bytes of records in a frame, and compressed bytes after which a task begins another archive.
 FRAME_BYTES, ARCHIVE_BYTES = 1 << 20, 1 << 28
+#: Neighbouring frames that one task reads, so some 64 MiB of records.
+RUN_FRAMES = 64
 INDEX = "record_id string, archive string, frame int, offset long, length long"
 
 
@@ -136,7 +139,7 @@ def revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int) -> Da
         named(id_col).cast("long").alias("page"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("n"))
     seen = write_through(seen.filter(F.col("n") >= min_bytes).select("page", "sha"), "payload_digests")
     first = seen.groupBy("sha").agg(F.max("page").alias("response"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = seen.join(first.select("sha", "response"), "sha")
+    found = attach(seen, first, ["sha"], "n", seen.count(), how="inner")  # one payload, such as none, may be that of many pages
     return found.filter(~F.col("page").eqNullSafe(F.col("response"))).select("page", "sha", "response").distinct()
 
 
@@ -223,7 +226,10 @@ def read_bundles(index: DataFrame, folder: str, with_payload: bool = False) -> D
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     rows = index.select("record_id", "archive", "frame", "offset", "length")
-    rows = rows.repartition("archive").sortWithinPartitions("archive", "frame", "offset")
+    # A task reads whole runs of frames.  A given number of tasks isn't merged by the small size of the index.
+    run = F.floor(F.col("frame") / RUN_FRAMES)
+    runs = rows.agg(F.count_distinct("archive", run)).first()[0]
+    rows = rows.repartition(max(1, runs), "archive", run).sortWithinPartitions("archive", "frame", "offset")
     return rows.mapInArrow(read, schema + ", payload binary" * with_payload)
 
 

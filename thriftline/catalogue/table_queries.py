@@ -9,7 +9,7 @@ from ..functions import fixed_values as fv
 from ..operators import clean, quality, refresh
 from ..plans.workspace import new_path, write_through
 from ..sources import buckets, files, schemas, statements as st, tables, zorder
-from ..streaming import evolving, ingest
+from ..streaming import evolving, feature_state, ingest
 from . import inputs, layers, oracle
 from .registry import case
 
@@ -461,3 +461,15 @@ oracle.view("v_stream_gold", f"SELECT * EXCLUDE (cv0, income_cv, income_cv_fille
 @case("stream_gold", "S3 D8", "SELECT * FROM v_stream_gold", **oracle.DLT_DOUBLES)
 def _(spark, d):
     return ingest.gold_from_silver(_streamed_silver(spark, d))
+
+
+@case("stream_feature_state", "D8 S3 J12", "SELECT * FROM v_stream_gold", **oracle.DLT_DOUBLES)
+def _(spark, d):
+    """The same table from state: three micro-batches of files by category, so that most users' months come in parts."""
+    silver, at = _streamed_silver(spark, d), new_path(spark, "feature_state")
+    silver.write.partitionBy("category").parquet(f"{at}/silver")
+    files_per_batch = -(-len(spark.read.parquet(f"{at}/silver").inputFiles()) // 3)
+    stream = spark.readStream.schema(silver.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{at}/silver")
+    query = feature_state.feature_stream(stream, at, f"{at}/checkpoint", buckets=8)
+    query.awaitTermination()
+    return feature_state.read_features(spark, at, ingest.gold_from_silver(silver).schema)

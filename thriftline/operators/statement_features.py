@@ -389,23 +389,46 @@ def statement_features_dlt(txns: DataFrame) -> DataFrame:
     Income statistics are over single salary credits.  Their variance is merged
     from the monthly count, mean and squared deviations.
     """
+    return users_dlt(months_dlt(txns))
+
+
+_SPECS_DLT = {**_PAYMENT_DLT, **_DIGITAL_DLT, **_INCOME_DLT}
+_WORDS_DLT = {"atm_withdrawal_count": ("count", "atm"), "total_cash_withdrawn": ("withdrawal", "atm"),
+              "business_credit_count": ("count", "business"), "total_business_income": ("deposit", "business")}
+
+
+def months_dlt(txns: DataFrame, *more: Column) -> DataFrame:
+    """First step: the measures of every user and month, and ``more`` aggregates."""
     lower = F.lower("particulars")
     salary = F.when(_in(("Salary_Income",)), F.col("clean_deposit"))
     brands = ["", *fv.MERCHANT_BRANDS_DLT]
-    specs = {**_PAYMENT_DLT, **_DIGITAL_DLT, **_INCOME_DLT}
-    words = {"atm_withdrawal_count": ("count", "atm"), "total_cash_withdrawn": ("withdrawal", "atm"),
-             "business_credit_count": ("count", "business"), "total_business_income": ("deposit", "business")}
-    monthly = _by_month(
+    return _by_month(
         txns, *_activity(rules.category_names(fv.CATEGORY_RULES_DLT)),
         F.bit_or(rules.membership_bit(F.col("merchant"), brands)).alias("_merchants"),
-        *_by_category(specs),
-        *[c for name, (measure, word) in words.items() for c in _monthly(name, measure, lower.contains(word))],
+        *_by_category(_SPECS_DLT),
+        *[c for name, (measure, word) in _WORDS_DLT.items() for c in _monthly(name, measure, lower.contains(word))],
         F.count(salary).alias("_k"), F.avg(salary).alias("_mean"), F.var_pop(salary).alias("_var"),
-        F.max(salary).alias("_high"), F.min(salary).alias("_low"),
+        F.max(salary).alias("_high"), F.min(salary).alias("_low"), *more,
     )
+
+
+def month_merges_dlt() -> dict[str, str]:
+    """How two rows of ``months_dlt`` for one month become one: sum, max, min or bits per measure, without ``_mean`` and ``_var``."""
+    sums = ["n", "debits", "n_debits", "credits", "n_credits", "credit_rows", *_WORDS_DLT, "_k"]
+    merges = {name: "sum" for name in sums}
+    for name, (measure, _) in _SPECS_DLT.items():
+        merges[name] = "max" if measure == "months" else "sum"
+        if measure == "mean_withdrawal":
+            merges[f"_n_{name}"] = "sum"
+    return {**merges, "_days": "bits", "_categories": "bits", "_merchants": "bits", "first_date": "min", "last_date": "max",
+            "_high": "max", "_low": "min"}
+
+
+def users_dlt(monthly: DataFrame) -> DataFrame:
+    """Second step: the feature table from rows of ``months_dlt`` with ``persona``."""
     users = monthly.groupBy("user_id", "persona").agg(
-        *_activity_totals(), *_totals(specs),
-        *[_total(name, measure) for name, (measure, _) in words.items()],
+        *_activity_totals(), *_totals(_SPECS_DLT),
+        *[_total(name, measure) for name, (measure, _) in _WORDS_DLT.items()],
         F.bit_count(F.bit_or("_merchants")).cast("long").alias("unique_merchants"),
         F.sum("_k").alias("_k"),
         F.sum(F.col("_k") * F.col("_mean")).alias("_sum"),

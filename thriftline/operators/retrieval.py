@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import fixed_values as fv, vectors
-from ..plans.workspace import write_through
+from ..plans.workspace import new_path, write_through
 from .analytics import rank_per_key
 
 # Queries of a block (about; they are dealt by hash), similarities held at once (32 MB)
@@ -150,12 +150,14 @@ def _candidates(queries: DataFrame, chunks: DataFrame, keep: int, state_filter:
         c.schema["chunk_id"], T.StructField("state", T.StringType()),
         T.StructField("similarity", T.DoubleType())])
     blocks = -(-q.count() // query_block)
-    found = q.sparkSession.createDataFrame([], schema)
+    # Every block's hits are written before the next is searched: the plan doesn't grow with the queries.
+    path, searched = new_path(q.sparkSession, "hits"), False
     for number in range(blocks):
         sent = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toPandas()  # one block
         if len(sent):
-            found = found.unionByName(_search_block(sent, c, keep, state_filter, schema))
-    return found
+            _search_block(sent, c, keep, state_filter, schema).write.mode("append").parquet(path)
+            searched = True
+    return q.sparkSession.read.schema(schema).parquet(path) if searched else q.sparkSession.createDataFrame([], schema)
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, state_filter: bool = False,

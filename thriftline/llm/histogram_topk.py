@@ -149,6 +149,8 @@ def histogram_topk(
     candidates, but its query is asked once, with the smallest of its vectors.
     With fewer than ``k`` candidates all are returned; without queries or
     candidates the result is empty.  Other columns are ignored.
+    Scores of 2^61 or more in absolute value might not fit in 64 bits: where a sum of absolute products could
+    reach that, a ValueError says so.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)

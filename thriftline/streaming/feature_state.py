@@ -62,8 +62,9 @@ def update_features(txns: DataFrame, path: str, batch_id: int, buckets: int = 64
     Only buckets with users of the batch are read and written.  Each user's row
     holds the last batch in it, and both are written together: a batch that is
     given again, whole or after a failure half way, counts once.  Batches come
-    one after another, as a stream's do, with growing numbers; a second writer
-    raises ConcurrentWrite.  Rows of old months, of new users, without a date or
+    one after another, as a stream's do, with growing numbers.  There must be one
+    writer: of two that claim the same version the second raises ConcurrentWrite,
+    but one that reads the state before and writes after the other is not noticed.  Rows of old months, of new users, without a date or
     without a user are merged like any other; an empty batch changes nothing.
     """
     spark = txns.sparkSession

@@ -52,6 +52,14 @@ def test_few_candidates_ties_and_none(spark):
     assert run(spark, [(i, [0.0, 0.0]) for i in range(30)], k=3) == [(0, 1, 1, 0), (0, 2, 2, 0), (0, 3, 3, 0)]
 
 
+def test_short_and_long_queries_in_one_block(spark):
+    """A query of small components is settled in fewer rounds than its neighbour and stays so."""
+    rng = np.random.default_rng(1)
+    rows = [(0, [0.001] * 4), (100, [900.0] * 4), *[(i, (rng.integers(-6, 6, 4) / 1024).tolist()) for i in range(1, 90)]]
+    for k in (1, 3, 10):
+        assert run(spark, rows, k=k) == brute(rows, k)
+
+
 def test_large_numbers_stay_exact(spark):
     rows = [(0, [1e6, 1.0]), (1, [1e6, 1.0]), (2, [1e6, 1.0 + 2 ** -10]), (3, [-1e6, 1.0])]
     assert run(spark, rows, k=2) == brute(rows, 2)

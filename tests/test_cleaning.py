@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from thriftline.functions import fixed_values as fv, rules, text
 from thriftline.operators import clean, statement_features as sf
+from thriftline.plans import joins
+from thriftline.plans.workspace import write_through
 
 STATEMENT = "user_id string, date string, particulars string, chq_num string, withdrawal string, deposit string, balance string"
 
@@ -188,3 +190,31 @@ def test_language_codes(spark):
     code = text.language_code(F.col("l"))
     assert [tuple(r) for r in df.select(code, text.language_name(code)).collect()] == [
         ("hi", "Hindi"), ("ta", "Tamil"), ("hi", "Hindi"), ("hi", "Hindi")]
+
+
+def test_silver_shuffles_the_rows_once_and_keeps_hot_users_apart(spark):
+    """Hot users, rows without a user and duplicates: what the two-shuffle plan gives, in parts that follow the rows."""
+    rows = [("hot", dt.date(2024, 1, 1 + i % 28), "Education", float(i), None) for i in range(400)]
+    rows += [(f"u{i}", dt.date(2024, 1, 1), "Other", 1.0, None) for i in range(50) for _ in range(2)] + 2 * [(None, dt.date(2024, 1, 1), "Other", 1.0, None)]
+    txns = silver(spark, rows).drop("persona")
+    personas = txns.groupBy("user_id").count().select(
+        "user_id", F.concat(F.lit("P-"), "user_id").alias("persona"), F.col("count").alias("total_transactions"))
+    plain = clean.dedupe_statements(sf.attach_persona(txns, personas))
+    for hot in (100, 1000):
+        got = sf.clustered_silver(txns, personas, hot_rows=hot)
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    known, named = (write_through(df.filter("user_id IS NOT NULL"), "known") for df in (txns, personas))
+    one = joins.attach_clustered(known, named, "user_id", "persona", "total_transactions",
+                                 clean.dedupe_statements, task_rows=50)
+    assert one.rdd.getNumPartitions() == 10  # 500 rows, 50 a task
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning" in line and "date#" in line for line in plan.splitlines())  # not shuffled to remove duplicates
+
+
+def test_only_narrow_rows_are_kept_per_month(spark):
+    """Measures that need no month are summed per user at once."""
+    txns = silver(spark, [("u", dt.date(2024, m, 1), "Education", 1.0, None) for m in (1, 2)])
+    for table in (sf.statement_features(txns), sf.statement_features_dlt(txns), sf.digital_features(txns)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        monthly = [line for line in plan.splitlines() if "HashAggregate(keys=" in line and "month#" in line.split("functions=")[0]]
+        assert monthly and all("merge_" in line or line.count("partial_") <= 6 for line in monthly)

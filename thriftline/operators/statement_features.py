@@ -1,20 +1,22 @@
 """User-level features from categorised statements.
 
-Both variants aggregate in two steps, first per user and month and then per
-user.  That gives the monthly income series for free and replaces every
-``COUNT(DISTINCT)`` over dates, months, categories and (dlt) merchants by sums
-and bit masks: days of a month and category names are bounded sets, so a
-``bit_or`` mask per group counts them exactly without multiplying rows.  Only
-batch merchants are unbounded; they are counted in a two-column side branch.
-All first-step measures combine on the map side, so a user who holds a large
-share of the rows is reduced to a few rows per task before any shuffle.
+Both variants aggregate few measures in two steps, first per user and month
+and then per user, and all others per user: users have few rows a month, so
+wide rows per month would be more data than the statements.  The two steps give
+the monthly income series and replace every ``COUNT(DISTINCT)`` over dates,
+months, categories and (dlt) merchants by sums and bit masks: days of a month
+and category names are bounded sets, so a ``bit_or`` mask per group counts them
+exactly without multiplying rows.  Only batch merchants are unbounded; they are
+counted in a two-column side branch.  All first-step measures combine on the
+map side, so a user who holds a large share of the rows is reduced to a few
+rows per task before any shuffle.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv, rules
-from ..plans.joins import HOT_ROWS, attach_by_key
+from ..plans.joins import HOT_ROWS, attach_by_key, attach_clustered
 from .clean import dedupe_statements, enrich, fill_numeric_nulls, month_bucket
 
 # --- fixed values: feature name -> (measure, categories) ----------------------
@@ -135,6 +137,11 @@ def _total(name: str, measure: str) -> Column:
     return F.sum(name).cast("long" if measure in ("count", "months") else "double").alias(name)
 
 
+def _monthwise(specs: dict, monthly: bool = True) -> dict:
+    """The features that count months, or all others."""
+    return {name: spec for name, spec in specs.items() if (spec[0] == "months") == monthly}
+
+
 def _by_category(specs: dict) -> list[Column]:
     return [c for name, (measure, cats) in specs.items() for c in _monthly(name, measure, _in(cats))]
 
@@ -143,18 +150,26 @@ def _totals(specs: dict) -> list[Column]:
     return [_total(name, measure) for name, (measure, _) in specs.items()]
 
 
+def _days() -> Column:
+    """First-step mask of the days of a month."""
+    day_bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.dayofmonth("date"))
+    return F.coalesce(F.bit_or(day_bit), F.lit(0).cast("long")).alias("_days")
+
+
+def _credits() -> list[Column]:
+    credit = F.when(F.col("transaction_type") == "Credit", F.col("clean_deposit"))
+    return [F.sum(credit).alias("credits"), F.count(credit).alias("n_credits"),
+            F.count_if(F.col("transaction_type") == "Credit").alias("credit_rows")]
+
+
 def _activity(categories: list[str]) -> list[Column]:
     """First-step activity measures shared by both variants."""
     debit = F.when(F.col("transaction_type") == "Debit", F.col("clean_withdrawal"))
-    credit = F.when(F.col("transaction_type") == "Credit", F.col("clean_deposit"))
-    day_bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.dayofmonth("date"))
     return [
         F.count("*").alias("n"),
-        F.coalesce(F.bit_or(day_bit), F.lit(0).cast("long")).alias("_days"),
         F.bit_or(rules.membership_bit(F.col("category"), categories)).alias("_categories"),
         F.sum(debit).alias("debits"), F.count(debit).alias("n_debits"),
-        F.sum(credit).alias("credits"), F.count(credit).alias("n_credits"),
-        F.count_if(F.col("transaction_type") == "Credit").alias("credit_rows"),
+        *_credits(),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
     ]
 
@@ -169,14 +184,17 @@ def _by_month(txns: DataFrame, *measures: Column) -> DataFrame:
     return month_bucket(txns).groupBy("user_id", *carried, "month").agg(*measures)
 
 
+def _month_totals() -> list[Column]:
+    """Second-step activity that only rows per month tell."""
+    return [F.sum(F.bit_count("_days")).cast("long").alias("active_days"), F.count("month").alias("active_months")]
+
+
 def _activity_totals() -> list[Column]:
     def ratio(total: str, count: str) -> Column:
         return F.sum(total) / F.nullif(F.sum(count), F.lit(0))
 
     return [
         F.sum("n").alias("total_transactions"),
-        F.sum(F.bit_count("_days")).cast("long").alias("active_days"),
-        F.count("month").alias("active_months"),
         F.bit_count(F.bit_or("_categories")).cast("long").alias("unique_categories"),
         ratio("debits", "n_debits").alias("avg_debit_txn_size"),
         ratio("credits", "n_credits").alias("avg_credit_txn_size"),
@@ -187,6 +205,13 @@ def _activity_totals() -> list[Column]:
     ]
 
 
+def _match(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Left join on keys that may be NULL."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(right, same, "left").drop(*[f"_right_{k}" for k in keys])
+
+
 def _share(part: str, whole: str) -> Column:
     """part / whole, 0 where the whole is not positive."""
     return F.when(F.col(whole) > 0, F.try_divide(F.col(part), F.col(whole))).otherwise(0.0)
@@ -238,6 +263,12 @@ def attach_persona(txns: DataFrame, personas: DataFrame, hot_rows: int = HOT_ROW
     return attach_by_key(txns, personas, "user_id", "persona", "total_transactions", hot_rows)
 
 
+def clustered_silver(rows: DataFrame, personas: DataFrame, variant: str = "batch", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Silver from written enriched rows and personas: duplicates are removed where the persona was attached."""
+    then = dedupe_statements if variant == "batch" else (lambda df: df)
+    return attach_clustered(rows, personas, "user_id", "persona", "total_transactions", then, hot_rows)
+
+
 def silver_transactions(statements: DataFrame, variant: str = "batch") -> DataFrame:
     """Raw statements -> enriched rows with persona.
 
@@ -295,14 +326,6 @@ def merchant_counts(txns: DataFrame, *keys: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count("merchant").alias("unique_merchants"))
 
 
-def _per_user_month(txns: DataFrame) -> DataFrame:
-    return _by_month(
-        txns, *_activity(rules.category_names()),
-        *_by_category({**_PAYMENT, **_DIGITAL, **_INCOME}),
-        F.count_if(F.col("clean_balance") < fv.LOW_BALANCE_LIMIT).alias("low_balance_days"),
-    )
-
-
 def _ratios(df: DataFrame) -> DataFrame:
     """txn frequency, diversity, savings, adoption, cash dependency."""
     return df.withColumns({
@@ -316,20 +339,22 @@ def _ratios(df: DataFrame) -> DataFrame:
 
 def statement_features(txns: DataFrame) -> DataFrame:
     """The 73-column user table from silver rows (batch variant)."""
+    specs, keys = {**_PAYMENT, **_DIGITAL, **_INCOME}, ("user_id", "persona")
+    # The persona, the same on all rows of a user, is a key in all steps: a string aggregate would mean sorting.
+    users = txns.groupBy(*keys).agg(
+        *_activity(rules.category_names()), *_by_category(_monthwise(specs, False)),
+        F.count_if(F.col("clean_balance") < fv.LOW_BALANCE_LIMIT).alias("low_balance_days"),
+    ).groupBy(*keys).agg(
+        *_activity_totals(), *_totals(_monthwise(specs, False)), F.sum("low_balance_days").alias("low_balance_days"))
     credit_month = F.col("credit_rows") > 0
     income = F.when(credit_month, F.col("credits"))
-    # The persona, the same on all rows of a user, is a key in both steps: a string aggregate would mean sorting.
-    users = _per_user_month(txns).groupBy("user_id", "persona").agg(
-        *_activity_totals(),
-        *_totals({**_PAYMENT, **_DIGITAL, **_INCOME}),
+    months = _by_month(txns, _days(), *_credits(), *_by_category(_monthwise(specs))).groupBy(*keys).agg(
+        *_month_totals(), *_totals(_monthwise(specs)),
         *_income_moments(F.when(credit_month, F.col("month")), income),
         F.count_if(credit_month).alias("months_with_income"),
         F.count(F.when(credit_month, F.col("month"))).alias("distinct_income_months"),
-        F.sum("low_balance_days").alias("low_balance_days"),
     )
-    merchants = merchant_counts(txns, "user_id", "persona").withColumnsRenamed({"user_id": "_user", "persona": "_persona"})
-    same = F.col("user_id").eqNullSafe(F.col("_user")) & F.col("persona").eqNullSafe(F.col("_persona"))
-    users = _ratios(users.join(merchants, same, "left").drop("_user", "_persona"))
+    users = _ratios(_match(_match(users, months, *keys), merchant_counts(txns, *keys), *keys))
     users = users.withColumns({
         "emi_regularity_score": _share("emi_months_active", "emi_payment_count"),
         "insurance_paid_flag": F.when(F.col("insurance_payment_count") > 0, 1).otherwise(0),
@@ -355,9 +380,11 @@ def payment_features(txns: DataFrame) -> DataFrame:
 
 def digital_features(txns: DataFrame) -> DataFrame:
     """The digital-flow block alone (25 columns with the key)."""
-    monthly = _by_month(txns.drop("persona"), *_activity(rules.category_names()), *_by_category(_DIGITAL))
-    users = monthly.groupBy("user_id").agg(*_activity_totals(), *_totals(_DIGITAL))
-    return _ratios(users.join(merchant_counts(txns), "user_id", "left")).select("user_id", *DIGITAL_COLUMNS)
+    users = txns.groupBy("user_id").agg(*_activity(rules.category_names()), *_by_category(_DIGITAL))
+    users = users.groupBy("user_id").agg(*_activity_totals(), *_totals(_DIGITAL))
+    months = _by_month(txns.drop("persona"), _days()).groupBy("user_id").agg(*_month_totals())
+    users = _match(users, months, "user_id").join(merchant_counts(txns), "user_id", "left")
+    return _ratios(users).select("user_id", *DIGITAL_COLUMNS)
 
 
 def income_type_features(txns: DataFrame) -> DataFrame:
@@ -386,10 +413,15 @@ def persona_risk_features(txns: DataFrame) -> DataFrame:
 def statement_features_dlt(txns: DataFrame) -> DataFrame:
     """The 74-column user table of the streaming line, every feature from one pass.
 
-    Income statistics are over single salary credits.  Their variance is merged
-    from the monthly count, mean and squared deviations.
+    Income statistics are over single salary credits.  In ``users_dlt`` their variance
+    is merged from the monthly count, mean and squared deviations.
     """
-    return users_dlt(months_dlt(txns))
+    keys = ("user_id", "persona")
+    months = _by_month(txns, _days(), *_by_category(_monthwise(_SPECS_DLT))).groupBy(*keys).agg(
+        *_month_totals(), *_totals(_monthwise(_SPECS_DLT)))
+    whole = txns.groupBy(*keys).agg(*_measures_dlt(_monthwise(_SPECS_DLT, False)))
+    users = whole.groupBy(*keys).agg(*_totals_dlt(_monthwise(_SPECS_DLT, False)))
+    return _finish_dlt(_match(users, months, *keys))
 
 
 _SPECS_DLT = {**_PAYMENT_DLT, **_DIGITAL_DLT, **_INCOME_DLT}
@@ -399,17 +431,21 @@ _WORDS_DLT = {"atm_withdrawal_count": ("count", "atm"), "total_cash_withdrawn":
 
 def months_dlt(txns: DataFrame, *more: Column) -> DataFrame:
     """First step: the measures of every user and month, and ``more`` aggregates."""
+    return _by_month(txns, _days(), *_measures_dlt(_SPECS_DLT), *more)
+
+
+def _measures_dlt(specs: dict) -> list[Column]:
     lower = F.lower("particulars")
     salary = F.when(_in(("Salary_Income",)), F.col("clean_deposit"))
     brands = ["", *fv.MERCHANT_BRANDS_DLT]
-    return _by_month(
-        txns, *_activity(rules.category_names(fv.CATEGORY_RULES_DLT)),
+    return [
+        *_activity(rules.category_names(fv.CATEGORY_RULES_DLT)),
         F.bit_or(rules.membership_bit(F.col("merchant"), brands)).alias("_merchants"),
-        *_by_category(_SPECS_DLT),
+        *_by_category(specs),
         *[c for name, (measure, word) in _WORDS_DLT.items() for c in _monthly(name, measure, lower.contains(word))],
         F.count(salary).alias("_k"), F.avg(salary).alias("_mean"), F.var_pop(salary).alias("_var"),
-        F.max(salary).alias("_high"), F.min(salary).alias("_low"), *more,
-    )
+        F.max(salary).alias("_high"), F.min(salary).alias("_low"),
+    ]
 
 
 def month_merges_dlt() -> dict[str, str]:
@@ -426,15 +462,22 @@ def month_merges_dlt() -> dict[str, str]:
 
 def users_dlt(monthly: DataFrame) -> DataFrame:
     """Second step: the feature table from rows of ``months_dlt`` with ``persona``."""
-    users = monthly.groupBy("user_id", "persona").agg(
-        *_activity_totals(), *_totals(_SPECS_DLT),
+    return _finish_dlt(monthly.groupBy("user_id", "persona").agg(*_month_totals(), *_totals_dlt(_SPECS_DLT)))
+
+
+def _totals_dlt(specs: dict) -> list[Column]:
+    return [
+        *_activity_totals(), *_totals(specs),
         *[_total(name, measure) for name, (measure, _) in _WORDS_DLT.items()],
         F.bit_count(F.bit_or("_merchants")).cast("long").alias("unique_merchants"),
         F.sum("_k").alias("_k"),
         F.sum(F.col("_k") * F.col("_mean")).alias("_sum"),
         F.sum(F.col("_k") * (F.col("_var") + F.col("_mean") * F.col("_mean"))).alias("_squares"),
         F.max("_high").alias("max_monthly_income"), F.min("_low").alias("min_monthly_income"),
-    )
+    ]
+
+
+def _finish_dlt(users: DataFrame) -> DataFrame:
     mean = F.col("_sum") / F.nullif(F.col("_k"), F.lit(0))
     spread = F.greatest(F.col("_squares") - F.col("_sum") * mean, F.lit(0.0))
     flat = F.col("max_monthly_income") == F.col("min_monthly_income")

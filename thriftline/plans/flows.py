@@ -12,11 +12,11 @@ def silver_from_statements(statements: DataFrame, variant: str = "batch") -> Dat
 
     The enriched rows feed both the per-user signals and the rows themselves.
     Writing them first means text parsing and the rule cascade run once; the
-    signals then scan four of the columns.
+    signals then scan four of the columns.  The rows are shuffled once, by user.
     """
     rows = write_through(clean.enrich(statements, variant), f"enriched_{variant}")
-    with_persona = sf.attach_persona(rows, sf.user_personas(rows, variant))
-    return clean.dedupe_statements(with_persona) if variant == "batch" else with_persona
+    personas = write_through(sf.user_personas(rows, variant).select("user_id", "persona", "total_transactions"), f"personas_{variant}")
+    return sf.clustered_silver(rows, personas, variant)
 
 
 def statement_tables(statements: DataFrame, model=None) -> dict[str, DataFrame]:

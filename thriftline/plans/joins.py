@@ -1,11 +1,16 @@
 """Join strategies that hold up when one key carries a large share of the rows."""
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 100_000
 HOT_ROWS = 2_000_000
 SALTS = 64
+#: Rows that a task of a clustered join takes at most on average, however many there are.
+TASK_ROWS = 250_000
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -60,3 +65,36 @@ def attach_by_key(
         usual, F.col("_shuffle_key") == F.col("_usual_key"), "left")
     chosen = F.when(F.col("_hot"), F.col("_hot_value")).otherwise(F.col(value))
     return joined.withColumn(value, chosen).select(*[c for c in rows.columns if c != value], value)
+
+
+def attach_clustered(
+    rows: DataFrame, keyed: DataFrame, key: str, value: str, weight: str, then: Callable[[DataFrame], DataFrame] = lambda df: df,
+    hot_rows: int = HOT_ROWS, most_hot: int = BROADCAST_ROWS, task_rows: int = TASK_ROWS,
+) -> DataFrame:
+    """``attach_by_key`` for written tables, followed by ``then``, which works inside the groups of ``key``.
+
+    The rows are shuffled once, by ``key``, into a number of parts that follows
+    theirs: neither the join nor a grouping by ``key`` and other columns in
+    ``then`` shuffles or sorts them again.  Rows of hot keys and rows without a
+    key stay out of this shuffle; ``then`` gets them apart and is planned there
+    like any other query.
+    """
+    spark = rows.sparkSession
+    keyed = keyed.select(key, value, weight)
+    heavy = F.col(weight) >= hot_rows
+    total, apart = keyed.agg(F.sum(weight), F.sum(F.when(heavy | F.col(key).isNull(), F.col(weight)))).first()
+    hot = keyed.filter(heavy).orderBy(F.desc(weight), key).limit(most_hot).select(
+        F.col(key).alias("_key"), F.col(value).alias("_hot_value"), F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key") if apart else None
+    columns = [*[c for c in rows.columns if c != value], value]
+
+    usual = marked.filter(F.col("_hot").isNull() & F.col(key).isNotNull()) if apart else rows
+    parts = math.ceil((total or 0) / task_rows)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        usual = usual.repartition(parts, key)
+    own = keyed.filter(F.col(key).isNotNull()).select(key, value).hint("shuffle_hash")
+    result = then(usual.join(own, key, "left").select(*columns))
+    if apart:
+        other = marked.filter(F.col("_hot") | F.col(key).isNull()).withColumn(value, F.col("_hot_value"))
+        result = result.unionByName(then(other.select(*columns)))
+    return result

@@ -72,6 +72,31 @@ def test_classifier_contributions_are_log_odds(rows):
     assert gap < 1e-6
 
 
+def test_cases_of_a_leaf_equal_its_evaluation_by_row(monkeypatch):
+    """A wider table of leaves than one block, a value on every bound, and NaN."""
+    rng = np.random.default_rng(5)
+    groups = []
+    for d in (1, 3, 6):
+        features = np.array([rng.choice(8, d, replace=False) for _ in range(contrib.LEAVES + 7)])
+        low = np.where(rng.random(features.shape) < 0.5, -np.inf, rng.integers(-2, 2, features.shape))
+        high = np.where(np.isinf(low), rng.integers(-2, 2, features.shape), low + 2.0)
+        groups.append(contrib.LeafGroup(features, low, high, rng.uniform(0.1, 0.9, features.shape), rng.normal(size=len(features))))
+    x = rng.integers(-3, 4, (contrib.ROWS + 3, 8)).astype(float)
+    x[5, 2] = np.nan
+    found = contrib.row_contributions(groups, x)
+    assert groups[2].cases.shape == (6, (contrib.LEAVES + 7) * 64)
+    monkeypatch.setattr(contrib, "CASES", 0)
+    assert np.allclose(found, contrib.row_contributions(groups, x), atol=1e-9)
+
+
+def test_rows_to_explain_are_spread(spark, rows):
+    """One part of a few kilobytes is hours of work for a large model."""
+    model = models.train_score_regressor(rows, COLUMNS, "y", maxIter=1, maxDepth=2)
+    one = spark.range(0, 10_000, 1, 1).select(F.col("id").alias("user_id"), F.lit("s").alias("segment"), *[(F.col("id") % 17).alias(c) for c in COLUMNS])
+    moved = contrib.contributions(model, one, COLUMNS)
+    assert moved.rdd.getNumPartitions() >= 3 and moved.count() == 10_000
+
+
 def test_split_is_reproducible_and_stratified(rows):
     parts = models.split(rows, models.TRAIN_VAL_TEST, strata="default_label")
     again = models.split(rows.repartition(7), models.TRAIN_VAL_TEST, strata="default_label")

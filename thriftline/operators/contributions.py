@@ -3,14 +3,18 @@
 For every leaf the exact path-dependent Shapley value follows from which of the
 (few) features on its path a row satisfies.  The weighted sum over all coalitions
 is the integral of a polynomial over 0..1, which a Gauss-Legendre rule with half
-as many points as features gives exactly.  So a task holds two bounds and a share
-per path feature, in size linear in the leaves, and numpy evaluates blocks of
-rows and leaves at once.
+as many points as features gives exactly.  What a leaf gives each feature depends
+only on which of them a row satisfies: for up to six features on a path it is
+worked out once per task for all of these (at most 64) cases, and a row looks it
+up.  Leaves of longer paths are evaluated row by row.  What is sent to a task are
+two bounds and a share per path feature, in size linear in the leaves, and numpy
+evaluates blocks of rows and leaves at once.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -22,6 +26,8 @@ from ..plans.workspace import new_path
 
 #: Rows and leaves that are evaluated at once.
 ROWS, LEAVES = 256, 1024
+#: Path features up to which all cases are worked out before, and rows that a task explains: at least the first, at most the second.
+CASES, FEW_ROWS, TASK_ROWS = 6, 512, 4096
 
 
 @dataclass(frozen=True)
@@ -33,6 +39,18 @@ class LeafGroup:
     kept: np.ndarray      # [leaf, d]  share of the training weight that a split on the feature lets through
     values: np.ndarray    # [leaf]
 
+    @cached_property
+    def cases(self) -> np.ndarray:
+        """[d, leaf * 2^d]: what a leaf gives its feature j if the row satisfies the features whose bits are set."""
+        leaves, d = self.features.shape
+        satisfied = (np.arange(2 ** d)[:, None] >> np.arange(d)) & 1
+        out = np.empty((d, leaves, 2 ** d))
+        for at in range(0, leaves, LEAVES):
+            kept = self.kept[at:at + LEAVES, None, :]
+            given = self.values[at:at + LEAVES, None, None] * (satisfied - kept) * _integrals(kept, satisfied[None])
+            out[:, at:at + LEAVES] = np.moveaxis(given, 2, 0)
+        return out.reshape(d, -1)
+
 
 def model_nodes(spark: SparkSession, model) -> tuple[dict[int, dict[int, dict]], list[float], float]:
     """Nodes per tree, tree weights and the scale to log-odds, from the saved form of the model."""
@@ -85,6 +103,30 @@ def leaf_groups(nodes: dict[int, dict[int, dict]], weights: Sequence[float], sca
     return groups, base
 
 
+def _integrals(kept: np.ndarray, satisfied: np.ndarray) -> np.ndarray:
+    """For every feature (the last axis) the integral over t of the product of z * (1 - t) + o * t over the others."""
+    points, weights = np.polynomial.legendre.leggauss((kept.shape[-1] + 1) // 2)
+    total = 0.0
+    for t, weight in zip((points + 1) / 2, weights / 2):
+        factors = kept * (1 - t) + satisfied * t
+        total = total + weight * np.prod(factors, axis=-1, keepdims=True) / factors
+    return total
+
+
+def _look_up_block(out: np.ndarray, x: np.ndarray, group: LeafGroup, part: slice) -> None:
+    """Add the contributions of some leaves to some rows (columns of ``x`` and ``out``) from the group's cases."""
+    features = group.features[part]
+    leaves, d = features.shape
+    case = np.repeat(np.arange(part.start, part.start + leaves)[:, None] << d, x.shape[1], axis=1)
+    for k in range(d):
+        value = x[features[:, k]]
+        case += ((value > group.low[part, k, None]) & (value <= group.high[part, k, None])).astype(np.int64) << k
+    for k in range(d):
+        owner = np.zeros((out.shape[0], leaves))
+        owner[features[:, k], np.arange(leaves)] = 1.0
+        out += owner @ group.cases[k].take(case)
+
+
 def _add_block(out: np.ndarray, x: np.ndarray, group: LeafGroup, part: slice) -> None:
     """Add the contributions of some leaves to some rows.
 
@@ -110,7 +152,15 @@ def _add_block(out: np.ndarray, x: np.ndarray, group: LeafGroup, part: slice) ->
 
 def row_contributions(groups: list[LeafGroup], x: np.ndarray) -> np.ndarray:
     out = np.zeros(x.shape)
+    columns = np.ascontiguousarray(x.T)
     for group in groups:
+        if group.features.shape[1] <= CASES:
+            for row in range(0, len(x), ROWS):
+                block = np.zeros((x.shape[1], len(x[row:row + ROWS])))
+                for at in range(0, len(group.values), LEAVES):
+                    _look_up_block(block, columns[:, row:row + ROWS], group, slice(at, at + LEAVES))
+                out[row:row + ROWS] += block.T
+            continue
         for at in range(0, len(group.values), LEAVES):
             for row in range(0, len(x), ROWS):
                 _add_block(out[row:row + ROWS], x[row:row + ROWS], group, slice(at, at + LEAVES))
@@ -130,6 +180,10 @@ def contributions(model, df: DataFrame, columns: Sequence[str], keep: Sequence[s
     shared = spark.sparkContext.broadcast(groups)
     names = list(columns)
     inputs = df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    rows = df.count()
+    tasks = max(-(-rows // TASK_ROWS), min(spark.sparkContext.defaultParallelism, -(-rows // FEW_ROWS)))
+    if tasks > inputs.rdd.getNumPartitions():  # a row costs far more than its bytes tell
+        inputs = inputs.repartition(tasks)
     schema = T.StructType([*[inputs.schema[k] for k in keep], *[T.StructField(c, T.DoubleType()) for c in names],
                            T.StructField("base_value", T.DoubleType())])
 

@@ -95,6 +95,13 @@ def test_one_user_with_most_rows_is_spread(spark):
     assert files.agg(F.max("rows")).first()[0] < df.count() / 16 * 2.5
 
 
+def test_zorder_parts_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(zorder, "TASK_ROWS", 100)
+    df = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    files = zorder.zorder_write(df, new_path(spark, "z"), ["k", "v"]).collect()
+    assert 15 <= len(files) <= 20 and sum(r["rows"] for r in files) == 2000 and max(r["rows"] for r in files) < 400
+
+
 def test_zorder_keeps_nulls_and_repeated_rows(spark):
     rows = [("a", 1), ("a", 1), (None, 2), ("b", None), (None, None)]
     df, path = spark.createDataFrame(rows, "k string, v int"), new_path(spark, "z")

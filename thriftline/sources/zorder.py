@@ -5,6 +5,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..plans.joins import TASK_ROWS
+
 #: Each column is cut into 2 ** BITS ranges of about as many distinct values.
 BITS = 6
 
@@ -46,7 +48,9 @@ def zorder(df: DataFrame, columns: list[str], n: int | None = None, bits: int =
 
     Inside a cell of the curve rows go by the columns and a hash of the row, so
     a cell or key of any size is spread over as many files as its rows need.
-    ``df`` is read once per column for the ranges and once for the rows.
+    ``df`` is counted, and read once per column for the ranges and once for the rows.
+    Without ``n`` there are as many parts as Spark shuffles into, or more if they
+    would hold over ``TASK_ROWS`` rows each.
     Columns named ``_range<i>``, ``_z`` and ``_tie`` are used inside.
     """
     hashable = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
@@ -55,6 +59,9 @@ def zorder(df: DataFrame, columns: list[str], n: int | None = None, bits: int =
         name: range_number(F.col(c), range_starts(df, c, bits)) for name, c in zip(names, columns)})
     laid = ranged.withColumns({"_z": interleave([F.col(n) for n in names], bits), "_tie": F.xxhash64(*hashable)})
     order = ["_z", *columns, "_tie"]
+    if n is None:
+        parts = -(-df.count() // TASK_ROWS)
+        n = parts if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
     dealt = laid.repartitionByRange(n, *order) if n else laid.repartitionByRange(*order)
     return dealt.sortWithinPartitions(*order).drop(*names, "_z", "_tie")
 
@@ -70,8 +77,9 @@ def zorder_write(df: DataFrame, path: str, columns: list[str], n: int | None = N
     bounds = [b for i, c in enumerate(columns) for b in (
         F.min(c).alias(f"low{i}"), F.max(c).alias(f"high{i}"), (F.count(c) < F.count("*")).alias(f"has_null{i}"))]
     written = spark.read.schema(df.schema).parquet(f"{path}/data").select("*", F.col("_metadata.file_path").alias("_file"))
-    stats = written.groupBy(F.col("_file").alias("file")).agg(F.count("*").alias("rows"), *bounds)
-    stats.write.mode("overwrite").parquet(f"{path}/manifest")
+    # bounds of strings alone would be aggregated by sorting all rows; beside a set, which the filter reads, they are hashed by file
+    stats = written.groupBy(F.col("_file").alias("file")).agg(F.count("*").alias("rows"), *bounds, F.collect_set(F.lit(0)).alias("_hashed"))
+    stats.filter(F.size("_hashed") == 1).drop("_hashed").write.mode("overwrite").parquet(f"{path}/manifest")
     # which column has which number
     spark.createDataFrame(list(enumerate(columns)), "number int, column string").coalesce(1).write.mode(
         "overwrite").parquet(f"{path}/columns")

@@ -1,7 +1,7 @@
 """User-level features from categorised statements.
 
-Both variants aggregate few measures in two steps, first per user and month
-and then per user, and all others per user: users have few rows a month, so
+The batch variant aggregates few measures in two steps, first per user and month
+and then per user, and all others per user (dlt: all in two steps): users have few rows a month, so
 wide rows per month would be more data than the statements.  The two steps give
 the monthly income series and replace every ``COUNT(DISTINCT)`` over dates,
 months, categories and (dlt) merchants by sums and bit masks: days of a month
@@ -413,15 +413,10 @@ def persona_risk_features(txns: DataFrame) -> DataFrame:
 def statement_features_dlt(txns: DataFrame) -> DataFrame:
     """The 74-column user table of the streaming line, every feature from one pass.
 
-    Income statistics are over single salary credits.  In ``users_dlt`` their variance
-    is merged from the monthly count, mean and squared deviations.
+    Income statistics are over single salary credits.  Their variance is merged
+    from the monthly count, mean and squared deviations.
     """
-    keys = ("user_id", "persona")
-    months = _by_month(txns, _days(), *_by_category(_monthwise(_SPECS_DLT))).groupBy(*keys).agg(
-        *_month_totals(), *_totals(_monthwise(_SPECS_DLT)))
-    whole = txns.groupBy(*keys).agg(*_measures_dlt(_monthwise(_SPECS_DLT, False)))
-    users = whole.groupBy(*keys).agg(*_totals_dlt(_monthwise(_SPECS_DLT, False)))
-    return _finish_dlt(_match(users, months, *keys))
+    return users_dlt(months_dlt(txns))
 
 
 _SPECS_DLT = {**_PAYMENT_DLT, **_DIGITAL_DLT, **_INCOME_DLT}

@@ -251,3 +251,35 @@ def test_tuning_proposes_after_the_first_trials(spark, rows):
     assert sorted(r["trial"] for r in found) == [1, 2, 3, 4, 5]
     assert [r["log_ratio"] is None for r in sorted(found, key=lambda r: r["trial"])] == [True, True, False, False, False]
     assert all(1 <= r["trees"] <= 3 for r in found)
+
+
+def test_rows_of_one_part_are_spread_for_boosting(spark):
+    """Few columns of many rows are one small file, and its scan one part."""
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 10_000 * cores, 1, 1)
+    spread = models.spread_rows(many, 10_000 * cores)
+    assert spread.rdd.getNumPartitions() == cores and spread.count() == 10_000 * cores
+    few = spark.range(0, 9_999, 1, 1)
+    assert models.spread_rows(few, 9_999) is few
+
+
+def test_lift_reads_the_rows_it_was_given_once(spark, rows):
+    """Labels, splits and scores are worked out once, not once per set, part and metric."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    counted = models.split(rows, models.TRAIN_VAL_TEST).mapInPandas(passed, models.split(rows, models.TRAIN_VAL_TEST).schema)
+    lift = models.progressive_lift(counted, {"one": COLUMNS[:1], "all": COLUMNS}, maxIter=3, maxDepth=2).collect()
+    assert seen.value == rows.count()
+    assert [(r["version"], r["n_features"]) for r in lift] == [("one", 1), ("all", 3)]
+    assert lift[0]["lift"] == 0.0 and lift[1]["lift"] == pytest.approx(lift[1]["val_auc"] - lift[0]["val_auc"])
+
+
+def test_first_training_lasts_longer_for_more_rows():
+    """The rounds that were needed (best round and patience) on tables of 8,342 and 83,339 rows."""
+    assert models.first_rounds(8_342, 30) >= 33 + 30 and models.first_rounds(83_339, 30) >= 88 + 30
+    assert models.first_rounds(0, 30) == 40

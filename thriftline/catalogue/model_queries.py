@@ -17,7 +17,7 @@ from ..plans.workspace import new_path, write_through
 from ..sources import schemas, tables
 from . import inputs, layers
 from .pillar_queries import _RISK
-from .registry import case
+from .registry import case, stored
 
 FEATURES = list(fv.CONTRACT_FEATURES)
 NOW = datetime(2026, 1, 1, 2, 0, 0)
@@ -49,6 +49,10 @@ def _labelled(spark, d):
 
     The label of the given profiles depends on nothing, so a model of it has nothing to learn.
     """
+    return stored(spark, d, "labelled", lambda: _drawn_labels(spark, d))
+
+
+def _drawn_labels(spark, d):
     people = inputs.profiles(spark, d)
     rates = people.select("segment").distinct().withColumn("base_default_rate", F.lit(0.3))
     factor = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("income_monthly") / 40000.0))

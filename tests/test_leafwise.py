@@ -109,3 +109,24 @@ def test_edges(spark, rows):
     assert leafwise.predict(leafwise.train(gaps, COLUMNS, [Settings(rounds=2)])[0], gaps, "p").filter("p IS NULL OR isnan(p)").isEmpty()
     with pytest.raises(ValueError):
         leafwise.train(rows, COLUMNS, [Settings()], max_bins=255)
+
+
+def test_only_rows_in_nodes_asked_for_are_replayed(spark):
+    """After the first pass the trees before are worked out for the smaller children's rows alone."""
+    class Strict:
+        def margins(self, bins):
+            assert len(bins) <= 10
+            return np.zeros(len(bins))
+
+    df = spark.range(0, 100, 1, 1).select(F.col("id").alias("user_id"), F.when(F.col("id") < 10, 1.0).otherwise(F.col("id") % 3 + 2.0).alias("x"),
+                                          (F.col("id") < 10).cast("int").alias("y"))
+    settings = leafwise.Settings(min_instances=2, bagging_fraction=1.0, max_depth=3, num_leaves=4)
+    table = leafwise.binned(df, ["x"], "y", [np.array([1.0, 2.0, 3.0])], 1, "user_id", None)
+    run = leafwise._Run(settings, 1)
+    run.growing = leafwise.Growing(settings, np.array([0]))
+    root = leafwise._sums(table, [run], False, 0, 1, 5)[0]
+    run.growing.take({node: h for (_, node), h in root.items()})
+    assert len(run.growing.asked) == 1
+    run.trees = [Strict()]
+    found = leafwise._sums(table, [run], False, 0, 1, 5)[0]
+    assert [int(h[0, :, 2].sum()) for h in found.values()] == [10]

@@ -56,9 +56,10 @@ class Tree:
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
         at = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
+        flat, first = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+        children = np.stack([self.left, self.right], axis=1).ravel()
         while True:
-            after = np.where(bins[rows, self.feature[at]] <= self.cut[at], self.left[at], self.right[at])
+            after = children.take(2 * at + (flat.take(first + self.feature.take(at)) > self.cut.take(at)))
             if np.array_equal(after, at):
                 return at
             at = after
@@ -246,32 +247,38 @@ def _sums(table: DataFrame, runs: list[_Run], judged: bool, written: int, n_feat
     places = {(t, node): i for i, (t, node) in enumerate((t, node) for t, *_, nodes in asks for node in nodes)}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(places) * width, 3), np.int64)
+        total = np.zeros((len(places), n_features, n_bins, 3), np.int64)
         losses = np.zeros((len(runs), 3), np.int64)
-        offsets = np.arange(n_features) * n_bins
         for batch in batches:
             if not batch.num_rows:
                 continue
             bins, key, y, w, held, margins = _unpacked(batch, n_features)
             for t, settings, seed, number, recent, tree, nodes in asks:
-                margin = margins[:, t] + sum((r.margins(bins) for r in recent), np.zeros(len(bins)))
+                def margin(rows: np.ndarray) -> np.ndarray:
+                    return margins[rows, t] + sum((r.margins(bins[rows]) for r in recent), np.zeros(len(rows)))
+
                 if judged:
-                    loss = w[held] * np.logaddexp(0.0, np.where(y[held] == 1, -margin[held], margin[held]))
-                    losses[t] += np.array([np.rint(loss * UNIT).sum(), np.rint(w[held] * UNIT).sum(), held.sum()]).astype(np.int64)
+                    rows = np.flatnonzero(held)
+                    m = margin(rows)
+                    loss = w[rows] * np.logaddexp(0.0, np.where(y[rows] == 1, -m, m))
+                    losses[t] += np.array([np.rint(loss * UNIT).sum(), np.rint(w[rows] * UNIT).sum(), len(rows)]).astype(np.int64)
                 if not nodes:
                     continue
-                used = ~held & _in_bag(key, seed, number, settings.bagging_fraction)
-                at = tree.leaves(bins[used])
-                p = 1.0 / (1.0 + np.exp(-margin[used]))
-                g = np.rint((p - y[used]) * w[used] * UNIT)
-                h = np.rint(p * (1.0 - p) * w[used] * UNIT)
-                for node in nodes:
-                    here = at == node
-                    slots = (bins[used][here] + offsets).ravel()
-                    own = slice(places[t, node] * width, (places[t, node] + 1) * width)
-                    for i, x in enumerate((g, h, None)):
-                        weights = None if x is None else np.repeat(x[here], n_features)
-                        total[own, i] += np.bincount(slots, weights, width).astype(np.int64)
+                # only rows in one of the nodes are replayed and summed: after the first pass the smaller children alone
+                place = np.full(len(tree.value), -1)
+                place[nodes] = np.arange(len(nodes))
+                rows = np.flatnonzero(~held & _in_bag(key, seed, number, settings.bagging_fraction))
+                at = place.take(tree.leaves(bins[rows]))
+                rows, first = rows[at >= 0], at[at >= 0] * n_bins
+                p = 1.0 / (1.0 + np.exp(-margin(rows)))
+                sums = (np.rint((p - y[rows]) * w[rows] * UNIT), np.rint(p * (1.0 - p) * w[rows] * UNIT), None)
+                own = slice(places[t, nodes[0]], places[t, nodes[0]] + len(nodes))
+                columns = np.ascontiguousarray(bins[rows].T)
+                for f in range(n_features):
+                    slots = first + columns[f]
+                    for i, x in enumerate(sums):
+                        total[own, f, :, i] += np.bincount(slots, x, len(nodes) * n_bins).astype(np.int64).reshape(-1, n_bins)
+        total = total.reshape(-1, 3)
         slots = np.flatnonzero(total[:, 2])
         judged_runs = np.flatnonzero(losses[:, 2])
         found = np.concatenate([total[slots], losses[judged_runs]])
@@ -280,9 +287,10 @@ def _sums(table: DataFrame, runs: list[_Run], judged: bool, written: int, n_feat
 
     parts = table.mapInArrow(task, "slot long, g long, h long, n long")
     # at most runs x leaves x features x bins rows, whatever the table's size
-    rows = parts.groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toPandas()
+    rows = parts.groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
     whole = np.zeros((len(places) * width, 3), np.int64)
-    slots, values = rows["slot"].to_numpy(np.int64), rows[["g", "h", "n"]].to_numpy(np.int64)
+    slots, *sums = (rows[c].to_numpy() for c in ("slot", "g", "h", "n"))
+    values = np.stack(sums, axis=1)
     whole[slots[slots >= 0]] = values[slots >= 0]
     histograms = whole.reshape(len(places), n_features, n_bins, 3)
     losses = {-1 - int(s): v[0] / max(v[1], 1) for s, v in zip(slots, values) if s < 0}

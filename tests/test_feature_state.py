@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from thriftline.operators.clean import enrich
 from thriftline.plans.workspace import new_path
-from thriftline.sources import schemas
+from thriftline.sources import buckets as tables, schemas
 from thriftline.sources.buckets import ConcurrentWrite, bucket_manifest, bucketed_read
 from thriftline.streaming import feature_state, ingest
 
@@ -67,6 +67,22 @@ def test_only_buckets_of_the_batch_are_written(spark, silver):
     assert {r["bucket"]: r["folder"] for r in bucket_manifest(spark, f"{at}/features").collect()} == after
 
 
+def test_tasks_follow_the_rows_and_rows_meet_in_one_shuffle(spark, silver, monkeypatch):
+    """Two batches into one bucket, more rows than a task should write; months of the two are hashed, not collected."""
+    at, whole, plans = new_path(spark, "state"), ingest.gold_from_silver(silver), []
+    merge = feature_state.merge_months
+    monkeypatch.setattr(tables, "TASK_ROWS", 5)
+    monkeypatch.setattr(feature_state, "merge_months", lambda *a: plans.append(merge(*a)) or plans[-1])
+    for number in range(2):
+        feature_state.update_features(silver.filter(F.col("i") % 2 == number), at, number, buckets=1)
+    plan = plans[-1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "ObjectHashAggregate" not in plan
+    state = spark.read.parquet(bucket_manifest(spark, f"{at}/state").first()["folder"])
+    assert 3 < len(state.inputFiles()) < state.count() == state.select("user_id", "month").distinct().count()
+    digits = lambda df: sorted(str([f"{v:.9g}" if isinstance(v, float) else v for v in r]) for r in df.select(sorted(df.columns)).collect())
+    assert digits(feature_state.read_features(spark, at, whole.schema)) == digits(whole)
+
+
 def test_spread_survives_many_parts(spark):
     """Large incomes that hardly differ, one row per batch: squares of sums would lose the difference."""
     schema = feature_state.month_rows(enrich(spark.createDataFrame([], schemas.STATEMENTS), "dlt")).schema

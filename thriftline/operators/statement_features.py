@@ -13,6 +13,8 @@ rows per task before any shuffle.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv, rules
@@ -457,7 +459,12 @@ def month_merges_dlt() -> dict[str, str]:
 
 def users_dlt(monthly: DataFrame) -> DataFrame:
     """Second step: the feature table from rows of ``months_dlt`` with ``persona``."""
-    return _finish_dlt(monthly.groupBy("user_id", "persona").agg(*_month_totals(), *_totals_dlt(_SPECS_DLT)))
+    return finish_dlt(user_totals_dlt(monthly, "user_id", "persona"))
+
+
+def user_totals_dlt(monthly: DataFrame, *keys: str, more: Sequence[Column] = ()) -> DataFrame:
+    """The measures of ``months_dlt`` summed up, and ``more`` aggregates."""
+    return monthly.groupBy(*keys).agg(*_month_totals(), *_totals_dlt(_SPECS_DLT), *more)
 
 
 def _totals_dlt(specs: dict) -> list[Column]:
@@ -472,7 +479,8 @@ def _totals_dlt(specs: dict) -> list[Column]:
     ]
 
 
-def _finish_dlt(users: DataFrame) -> DataFrame:
+def finish_dlt(users: DataFrame, *carried: str) -> DataFrame:
+    """The feature table from rows of ``user_totals_dlt`` with ``persona``, and the columns ``carried`` as they are."""
     mean = F.col("_sum") / F.nullif(F.col("_k"), F.lit(0))
     spread = F.greatest(F.col("_squares") - F.col("_sum") * mean, F.lit(0.0))
     flat = F.col("max_monthly_income") == F.col("min_monthly_income")
@@ -498,4 +506,4 @@ def _finish_dlt(users: DataFrame) -> DataFrame:
     })
     users = _income_stability(users, F.sqrt("income_variance"), 1.0)
     columns = ["user_id", *PAYMENT_COLUMNS, *DIGITAL_COLUMNS, "telecom_spend", *INCOME_COLUMNS, *RISK_COLUMNS]
-    return fill_numeric_nulls(users.select(*columns))
+    return fill_numeric_nulls(users.select(*columns, *carried))

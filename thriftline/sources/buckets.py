@@ -1,13 +1,17 @@
 """Tables in hash buckets: an upsert rewrites only the buckets that hold one of its keys."""
 from __future__ import annotations
 
+import math
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .tables import _create_once, change_feed, conform, merge_upsert, snapshot_read, snapshot_versions
 
+#: Rows that a task writes on average where their number decides on the tasks.
+TASK_ROWS = 150_000
 MANIFEST = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("folder", T.StringType()),
                          T.StructField("buckets", T.IntegerType())])
 
@@ -51,31 +55,41 @@ def _commit(spark: SparkSession, path: str, version: int, folders: dict[int, str
 
 
 def _upsert_once(spark: SparkSession, path: str, source: DataFrame, key: str, schema: T.StructType,
-                 buckets: int, files: int) -> int:
+                 buckets: int, files: int | None, merge: Callable[[DataFrame], DataFrame] | None) -> int:
     version, folders, kept = _folders(spark, path)
     buckets = kept or buckets
     touched = [r["bucket"] for r in source.select(bucket_of(key, buckets).alias("bucket")).distinct().collect()]  # at most all buckets
     if not touched and version:
         return version
     old = _read(spark, [folders[b] for b in touched if b in folders], schema)
-    rows = merge_upsert(old, conform(source, old.schema), key).withColumn("_bucket", bucket_of(key, buckets))
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(files))
+    source = conform(source, old.schema)
+    if files is None:
+        files = max(1, math.ceil((old.count() + source.count()) / max(len(touched), 1) / TASK_ROWS))
+    rows = old.withColumn("_fresh", F.lit(False)).unionByName(source.withColumn("_fresh", F.lit(True))) if merge else merge_upsert(old, source, key)
+    place = F.array_position(F.lit(touched or [0]), bucket_of(key, buckets)) - 1  # each bucket is dealt to ``files`` tasks of its own
+    part = (place * files + F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(files))).cast("int")
+    rows = rows.withColumns({"_bucket": bucket_of(key, buckets), "_part": part}).repartitionById(max(len(touched), 1) * files, "_part")
     data = f"{path}/data/{uuid.uuid4().hex}"
-    rows.repartition(max(len(touched), 1) * files, "_bucket", part).write.partitionBy("_bucket").parquet(data)
+    (merge(rows) if merge else rows).select("_bucket", *old.columns).write.partitionBy("_bucket").parquet(data)
     _commit(spark, path, version + 1, {**folders, **{b: f"{data}/_bucket={b}" for b in touched}}, buckets)
     return version + 1
 
 
-def bucketed_upsert(df: DataFrame, path: str, key: str, schema: T.StructType, buckets: int = 64, files: int = 1,
-                    attempts: int = 5) -> int:
+def bucketed_upsert(df: DataFrame, path: str, key: str, schema: T.StructType, buckets: int = 64, files: int | None = 1,
+                    attempts: int = 5, merge: Callable[[DataFrame], DataFrame] | None = None) -> int:
     """Upsert rows with a unique key and return the table's version; the first call makes the table.
 
     Buckets without a key of ``df`` are neither read nor written; a bucket with
-    one is merged and written anew, by ``files`` tasks.  ``buckets`` is fixed by
+    one is merged and written anew, by ``files`` tasks (None: as many as make
+    about ``TASK_ROWS`` rows each).  ``buckets`` is fixed by
     the first call: choose it so that a bucket is some hundred megabytes.  NULL
     is a key like any other.  ``df`` is read several times: write a costly one
     first.
 
+    With ``merge`` a key may have several rows, and ``merge`` makes the new rows
+    from the old ones and those of ``df`` (``_fresh``), after the only shuffle:
+    a grouping by ``_part``, ``_bucket``, the key and more needs no other.
+
     A version appears whole or not at all.  Of two writers one commits, and the
     other merges again with what the first has written; after ``attempts``
     tries it raises ConcurrentWrite.  A writer lost after its claim and before
@@ -83,7 +97,7 @@ def bucketed_upsert(df: DataFrame, path: str, key: str, schema: T.StructType, bu
     """
     for attempt in range(attempts):
         try:
-            return _upsert_once(df.sparkSession, path, df, key, schema, buckets, files)
+            return _upsert_once(df.sparkSession, path, df, key, schema, buckets, files, merge)
         except ConcurrentWrite:
             if attempt + 1 == attempts:
                 raise
@@ -99,12 +113,17 @@ def release_claim(spark: SparkSession, path: str) -> bool:
 
 
 def bucketed_read(spark: SparkSession, path: str, schema: T.StructType, keys: DataFrame | None = None,
-                  key: str | None = None) -> DataFrame:
-    """The newest version's rows; with ``keys`` (a frame with the column ``key``) only from buckets that may hold one."""
+                  key: str | None = None, whole: bool = False) -> DataFrame:
+    """The newest version's rows; with ``keys`` (a frame with the column ``key``) only theirs, from buckets that may hold one.
+
+    ``whole``: all rows of these buckets, without a join.
+    """
     _, folders, buckets = _folders(spark, path)
     if keys is not None and buckets:
         wanted = keys.select(bucket_of(key, buckets).alias("bucket")).distinct().collect()  # at most all buckets
         rows = _read(spark, [folders[r["bucket"]] for r in wanted if r["bucket"] in folders], schema)
+        if whole:
+            return rows
         asked = keys.select(F.col(key).alias("_asked"))
         return rows.join(asked, F.col(key).eqNullSafe(F.col("_asked")), "left_semi")
     return _read(spark, list(folders.values()), schema)

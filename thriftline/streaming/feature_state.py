@@ -1,11 +1,13 @@
 """Features that follow a stream: mergeable measures per user and month, and features of the users that a batch has changed."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import statement_features as sf
-from ..plans.workspace import write_through
+from ..plans.workspace import wide_rows, write_through
 from ..sources.buckets import bucketed_read, bucketed_upsert
 
 KEY = "user_id"
@@ -20,20 +22,28 @@ def month_rows(txns: DataFrame) -> DataFrame:
     return sf.months_dlt(txns.drop("persona"), *signals)
 
 
-def merge_months(rows: DataFrame) -> DataFrame:
+def merge_months(rows: DataFrame, fresh: str | None = None, keys: Sequence[str] = (KEY, "month")) -> DataFrame:
     """One row per user and month from several partial ones.
 
     Means and squared deviations are merged around the common mean, so nothing is
     lost by subtracting large sums however many batches a month comes in.
+    ``fresh`` names a boolean column that tells apart the rows of a month, of which
+    there are two at most: nothing is collected then, and hashing does.
     """
-    merges = {**sf.month_merges_dlt(), **{name: "sum" for name in SIGNALS}}
-    columns = [_MERGE[how](name).cast(rows.schema[name].dataType).alias(name) for name, how in merges.items()]
-    moments = F.collect_list(F.when(F.col("_k") > 0, F.struct("_k", "_mean", "_var"))).alias("_moments")  # one per partial row
-    merged = rows.groupBy(KEY, "month").agg(*columns, moments)
+    merges = {**sf.month_merges_dlt(), **{name: "sum" for name in SIGNALS}, "last_batch": "max"}
+    columns = [_MERGE[how](name).cast(rows.schema[name].dataType).alias(name) for name, how in merges.items() if name in rows.columns]
+    moments = ("_k", "_mean", "_var")
+    if fresh:
+        sides = [[F.max(F.when((F.col(fresh) == side) & (F.col("_k") > 0), F.col(c))).alias(f"_{side}{c}") for c in moments] for side in (False, True)]
+        found = F.array(*[F.struct(*[F.col(f"_{side}{c}").alias(c) for c in moments]) for side in (False, True)])
+        merged = rows.groupBy(*keys).agg(*columns, *sides[0], *sides[1])
+        merged = merged.withColumn("_moments", F.filter(found, lambda m: m["_k"].isNotNull()))
+    else:
+        merged = rows.groupBy(*keys).agg(*columns, F.collect_list(F.when(F.col("_k") > 0, F.struct(*moments))).alias("_moments"))
     mean = F.when(F.col("_k") > 0, _added(F.col("_moments"), lambda m: m["_k"] * m["_mean"]) / F.col("_k"))
     merged = merged.withColumn("_mean", mean)
     spread = _added(F.col("_moments"), lambda m: m["_k"] * (m["_var"] + (m["_mean"] - F.col("_mean")) * (m["_mean"] - F.col("_mean"))))
-    return merged.withColumn("_var", F.when(F.col("_k") > 0, spread / F.col("_k"))).select(*rows.columns)
+    return merged.withColumn("_var", F.when(F.col("_k") > 0, spread / F.col("_k"))).select(*[c for c in rows.columns if c != fresh])
 
 
 def _added(values: Column, of) -> Column:
@@ -41,49 +51,55 @@ def _added(values: Column, of) -> Column:
 
 
 def features(state: DataFrame) -> DataFrame:
-    """The feature table of the users in ``state``; the persona comes from sums over their months, without a shuffle.
+    """The feature table of the users in ``state``, and the last batch of each if the state tells it.
 
-    A NULL user has no persona.
+    The persona comes from the same sums over their months.  A NULL user has none.
     """
-    def total(name: str) -> Column:
-        return F.aggregate("months", F.lit(0).cast("long"), lambda n, m: n + m[name])
-
-    bits = F.aggregate("months", F.lit(0).cast("long"), lambda n, m: n.bitwiseOR(F.coalesce(m["_categories"].cast("long"), F.lit(0))))
-    signals = state.select(
-        KEY, "months", *[total(name).alias(name) for name in SIGNALS], F.bit_count(bits).cast("long").alias("category_diversity"),
-        total("n").alias("total_transactions"))
-    known = F.when(F.col(KEY).isNotNull(), F.col("persona")).alias("persona")
-    return sf.users_dlt(sf.assign_persona(signals, "dlt").select(KEY, known, F.inline("months")))
+    signals = [F.sum(name).alias(name) for name in SIGNALS]
+    carried = [c for c in ("last_batch",) if c in state.columns]
+    users = sf.user_totals_dlt(state, KEY, more=[*signals, *[F.max(c).alias(c) for c in carried]])
+    diversity = F.coalesce(F.col("unique_categories"), F.lit(0)).cast("long")
+    users = sf.assign_persona(users.withColumn("category_diversity", diversity), "dlt")
+    return sf.finish_dlt(users.withColumn("persona", F.when(F.col(KEY).isNotNull(), F.col("persona"))), *carried)
 
 
 def update_features(txns: DataFrame, path: str, batch_id: int, buckets: int = 64) -> None:
     """Merge a batch of enriched rows into the state below ``path`` and renew the features of its users.
 
-    Only buckets with users of the batch are read and written.  Each user's row
-    holds the last batch in it, and both are written together: a batch that is
-    given again, whole or after a failure half way, counts once.  Batches come
-    one after another, as a stream's do, with growing numbers.  There must be one
-    writer: of two that claim the same version the second raises ConcurrentWrite,
-    but one that reads the state before and writes after the other is not noticed.  Rows of old months, of new users, without a date or
-    without a user are merged like any other; an empty batch changes nothing.
+    Only buckets with users of the batch are read and written, by tasks whose
+    number follows the rows.  The state holds a row per user and month with the last
+    batch in it, written together: a batch that is given again, whole or after a
+    failure half way, counts once.  Batches come one after another, as a stream's
+    do, with growing numbers.  There must be one writer: of two that claim the
+    same version the second raises ConcurrentWrite, but one that reads the state
+    before and writes after the other is not noticed.  Rows of old months, of new
+    users, without a date or without a user are merged like any other; an empty
+    batch changes nothing.
     """
+    with wide_rows(txns.sparkSession):
+        _update(txns, path, batch_id, buckets)
+
+
+def _update(txns: DataFrame, path: str, batch_id: int, buckets: int) -> None:
     spark = txns.sparkSession
     fresh = write_through(month_rows(txns), "month_rows")
-    users = write_through(fresh.select(KEY).distinct(), "batch_users")
-    if users.isEmpty():
+    if fresh.isEmpty():
         return
-    months = F.array_sort(F.collect_list(F.struct(*[c for c in fresh.columns if c != KEY]))).alias("months")
-    schema = fresh.groupBy(KEY).agg(months, F.lit(batch_id).cast("long").alias("last_batch")).schema
-    old = write_through(bucketed_read(spark, f"{path}/state", _nullable(schema), users, KEY), "old_state")
-    done = old.filter(F.col("last_batch") >= batch_id).select(F.col(KEY).alias("_done"))
-    new = fresh.join(done, F.col(KEY).eqNullSafe(F.col("_done")), "left_anti")
-    before = old.filter(F.col("last_batch") < batch_id).select(KEY, F.inline("months"))
-    # months of users who have the batch already aren't in `before`, and theirs aren't in `new`
-    merged = merge_months(before.unionByName(new)).groupBy(KEY).agg(months, F.lit(batch_id).cast("long").alias("last_batch"))
-    state = write_through(merged, "new_state")
-    bucketed_upsert(state, f"{path}/state", KEY, state.schema, buckets, attempts=1)
-    gold = write_through(features(bucketed_read(spark, f"{path}/state", state.schema, users, KEY)), "new_features")
-    bucketed_upsert(gold, f"{path}/features", KEY, gold.schema, buckets, attempts=1)
+    new = fresh.withColumn("last_batch", F.lit(batch_id).cast("long"))
+    schema = _nullable(new.schema)
+    old = bucketed_read(spark, f"{path}/state", schema)
+    done = write_through(old.filter(F.col("last_batch") >= batch_id).select(F.col(KEY).alias("_done")).distinct(), "done_users")
+    if not done.isEmpty():
+        new = new.join(done, F.col(KEY).eqNullSafe(F.col("_done")), "left_anti")
+    bucketed_upsert(new, f"{path}/state", KEY, schema, buckets, None, attempts=1, merge=_merge_files)
+    state = bucketed_read(spark, f"{path}/state", schema, fresh, KEY, whole=True)
+    gold = write_through(features(state).filter(F.col("last_batch") >= batch_id).drop("last_batch"), "new_features")
+    bucketed_upsert(gold, f"{path}/features", KEY, gold.schema, buckets, None, attempts=1)
+
+
+def _merge_files(rows: DataFrame) -> DataFrame:
+    """One row per user and month in the order of months, so that their sums come out the same every time."""
+    return merge_months(rows, "_fresh", ("_bucket", "_part", KEY, "month")).sortWithinPartitions("_bucket", KEY, "month")
 
 
 def _nullable(kind: T.DataType) -> T.DataType:

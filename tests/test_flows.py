@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from thriftline.catalogue import inputs
 from thriftline.functions import fixed_values as fv
 from thriftline.operators import models, score_tables, statement_features as sf
-from thriftline.plans import flows
+from thriftline.plans import flows, workspace
 
 
 def test_flow_equals_the_lazy_form(spark, sf_dir):
@@ -36,3 +36,16 @@ def test_intermediates_are_dropped(spark):
         spark.range(5).write.parquet(path)
         assert write_through(spark.range(4), "inside").count() == 4 and os.path.exists(path.removeprefix("file://"))
     assert not os.path.exists(path.removeprefix("file://")) and kept.count() == 3
+
+
+def test_parts_of_gold_follow_the_rows(spark, sf_dir, monkeypatch):
+    """The grouping into wide rows gets parts for its rows, and the session its settings back."""
+    parts, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    features = sf.statement_features
+    monkeypatch.setattr(workspace, "TASK_ROWS", 100)
+    monkeypatch.setattr(flows.sf, "statement_features", lambda rows: parts.append((
+        int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count())) or features(rows).limit(5))
+    flows.statement_tables(inputs.statements(spark, sf_dir))
+    (found, rows), = parts
+    assert found == -(-rows // 100) > int(before) and spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") != "32m"

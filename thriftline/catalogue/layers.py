@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import clean, contract, explain, pillar_features, score_tables, statement_features as sf
 from ..plans import flows
+from ..plans.workspace import wide_rows
 from . import inputs
 from .registry import stored
 
@@ -24,7 +25,9 @@ def silver_dlt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "gold_st", lambda: sf.statement_features(silver(spark, sf_dir)))
+    rows = silver(spark, sf_dir)
+    with wide_rows(spark, rows.count()):
+        return stored(spark, sf_dir, "gold_st", lambda: sf.statement_features(rows))
 
 
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import clean, contract, explain, pillar_features, score_tables, statement_features as sf
-from .workspace import write_through
+from .workspace import wide_rows, write_through
 
 
 def silver_from_statements(statements: DataFrame, variant: str = "batch") -> DataFrame:
@@ -25,7 +25,8 @@ def statement_tables(statements: DataFrame, model=None) -> dict[str, DataFrame]:
     Without a model the rule score stands in for the prediction.
     """
     silver = write_through(silver_from_statements(statements), "silver")
-    gold = write_through(sf.statement_features(silver), "gold_st")
+    with wide_rows(statements.sparkSession, silver.count()):
+        gold = write_through(sf.statement_features(silver), "gold_st")
     if model is None:
         predicted = score_tables.with_rule_score(gold, column="prediction").withColumn(
             "prediction", F.col("prediction").cast("double"))

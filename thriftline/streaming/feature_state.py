@@ -76,7 +76,7 @@ def update_features(txns: DataFrame, path: str, batch_id: int, buckets: int = 64
     users, without a date or without a user are merged like any other; an empty
     batch changes nothing.
     """
-    with wide_rows(txns.sparkSession):
+    with wide_rows(txns.sparkSession, short_methods=True):
         _update(txns, path, batch_id, buckets)
 
 

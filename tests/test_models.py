@@ -283,3 +283,12 @@ def test_first_training_lasts_longer_for_more_rows():
     """The rounds that were needed (best round and patience) on tables of 8,342 and 83,339 rows."""
     assert models.first_rounds(8_342, 30) >= 33 + 30 and models.first_rounds(83_339, 30) >= 88 + 30
     assert models.first_rounds(0, 30) == 40
+
+
+def test_the_regressor_spreads_its_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "TASK_ROWS", 100)
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()))
+    models.train_score_regressor(spark.range(0, 200, 1, 1).selectExpr("id", "id * 2.0 AS y"), ["id"], "y")
+    models.train_score_regressor(spark.range(0, 199, 1, 1).selectExpr("id", "id * 2.0 AS y"), ["id"], "y")
+    assert seen == [2, 1]

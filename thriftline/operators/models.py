@@ -113,8 +113,13 @@ def _exact_split(df: DataFrame, names: list[str], bounds: list[float], key: str,
 # --- training ------------------------------------------------------------------------
 
 def train_score_regressor(df: DataFrame, columns: Sequence[str], label: str, **params):
-    """Boosted trees for the score; returns assembler + model as one pipeline model."""
+    """Boosted trees for the score; returns assembler + model as one pipeline model.
+
+    The rows are spread, see ``spread_rows``.
+    """
     use_checkpoints(df.sparkSession)
+    df = df.select(*columns, label)
+    df = spread_rows(df, df.count())
     gbt = GBTRegressor(labelCol=label, seed=SEED, **{**REGRESSOR, **params})
     return Pipeline(stages=[assembler(columns), gbt]).fit(df)
 

@@ -292,3 +292,25 @@ def test_the_regressor_spreads_its_rows(spark, monkeypatch):
     models.train_score_regressor(spark.range(0, 200, 1, 1).selectExpr("id", "id * 2.0 AS y"), ["id"], "y")
     models.train_score_regressor(spark.range(0, 199, 1, 1).selectExpr("id", "id * 2.0 AS y"), ["id"], "y")
     assert seen == [2, 1]
+
+
+def test_trials_share_the_rows_that_they_train_on(rows, monkeypatch):
+    """Weights and vectors were made and written anew for every trial."""
+    made, write = [], models.write_through
+    monkeypatch.setattr(models, "write_through", lambda df, label: made.append(label) or write(df, label))
+    found = models.tune(models.split(rows, models.TRAIN_VAL_TEST), COLUMNS, models.random_trials(2, max_iter=2), proposed=1)[0]
+    assert found.count() == 3 and sorted(made) == ["boosting", "tuning"]
+
+
+def test_shared_rows_give_the_model_of_rows_read_for_it_alone(rows, monkeypatch):
+    written, write = [], models.write_through
+    monkeypatch.setattr(models, "write_through", lambda df, label: written.append(write(df, label)) or written[-1])
+    parts = rows.withColumn("is_validation", F.col("a") > 13)
+    made = models.boosting_rows(parts, COLUMNS)
+    assert "FileScanRDD" not in made.kept.rdd.toDebugString().decode() and made.n == made.kept.count() == parts.filter("a <= 13").count()
+    for settings in ({"maxIter": 4, "maxDepth": 3}, {"maxIter": 2, "maxDepth": 4, "stepSize": 0.1}):
+        model = models.boost(made, COLUMNS, **settings).stages[-1]
+        gbt = models.GBTClassifier(labelCol="default_label", weightCol="weight", seed=models.SEED, **{**models.CLASSIFIER, **settings})
+        alone = models.Pipeline(stages=[models.assembler(COLUMNS), gbt]).fit(written[0].filter("NOT is_validation"))
+        alone = models.first_trees(alone, model.getNumTrees).stages[-1]
+        assert alone.toDebugString.split("\n", 1)[1] == model.toDebugString.split("\n", 1)[1]

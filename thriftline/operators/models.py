@@ -143,27 +143,59 @@ def train_default_classifier(df: DataFrame, columns: Sequence[str], label: str =
     times the rounds; equal seeds give equal first trees, so all trainings
     together have at most a third more rounds than the last.  The errors of all
     rounds come from one pass over the validation rows.  The training rows are
-    spread, see ``spread_rows``.
+    spread, see ``boosting_rows``.
     """
+    if validation:
+        return boost(boosting_rows(df, columns, label, validation), columns, label, patience, **params)
     use_checkpoints(df.sparkSession)
-    training = df.filter(~F.col(validation)) if validation else df
-    positives = F.count_if(F.col(label) == 1)
-    ratio = training.agg(F.coalesce(F.try_divide(F.count_if(F.col(label) == 0), positives), F.lit(1.0))).scalar()
-    weighted = df.withColumn("weight", F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0)))
-    settings = {**CLASSIFIER, **params}
-    gbt = GBTClassifier(labelCol=label, weightCol="weight", seed=SEED, **settings)
-    if not validation:
-        return Pipeline(stages=[assembler(columns), gbt]).fit(weighted)
+    return Pipeline(stages=[assembler(columns), _booster(label, **params)]).fit(_weighted(df, df, label))
+
+
+@dataclass(frozen=True)
+class BoostingRows:
+    """What trainings read: vectors, labels and weights of the ``n`` training rows and of the validation rows."""
+    kept: DataFrame
+    judged: DataFrame
+    n: int
+
+
+def boosting_rows(df: DataFrame, columns: Sequence[str], label: str = fv.CONTRACT_LABEL, validation: str = "is_validation") -> BoostingRows:
+    """Rows with vectors and weights, made once for any number of trainings on the same columns.
+
+    The training rows are spread, see ``spread_rows``.  Both sets are checkpointed as they
+    lie: every task of boosting, some thousands a training, carries the lineage of its
+    rows, and with it the plan of all columns.
+    """
+    use_checkpoints(df.sparkSession)
+    weighted = _weighted(df, df.filter(~F.col(validation)), label)
     weighted = write_through(weighted.select(*columns, label, "weight", validation), "boosting")
     kept, judged = weighted.filter(~F.col(validation)), weighted.filter(validation)
     n = kept.count()
-    kept, rounds = spread_rows(kept, n), 0
+    kept, judged = (assembler(columns).transform(part).select("features", label, "weight").checkpoint()
+                    for part in (spread_rows(kept, n), judged))
+    return BoostingRows(kept, judged, n)
+
+
+def boost(rows: BoostingRows, columns: Sequence[str], label: str = fv.CONTRACT_LABEL, patience: int = PATIENCE, **params) -> PipelineModel:
+    """A training of ``train_default_classifier`` on rows that were made before."""
+    gbt, rounds = _booster(label, **params), 0
+    longest = gbt.getMaxIter()
     while True:
-        rounds = min(settings["maxIter"], LONGER * rounds or first_rounds(n, patience))
-        model = Pipeline(stages=[assembler(columns), gbt.copy({gbt.maxIter: rounds})]).fit(kept)
-        best = best_round(staged_errors(model, judged), patience)
-        if best + patience <= rounds or rounds == settings["maxIter"]:
-            return first_trees(model, best)
+        rounds = min(longest, LONGER * rounds or first_rounds(rows.n, patience))
+        trees = gbt.copy({gbt.maxIter: rounds}).fit(rows.kept)
+        best = best_round(trees.evaluateEachIteration(rows.judged), patience)
+        if best + patience <= rounds or rounds == longest:
+            return first_trees(PipelineModel([assembler(columns), trees]), best)
+
+
+def _booster(label: str, **params) -> GBTClassifier:
+    return GBTClassifier(labelCol=label, weightCol="weight", seed=SEED, **{**CLASSIFIER, **params})
+
+
+def _weighted(df: DataFrame, training: DataFrame, label: str) -> DataFrame:
+    positives = F.count_if(F.col(label) == 1)
+    ratio = training.agg(F.coalesce(F.try_divide(F.count_if(F.col(label) == 0), positives), F.lit(1.0))).scalar()
+    return df.withColumn("weight", F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0)))
 
 
 def first_rounds(n: int, patience: int) -> int:
@@ -424,15 +456,15 @@ def tune(df: DataFrame, columns: Sequence[str], trials: list[Trial], label: str
     best and its test AUC.
     """
     training = write_through(df.filter(F.col("split") != "test").withColumn("is_validation", F.col("split") == "val"), "tuning")
-    validation = training.filter("is_validation")
+    rows = boosting_rows(training, columns, label)
 
     def judged(trial: Trial):
-        model = train_default_classifier(training, columns, label, stepSize=trial.step_size, maxBins=trial.max_bins,
-                                         maxDepth=trial.max_depth, minInstancesPerNode=trial.min_instances,
-                                         featureSubsetStrategy=f"{trial.feature_fraction:.4f}",
-                                         subsamplingRate=trial.subsampling_rate, minInfoGain=trial.min_info_gain,
-                                         maxIter=trial.max_iter, **params)
-        return model, _auc(model, validation, label)
+        model = boost(rows, columns, label, stepSize=trial.step_size, maxBins=trial.max_bins,
+                      maxDepth=trial.max_depth, minInstancesPerNode=trial.min_instances,
+                      featureSubsetStrategy=f"{trial.feature_fraction:.4f}",
+                      subsamplingRate=trial.subsampling_rate, minInfoGain=trial.min_info_gain,
+                      maxIter=trial.max_iter, **params)
+        return model, _auc(model.stages[-1], rows.judged, label)
 
     trials, ratios = list(trials), [None] * len(trials)
     with ThreadPoolExecutor(parallelism) as pool:  # Spark runs the jobs of several trials side by side

@@ -21,7 +21,7 @@ from ..functions import fixed_values as fv, text
 from ..plans.workspace import shared_root, write_through
 from ..sources import schemas
 from ..sources.tables import append_log, ensure_table, merge_upsert
-from . import score_tables
+from . import boosting, score_tables
 
 # Published hyper-parameters and search ranges
 REGRESSOR = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 5}
@@ -132,54 +132,74 @@ def class_weights(df: DataFrame, label: str = fv.CONTRACT_LABEL) -> DataFrame:
 
 
 def train_default_classifier(df: DataFrame, columns: Sequence[str], label: str = fv.CONTRACT_LABEL,
-                             validation: str | None = "is_validation", patience: int = PATIENCE, **params):
+                             validation: str | None = "is_validation", patience: int = PATIENCE, together: int = 1, **params):
     """Boosted trees for default with class weights, cut to the round of the smallest validation error.
 
     The positive weight is taken from the training rows.  ``validation`` names a
     boolean column; None trains the given number of rounds on all rows.
 
-    A round is the best if ``patience`` more rounds bring no smaller error.  As
-    long as the end is nearer than that, training is done again with ``LONGER``
-    times the rounds; equal seeds give equal first trees, so all trainings
-    together have at most a third more rounds than the last.  The errors of all
-    rounds come from one pass over the validation rows.  The training rows are
-    spread, see ``boosting_rows``.
+    A round is the best if ``patience`` more rounds bring no smaller error, see
+    ``boost``.  ``together`` is the number of trainings that run side by side.
     """
     if validation:
-        return boost(boosting_rows(df, columns, label, validation), columns, label, patience, **params)
+        return boost(boosting_rows(df, columns, label, validation, together), columns, label, patience, **params)
     use_checkpoints(df.sparkSession)
     return Pipeline(stages=[assembler(columns), _booster(label, **params)]).fit(_weighted(df, df, label))
 
 
 @dataclass(frozen=True)
 class BoostingRows:
-    """What trainings read: vectors, labels and weights of the ``n`` training rows and of the validation rows."""
+    """What trainings read: vectors, labels, weights and ``held`` of all rows, and of the ``n`` training rows and the validation rows alone."""
+    rows: DataFrame
     kept: DataFrame
     judged: DataFrame
     n: int
 
 
-def boosting_rows(df: DataFrame, columns: Sequence[str], label: str = fv.CONTRACT_LABEL, validation: str = "is_validation") -> BoostingRows:
-    """Rows with vectors and weights, made once for any number of trainings on the same columns.
+def boosting_rows(df: DataFrame, columns: Sequence[str], label: str = fv.CONTRACT_LABEL, validation: str = "is_validation",
+                  together: int = 1) -> BoostingRows:
+    """Rows with vectors and weights, made once for any number of trainings on the same columns, of which ``together`` run side by side.
 
-    The training rows are spread, see ``spread_rows``.  Both sets are checkpointed as they
-    lie: every task of boosting, some thousands a training, carries the lineage of its
-    rows, and with it the plan of all columns.
+    Many rows are dealt to the tasks that train.  They are checkpointed as they
+    lie, without the plan of all columns.
     """
     use_checkpoints(df.sparkSession)
     weighted = _weighted(df, df.filter(~F.col(validation)), label)
     weighted = write_through(weighted.select(*columns, label, "weight", validation), "boosting")
-    kept, judged = weighted.filter(~F.col(validation)), weighted.filter(validation)
-    n = kept.count()
-    kept, judged = (assembler(columns).transform(part).select("features", label, "weight").checkpoint()
-                    for part in (spread_rows(kept, n), judged))
-    return BoostingRows(kept, judged, n)
+    weighted = weighted.withColumn("held", F.col(validation)).filter(F.col("held").isNotNull())
+    n = weighted.filter("NOT held").count()
+    if n > boosting.ONE_TASK:
+        weighted = weighted.repartition(boosting.wanted_tasks(df.sparkSession, n, together))
+    rows = assembler(columns).transform(weighted).select("features", label, "weight", "held").checkpoint()
+    kept, judged = (part.select("features", label, "weight") for part in (rows.filter("NOT held"), rows.filter("held")))
+    return BoostingRows(rows, kept, judged, n)
 
 
 def boost(rows: BoostingRows, columns: Sequence[str], label: str = fv.CONTRACT_LABEL, patience: int = PATIENCE, **params) -> PipelineModel:
-    """A training of ``train_default_classifier`` on rows that were made before."""
-    gbt, rounds = _booster(label, **params), 0
-    longest = gbt.getMaxIter()
+    """A training of ``train_default_classifier`` on rows that were made before.
+
+    It ends after the best round and ``patience`` more.  MLlib's sums of the errors
+    decide which round is the best; where they differ from the tasks' own in the last
+    digit and the end is too near, training is done again up to where it isn't.
+    """
+    gbt, least = _booster(label, **params), 0
+    if not boosting.by_tasks(rows.rows.sparkSession, rows.n):
+        return _boost_by_jobs(rows, columns, gbt, patience)
+    while True:
+        trees = boosting.train(rows.rows, rows.n, gbt, patience, least)
+        best = best_round(trees.evaluateEachIteration(rows.judged), patience)
+        if best + patience <= trees.getNumTrees or trees.getNumTrees == gbt.getMaxIter():
+            return first_trees(PipelineModel([assembler(columns), trees]), best)
+        least = best + patience
+
+
+def _boost_by_jobs(rows: BoostingRows, columns: Sequence[str], gbt: GBTClassifier, patience: int) -> PipelineModel:
+    """The same by MLlib's own jobs, where tasks can't exchange sums.
+
+    As long as the end is too near, training is done again with ``LONGER`` times the
+    rounds; equal seeds give equal first trees.
+    """
+    rounds, longest = 0, gbt.getMaxIter()
     while True:
         rounds = min(longest, LONGER * rounds or first_rounds(rows.n, patience))
         trees = gbt.copy({gbt.maxIter: rounds}).fit(rows.kept)
@@ -224,14 +244,8 @@ def staged_errors(model: PipelineModel, rows: DataFrame) -> list[float]:
 
 
 def best_round(errors: Sequence[float], patience: int = PATIENCE) -> int:
-    """The round (from 1) after which ``patience`` rounds brought no smaller error; the best of all if there is none such."""
-    best = 0
-    for i, error in enumerate(errors):
-        if error < errors[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
+    """See ``boosting.best_round``."""
+    return boosting.best_round(errors, patience)
 
 
 def first_trees(model: PipelineModel, n: int) -> PipelineModel:
@@ -323,7 +337,7 @@ def progressive_lift(df: DataFrame, feature_sets: dict[str, Sequence[str]], labe
     training = df.filter(F.col("split") != "test").withColumn("is_validation", F.col("split") == "val")
 
     def judged(columns: Sequence[str]) -> list[dict[str, float]]:
-        model = train_default_classifier(training, columns, label, **params)
+        model = train_default_classifier(training, columns, label, **{"together": len(feature_sets), **params})
         scored = write_through(default_probability(model.transform(df), "_p").select("split", label, "_p"), "lift_scores")
         return [classification_metrics(scored.filter(F.col("split") == part), label, "_p") for part in ("val", "test")]
 
@@ -456,7 +470,7 @@ def tune(df: DataFrame, columns: Sequence[str], trials: list[Trial], label: str
     best and its test AUC.
     """
     training = write_through(df.filter(F.col("split") != "test").withColumn("is_validation", F.col("split") == "val"), "tuning")
-    rows = boosting_rows(training, columns, label)
+    rows = boosting_rows(training, columns, label, together=parallelism)
 
     def judged(trial: Trial):
         model = boost(rows, columns, label, stepSize=trial.step_size, maxBins=trial.max_bins,

@@ -21,8 +21,6 @@ from .registry import case, stored
 
 FEATURES = list(fv.CONTRACT_FEATURES)
 NOW = datetime(2026, 1, 1, 2, 0, 0)
-#: Rounds of a trial in the query; the operator allows 500.
-TUNING_ROUNDS = 40
 _MODELS: dict = {}
 
 
@@ -216,7 +214,7 @@ def _(spark, d):
 @case("tuning_trials", "J9")
 def _(spark, d):
     rows = _labelled(spark, d)
-    return models.tune(rows, FEATURES, models.random_trials(8, max_iter=TUNING_ROUNDS), proposed=12)[0]
+    return models.tune(rows, FEATURES, models.random_trials(8), proposed=12)[0]
 
 
 @case("leafwise_trials", "J9")

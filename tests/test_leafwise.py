@@ -130,3 +130,30 @@ def test_only_rows_in_nodes_asked_for_are_replayed(spark):
     run.trees = [Strict()]
     found = leafwise._sums(table, [run], False, 0, 1, 5)[0]
     assert [int(h[0, :, 2].sum()) for h in found.values()] == [10]
+
+
+@pytest.mark.parametrize("most", [100_000, 100])
+def test_models_of_one_job_are_those_of_a_job_for_every_pass(rows, monkeypatch, most):
+    """One task and several; eleven rounds, so margins are written anew once."""
+    chosen = [Settings(rounds=11, num_leaves=8, step_size=0.3), Settings(rounds=3, max_depth=2)]
+    monkeypatch.setattr(leafwise.boosting, "by_tasks", lambda *_: False)
+    wanted = leafwise.train(rows, COLUMNS, chosen, patience=20)
+    monkeypatch.undo()
+    monkeypatch.setattr(leafwise.boosting, "ONE_TASK", most)
+    monkeypatch.setattr(leafwise.boosting, "EXCHANGE_ROWS", 300)
+    monkeypatch.setattr(leafwise, "_sums", None)
+    for model, other in zip(leafwise.train(rows, COLUMNS, chosen, patience=20), wanted):
+        assert model.errors == other.errors and len(model.trees) == len(other.trees) > 0
+        assert all(np.array_equal(a.value, b.value) and np.array_equal(a.feature, b.feature) for a, b in zip(model.trees, other.trees))
+
+
+def test_the_queries_search_with_all_rounds(monkeypatch):
+    """Trials ended after 8 and 40 rounds, and a search of leaf-wise trees after 8 trials."""
+    from thriftline.catalogue import model_queries, registry
+    seen = []
+    monkeypatch.setattr(model_queries, "_labelled", lambda *_: None)
+    monkeypatch.setattr(leafwise, "tune", lambda _, columns, settings, proposed: seen.append([s.rounds for s in settings] + [500] * proposed) or [None])
+    monkeypatch.setattr(model_queries.models, "tune", lambda _, columns, trials, proposed: seen.append([t.max_iter for t in trials] + [500] * proposed) or [None])
+    for name in ("leafwise_trials", "tuning_trials"):
+        registry.CASES[name].build(None, None)
+    assert seen == [[500] * 20] * 2

@@ -219,8 +219,8 @@ def _(spark, d):
 
 @case("leafwise_trials", "J9")
 def _(spark, d):
-    """Four random and four proposed settings of leaf-wise trees; four models share the passes over the rows."""
-    return leafwise.tune(_labelled(spark, d), FEATURES, leafwise.random_settings(4, rounds=8), proposed=4)[0]
+    """Eight random and twelve proposed settings of leaf-wise trees of up to 500 rounds; four models are trained side by side."""
+    return leafwise.tune(_labelled(spark, d), FEATURES, leafwise.random_settings(8), proposed=12)[0]
 
 
 _UNIT = "1048576.0::DOUBLE"

@@ -291,7 +291,7 @@ def _histograms(rows: _Rows, chosen: Sequence[np.ndarray], at: np.ndarray, asked
     return total
 
 
-def _exchange(tasks: int, folder: str) -> Callable[[np.ndarray], np.ndarray]:
+def exchange(tasks: int, folder: str) -> Callable[[np.ndarray], np.ndarray]:
     """Adds up the arrays of all tasks, in the order of their numbers.
 
     ``allGather`` looks once a second for what the others sent, so it only names the
@@ -446,7 +446,7 @@ def train(rows: DataFrame, n: int, gbt: GBTClassifier, patience: int, least: int
     folder = exchange_folder(spark) if tasks > 1 else ""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = _grown(_Rows(batches, cuts), cuts, settings, patience, least, _exchange(tasks, folder), differences)
+        made = _grown(_Rows(batches, cuts), cuts, settings, patience, least, exchange(tasks, folder), differences)
         if tasks == 1 or BarrierTaskContext.get().partitionId() == 0:
             names = [field.split()[0] for field in NODES.split(", ")]
             types = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[field.split()[1]] for field in NODES.split(", ")]

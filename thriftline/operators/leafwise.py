@@ -3,18 +3,21 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 import random
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import BarrierTaskContext, inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..plans.workspace import write_through
-from . import models
+from . import boosting, models
 
 #: Gradients are summed as whole multiples of 2^-20, so sums don't depend on the order of rows.  With weights up to w
 #: they hold for 2^43 / w rows.
@@ -235,6 +238,16 @@ def _unpacked(batch: pa.RecordBatch, n_features: int) -> tuple[np.ndarray, ...]:
     return bins, key, y, w, held, margins
 
 
+def _add(total: np.ndarray, first: np.ndarray, bins: np.ndarray, sums: Sequence[np.ndarray | None]) -> None:
+    """Adds the sums of rows, and their number, to the histograms that begin at the slots ``first``."""
+    n_nodes, n_features, n_bins, _ = total.shape
+    columns = np.ascontiguousarray(bins.T)
+    for f in range(n_features):
+        slots = first + columns[f]
+        for i, x in enumerate(sums):
+            total[:, f, :, i] += np.bincount(slots, x, n_nodes * n_bins).astype(np.int64).reshape(-1, n_bins)
+
+
 def _sums(table: DataFrame, runs: list[_Run], judged: bool, written: int, n_features: int, n_bins: int):
     """One pass over the rows: (run, node) -> histogram for all that is asked, and the losses of the runs."""
     asks = []
@@ -273,11 +286,7 @@ def _sums(table: DataFrame, runs: list[_Run], judged: bool, written: int, n_feat
                 p = 1.0 / (1.0 + np.exp(-margin(rows)))
                 sums = (np.rint((p - y[rows]) * w[rows] * UNIT), np.rint(p * (1.0 - p) * w[rows] * UNIT), None)
                 own = slice(places[t, nodes[0]], places[t, nodes[0]] + len(nodes))
-                columns = np.ascontiguousarray(bins[rows].T)
-                for f in range(n_features):
-                    slots = first + columns[f]
-                    for i, x in enumerate(sums):
-                        total[own, f, :, i] += np.bincount(slots, x, len(nodes) * n_bins).astype(np.int64).reshape(-1, n_bins)
+                _add(total[own], first, bins[rows], sums)
         total = total.reshape(-1, 3)
         slots = np.flatnonzero(total[:, 2])
         judged_runs = np.flatnonzero(losses[:, 2])
@@ -336,13 +345,13 @@ def _with_margins(table: DataFrame, runs: list[_Run], written: int, n_features:
 def train(df: DataFrame, columns: Sequence[str], settings: Sequence[Settings], label: str = fv.CONTRACT_LABEL,
           key: str = "user_id", validation: str | None = "is_validation", patience: int = models.PATIENCE,
           max_bins: int = 64, seed: int = models.SEED) -> list[LeafwiseModel]:
-    """Boosted trees for a 0/1 label, one model per settings, all trained in the same passes over the rows.
+    """Boosted trees for a 0/1 label, one model per settings, trained side by side on the same rows.
 
-    Every round adds a tree to every model.  Tasks sum gradients, hessians and
-    rows per leaf, feature and bin of their rows; Spark adds them up as whole
-    numbers, and the driver, which sees sums alone, chooses splits.  A tree costs
-    at most as many passes as it is deep, for all models together.  Margins start
-    at 0 and are written anew every few rounds.
+    Every round adds a tree.  Tasks sum gradients, hessians and rows per leaf,
+    feature and bin of their rows as whole numbers, and splits are chosen from the
+    sums alone.  A tree costs at most as many passes as it is deep.  A model is one
+    job, whose tasks keep their rows; where tasks can't exchange their sums (see
+    ``boosting.by_tasks``) a pass is a job for all models together.
 
     With ``validation`` (a boolean column, NULL counting as false) that is true for some rows a model ends when ``patience`` rounds
     bring no smaller loss and is cut to its best round.  Positive rows weigh as
@@ -356,17 +365,35 @@ def train(df: DataFrame, columns: Sequence[str], settings: Sequence[Settings], l
         raise ValueError("max_bins must be from 2 to 254")
     cuts = cut_points(df.filter(~F.coalesce(F.col(validation), F.lit(False))) if validation else df, columns, max_bins)
     n_bins = 2 + max(map(len, cuts))
-    table = write_through(binned(df, columns, label, cuts, len(settings), key, validation), "leafwise_rows")
-    runs, written = [_Run(s, seed) for s in settings], 0
+    spark, n = df.sparkSession, df.filter(F.col(label).isNotNull()).count()
+    if not boosting.by_tasks(spark, n):
+        table = write_through(binned(df, columns, label, cuts, len(settings), key, validation), "leafwise_rows")
+        runs = _by_jobs(table, [_Run(s, seed) for s in settings], patience, len(columns), n_bins)
+    else:
+        table = binned(df, columns, label, cuts, 1, key, validation)
+        if n > boosting.ONE_TASK:  # a checkpoint keeps the parts, which are the tasks
+            models.use_checkpoints(spark)
+            table = table.repartition(boosting.wanted_tasks(spark, n, len(settings))).checkpoint()
+        else:
+            table = write_through(table, "leafwise_rows").coalesce(1)
+        with ThreadPoolExecutor(max(len(settings), 1)) as pool:  # Spark runs the jobs of all models side by side
+            alone = inheritable_thread_target(spark)(lambda s: _by_tasks(table, _Run(s, seed), patience, len(columns), n_bins))
+            runs = list(pool.map(alone, settings))
+    return [LeafwiseModel(list(columns), cuts, run.trees[:_kept(run.errors, patience)], run.errors) for run in runs]
+
+
+def _by_jobs(table: DataFrame, runs: list[_Run], patience: int, n_features: int, n_bins: int) -> list[_Run]:
+    """All models side by side, a job for every pass over the rows."""
+    written = 0
     while not all(run.done for run in runs):
         going = [run for run in runs if not run.done]
         for run in going:
             run.growing = None
             if len(run.trees) < run.settings.rounds:
-                run.begin(len(columns))
+                run.begin(n_features)
         judged = True
         while True:
-            histograms, losses = _sums(table, runs, judged, written, len(columns), n_bins)
+            histograms, losses = _sums(table, runs, judged, written, n_features, n_bins)
             for t, run in enumerate(runs):
                 if judged and not run.done:
                     run.errors.append(losses.get(t, math.nan))
@@ -382,8 +409,58 @@ def train(df: DataFrame, columns: Sequence[str], settings: Sequence[Settings], l
                 run.trees.append(run.growing.finished())
         length = max(len(run.trees) for run in runs)
         if length - written >= REPLAYED and not all(run.done for run in runs):
-            table, written = _with_margins(table, runs, written, len(columns)), length
-    return [LeafwiseModel(list(columns), cuts, run.trees[:_kept(run.errors, patience)], run.errors) for run in runs]
+            table, written = _with_margins(table, runs, written, n_features), length
+    return runs
+
+
+def _by_tasks(table: DataFrame, run: _Run, patience: int, n_features: int, n_bins: int) -> _Run:
+    """One model in one job, whose tasks keep their rows and exchange their sums."""
+    tasks = table.rdd.getNumPartitions()
+    folder = boosting.exchange_folder(table.sparkSession) if tasks > 1 else ""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_unpacked(batch, n_features)[:5] for batch in batches if batch.num_rows]
+        parts = parts or [(np.empty((0, n_features), np.uint8), np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0, bool))]
+        made = _grown(run, *(np.concatenate(x) for x in zip(*parts)), patience, n_bins, boosting.exchange(tasks, folder))
+        if tasks == 1 or BarrierTaskContext.get().partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["run"])
+
+    return pickle.loads(table.mapInArrow(task, "run binary", barrier=tasks > 1).collect()[0]["run"])  # all tasks must run
+
+
+def _grown(run: _Run, bins: np.ndarray, key: np.ndarray, y: np.ndarray, w: np.ndarray, held: np.ndarray, patience: int, n_bins: int,
+           add: Callable[[np.ndarray], np.ndarray]) -> _Run:
+    """All rounds of a model over a task's rows; ``add`` adds up what all tasks have."""
+    margins, recent = np.zeros((2, len(y)))  # as they are written anew by the passes of jobs
+    judged = np.flatnonzero(held)
+    while True:
+        run.growing = None
+        if len(run.trees) < run.settings.rounds:
+            run.begin(bins.shape[1])
+        m = margins + recent
+        loss = w[judged] * np.logaddexp(0.0, np.where(y[judged] == 1, -m[judged], m[judged]))
+        lost, weight, _ = add(np.array([np.rint(loss * UNIT).sum(), np.rint(w[judged] * UNIT).sum(), len(judged)]))
+        run.errors.append(lost / max(weight, 1) if weight else math.nan)
+        if run.growing is None or len(run.trees) - _kept(run.errors, patience) >= patience:
+            run.growing, run.done = None, True
+            return run
+        rows = np.flatnonzero(~held & _in_bag(key, run.seed, len(run.trees), run.settings.bagging_fraction))
+        p = 1.0 / (1.0 + np.exp(-m[rows]))
+        g, h = np.rint((p - y[rows]) * w[rows] * UNIT), np.rint(p * (1.0 - p) * w[rows] * UNIT)
+        own = bins[rows]
+        while run.growing.asked:
+            tree, nodes = run.growing.tree(), list(run.growing.asked)
+            place = np.full(len(tree.value), -1)
+            place[nodes] = np.arange(len(nodes))
+            at = place.take(tree.leaves(own))
+            inside = np.flatnonzero(at >= 0)
+            total = np.zeros((len(nodes), bins.shape[1], n_bins, 3), np.int64)
+            _add(total, at[inside] * n_bins, own[inside], (g[inside], h[inside], None))
+            run.growing.take(dict(zip(nodes, add(total.astype(float)).astype(np.int64))))
+        run.trees.append(run.growing.finished())
+        recent = recent + run.trees[-1].margins(bins)
+        if len(run.trees) % REPLAYED == 0:
+            margins, recent = margins + recent, np.zeros(len(y))
 
 
 def _kept(errors: Sequence[float], patience: int) -> int:
@@ -431,7 +508,7 @@ def tune(df: DataFrame, columns: Sequence[str], settings: Sequence[Settings], la
          together: int = 4, key: str = "user_id", seed: int = models.SEED, **options) -> tuple[DataFrame, LeafwiseModel]:
     """Search all eight parameters: the given settings, then ``proposed`` more by tree-structured Parzen estimators.
 
-    ``together`` models share the passes over the rows.  ``df`` carries ``split``
+    ``together`` models are trained side by side.  ``df`` carries ``split``
     with train, val and test.  Returns the trials by validation AUC (the best with
     its test AUC, proposed ones with their log ratio) and the best model.
     """
